@@ -101,10 +101,11 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFra
     return docs.join(labels, key)
 
 
-def replicate(df: DataFrame, copies: int = 3) -> DataFrame:
-    """Bag union of the table with itself, from a single scan."""
+def replicate(df: DataFrame, copies: int = 3, number: str | None = None) -> DataFrame:
+    """Bag union of the table with itself, from a single scan; `number` keeps the copy's number."""
     numbers = F.sequence(F.lit(1), F.lit(copies))
-    return df.withColumn("_copy", F.explode(numbers)).drop("_copy")
+    numbered = df.withColumn(number or "_copy", F.explode(numbers))
+    return numbered if number else numbered.drop("_copy")
 
 
 def training_text(df: DataFrame, title: str = "title", text: str = "text") -> DataFrame:

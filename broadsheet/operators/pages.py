@@ -58,8 +58,6 @@ class _Page(HTMLParser):
             self.paragraphs.append([])
             self.sinks.append((len(self.open), self.paragraphs[-1]))
         if tag in VOID:
-            if tag == "p" or tag == "h1":
-                self.sinks.pop()
             return
         self.open.append(tag)
         self.hidden += tag in HIDDEN

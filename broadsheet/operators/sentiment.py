@@ -11,14 +11,16 @@ from broadsheet.operators.lookup import is_small, lookup
 MAX_LITERAL_LEMMAS = 2_000
 
 
-def lemmatize(df: DataFrame, key: str, words: str, lemmas: DataFrame) -> DataFrame:
+def lemmatize(
+    df: DataFrame, key: str, words: str, lemmas: DataFrame, max_literal: int = MAX_LITERAL_LEMMAS
+) -> DataFrame:
     """The word array with every word replaced by its lemma, order kept.
 
     `lemmas` has one row (word, lemma) per word. A small table is put into the plan as a
     map, so rows stay where they are; a large one is joined with the exploded words, which
     are then collected again per row of the unique key.
     """
-    if is_small(lemmas, MAX_LITERAL_LEMMAS):
+    if is_small(lemmas, max_literal):
         pairs = {r["word"]: r["lemma"] for r in lemmas.collect()}
         if not pairs:
             return df
@@ -34,12 +36,12 @@ def lemmatize(df: DataFrame, key: str, words: str, lemmas: DataFrame) -> DataFra
     return df.join(again, key, "left").withColumn(words, replaced).drop("_found")
 
 
-def advanced_text(df: DataFrame, key: str, col: str, lemmas: DataFrame) -> DataFrame:
+def advanced_text(df: DataFrame, key: str, col: str, lemmas: DataFrame, **options) -> DataFrame:
     """Advanced preprocessing of a text column, as <col>_processed; null gives ''."""
     name = f"{col}_processed"
     listed = df.withColumn(name, tx.advanced_words(F.col(col)))
     joined = F.coalesce(F.array_join(name, " "), F.lit(""))
-    return lemmatize(listed, key, name, lemmas).withColumn(name, joined)
+    return lemmatize(listed, key, name, lemmas, **options).withColumn(name, joined)
 
 
 def sentiment(

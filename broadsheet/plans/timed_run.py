@@ -24,16 +24,18 @@ def timed_run(
     copies: int = 3,
     event_log: str | None = None,
 ) -> DataFrame:
-    """Features of `copies` times the articles, scaled down by config["dataset_scale"].
+    """Features of int(rows * scale) rows out of `copies` times the articles.
 
-    The rows are chosen before they are copied, so the count is known without a second
-    pass over the copies, and the plan has no limit at its root. Stage columns need the
-    path of this application's event log.
+    The rows are taken by hash, so the plan has no limit at its root and no row reaches the
+    driver. Stage columns need the path of this application's event log.
     """
     scale = float(config["dataset_scale"])
-    chosen = articles if scale >= 1 else head_fraction(articles, key, scale)
-    rows = chosen.count() * copies
-    featured = with_features(replicate(chosen, copies))
+    chosen = replicate(articles, copies, "_copy")
+    if scale < 1:
+        chosen = head_fraction(chosen.withColumn("_key", F.struct(key, "_copy")), "_key", scale)
+        chosen = chosen.drop("_key")
+    rows = chosen.count()
+    featured = with_features(chosen.drop("_copy"))
     start = time.time()
     drain(featured)
     seconds = time.time() - start

@@ -79,8 +79,14 @@ def score_and_route(messages: DataFrame, model: PipelineModel, text: str, **opti
     return routed.select("topic", F.to_json(F.struct(*fields)).alias("value"))
 
 
-def first_seen(urls: DataFrame, time: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Each address once while its state is kept, that is until the watermark passes it."""
+def first_seen(urls: DataFrame, time: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """Each address once.
+
+    Without a time column an address is never forgotten, so the state grows with the number
+    of addresses; with one it is kept until the watermark passes it.
+    """
+    if time is None:
+        return urls.dropDuplicates(["url"])
     return urls.withWatermark(time, delay).dropDuplicatesWithinWatermark(["url"])
 
 
