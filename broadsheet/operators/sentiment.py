@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
@@ -111,3 +111,11 @@ def reading_level(df: DataFrame, score: str = "readability_score") -> DataFrame:
     """Mean reading ease and the name of its band."""
     mean = df.agg(F.avg(score).alias("mean_score"))
     return mean.withColumn("level", tx.reading_level(F.col("mean_score")))
+
+
+def category_shares(df: DataFrame, by: str, category: str = "category") -> DataFrame:
+    """(by, category, n, percent of the group)."""
+    counts = df.groupBy(by, category).agg(F.count(F.lit(1)).alias("n"))
+    # One row per group and category: the window is over a handful of rows.
+    total = F.sum("n").over(Window.partitionBy(by))
+    return counts.withColumn("percent", F.col("n") * 100.0 / total)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from broadsheet.plans import rows  # noqa: F401
+from broadsheet.plans import rows, stats, words  # noqa: F401
 from broadsheet.plans.base import QUERIES, SQL, Query
 
 
