@@ -166,15 +166,15 @@ def preview(c: Column, size: int = 200) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Array of n neighbouring words joined by a space; empty when there are too few."""
-    if n == 1:
-        return tokens
-    last = F.size(tokens) - F.lit(n - 1)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-        lambda i: F.array_join(F.slice(tokens, i, n), " "),
-    )
-    return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
+    """Array of n neighbouring words joined by a space; empty when there are too few.
+
+    Pass a plain column: the array is used n times.
+    """
+    grams = tokens
+    for shift in range(1, n):
+        later = F.slice(tokens, shift + 1, F.greatest(F.size(tokens), F.lit(0)))
+        grams = F.zip_with(grams, later, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.slice(grams, 1, F.greatest(F.size(tokens) - F.lit(n - 1), F.lit(0)))
 
 
 # ---- scores and bands -------------------------------------------------------------

@@ -17,12 +17,11 @@ def default_stopwords() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def terms(text: Column, stopwords: list[str] | None = None) -> Column:
-    """Words of two characters or more without stop words, and their pairs."""
+def vector_words(text: Column, stopwords: list[str] | None = None) -> Column:
+    """Words of two characters or more without stop words."""
     drop = default_stopwords() if stopwords is None else stopwords
     found = F.split(tx.normalize(text), " ")
-    kept = F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(*drop, ""))
-    return F.concat(kept, tx.ngrams(kept, 2))
+    return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(*drop, ""))
 
 
 def tfidf(
@@ -33,8 +32,10 @@ def tfidf(
     The vocabulary is limited, so its broadcast is too. Hot terms shrink to one row per
     document before they are shuffled, by document.
     """
+    listed = df.select(key, vector_words(F.col(text), stopwords).alias("words"))
+    terms = F.concat("words", tx.ngrams(F.col("words"), 2))
     counted = (
-        df.select(key, F.explode(terms(F.col(text), stopwords)).alias("term"))
+        listed.select(key, F.explode(terms).alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
