@@ -41,10 +41,14 @@ def fit_tfidf(train: DataFrame, text: str = "title_text", max_features: int = 80
     prepared = train
     for stage in (normalize, tokenize, stop, pairs, join):
         prepared = stage.transform(prepared)
-    counter = CountVectorizer(
-        inputCol="_terms", outputCol="_tf", vocabSize=max_features
-    ).fit(prepared)
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(prepared)).idf
+    lists = prepared.select("_terms").persist()  # four passes; spills to disk
+    try:
+        counter = CountVectorizer(
+            inputCol="_terms", outputCol="_tf", vocabSize=max_features
+        ).fit(lists)
+        idf = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(lists)).idf
+    finally:
+        lists.unpersist()
     # Spark's idf lacks the + 1 of the smooth form.
     scale = ElementwiseProduct(
         scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="_tf", outputCol="_weighted"
@@ -59,7 +63,7 @@ def fit_tfidf(train: DataFrame, text: str = "title_text", max_features: int = 80
 def logistic_regression(rows: int, c: float = 3.0, max_iter: int = 300) -> LogisticRegression:
     """Ridge logistic regression whose strength is given as C, as a weight of the summed loss."""
     return LogisticRegression(
-        maxIter=max_iter, regParam=1.0 / (c * max(rows, 1)), standardization=False
+        maxIter=max_iter, tol=1e-4, regParam=1.0 / (c * max(rows, 1)), standardization=False
     )
 
 

@@ -9,6 +9,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from broadsheet.functions.text import clip
 from broadsheet.operators.features import drop_thin
@@ -18,6 +19,10 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 # Elements whose text is no part of the page's text.
 HIDDEN = {"script", "style", "template", "rt", "rp"}
 
+# A type object, since a type in words would need a session when this module is read.
+_LINKS = T.ArrayType(
+    T.StructType([T.StructField("link", T.StringType()), T.StructField("host", T.StringType())])
+)
 PARSED = "title string, paragraphs array<string>, hrefs array<string>"
 
 
@@ -126,7 +131,7 @@ def articles(parsed: DataFrame, key: str = "page_id", size: int = 5000, thin: in
     return drop_thin(kept, thin)
 
 
-@F.pandas_udf("array<struct<link: string, host: string>>")
+@F.pandas_udf(_LINKS)
 def _resolve(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
     """Absolute address and host of each href; one that is no address is left out."""
 

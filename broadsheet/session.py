@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session_options(num_workers: int, mem_per_worker: int, cores_per_worker: int) -> dict[str, str]:
@@ -47,3 +47,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = os.path.join(tempfile.gettempdir(), "broadsheet")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written once as a table in the shared folder, and read from there.
+
+    Used before work that passes over the same rows many times: it cuts the lineage, and
+    the table outlives the executors that made it.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
