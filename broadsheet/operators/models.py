@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import (
@@ -103,21 +107,30 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def cross_validate(
-    df: DataFrame, key: str, folds: int = 5, kind: str = "lr", max_features: int = 10_000, **options
+    df: DataFrame,
+    key: str,
+    folds: int = 5,
+    kind: str = "lr",
+    max_features: int = 10_000,
+    parallelism: int = 1,
+    **options,
 ) -> DataFrame:
-    """(fold, accuracy, f1, auc), everything fitted anew on the other folds."""
-    # Rows go to folds by the hash of their key.
+    """(fold, accuracy, f1, auc), everything fitted anew on the other folds.
+
+    Rows go to folds by the hash of their key. `parallelism` fits run at a time, each with
+    its own cached rows.
+    """
     fold = F.pmod(F.xxhash64(key), F.lit(folds))
     marked = df.withColumn("fold", fold.cast("int"))
-    scored = []
-    for i in range(folds):
-        model = fit_classifier(
-            marked.where(F.col("fold") != i), kind, max_features=max_features, **options
-        )
-        scored.append(score(model, marked.where(F.col("fold") == i)).select("fold", "label", "score"))
-    every = scored[0]
-    for one in scored[1:]:
-        every = every.unionByName(one)
+
+    def scored_fold(i: int) -> DataFrame:
+        others = marked.where(F.col("fold") != i)
+        model = fit_classifier(others, kind, max_features=max_features, **options)
+        return score(model, marked.where(F.col("fold") == i)).select("fold", "label", "score")
+
+    with ThreadPool(min(parallelism, folds)) as pool:
+        scored = pool.map(inheritable_thread_target(df.sparkSession)(scored_fold), range(folds))
+    every = reduce(DataFrame.unionByName, scored)
     decided = every.withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
     report = classification_report(decided, by=["fold"]).where("class = 1")
     return report.join(auc(every, by=["fold"]), "fold").select("fold", "accuracy", "f1", "auc")

@@ -73,11 +73,11 @@ def encode(
     """
     found = F.filter(F.split(tx.normalize(F.col(text)), " "), lambda w: w != "")
     first = df.select(key, F.posexplode_outer(F.slice(found, 1, length)).alias("pos", "word"))
-    joined = first.join(F.broadcast(ids), "word", "left")
+    joined = first.join(F.broadcast(ids.select("word", F.col("id").alias("_id"))), "word", "left")
     coded = F.when(
-        F.col("word").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(OOV_ID)).alias("id"))
+        F.col("word").isNotNull(), F.struct("pos", F.coalesce("_id", F.lit(OOV_ID)).alias("code"))
     )
     listed = joined.groupBy(key).agg(F.array_sort(F.collect_list(coded)).alias("coded"))
-    codes = F.col("coded.id")
+    codes = F.col("coded.code")
     padding = F.array_repeat(F.lit(0), F.lit(length) - F.size(codes))
     return listed.select(key, F.concat(codes, padding).alias("ids"))

@@ -47,12 +47,12 @@ def boosted_scores(spark, folder):
 
 @query()
 def cross_validation(spark, folder):
-    return models.cross_validate(_rows(spark, folder), "doc_id", kind="lr")
+    return models.cross_validate(_rows(spark, folder), "doc_id", kind="lr", parallelism=5)
 
 
 @query()
 def cross_validation_summary(spark, folder):
-    return models.cv_summary(models.cross_validate(_rows(spark, folder), "doc_id", kind="lr"))
+    return models.cv_summary(models.cross_validate(_rows(spark, folder), "doc_id", kind="lr", parallelism=5))
 
 
 @query()

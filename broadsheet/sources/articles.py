@@ -17,7 +17,7 @@ ARTICLE = T.StructType(
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = ARTICLE) -> DataFrame:
     """Articles with a header line; quoted fields may hold newlines and doubled quotes.
 
-    With schema=None the types are inferred, which costs a pass over the data. A multi-line
+    An empty field is null, quoted or not. With schema=None the types are inferred, which costs a pass over the data. A multi-line
     file is read by one task: keep large tables as many files, or as Parquet.
     """
     reader = spark.read.option("header", True).option("multiLine", True)
@@ -29,7 +29,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = ARTIC
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     writer = df.write.mode(mode).option("header", True)
-    writer.option("quote", '"').option("escape", '"').option("emptyValue", '""').csv(path)
+    writer.option("quote", '"').option("escape", '"').csv(path)
 
 
 def drain(df: DataFrame) -> None:
