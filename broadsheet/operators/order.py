@@ -186,7 +186,8 @@ def running_totals(
         one = edges.select(F.struct("edges", *[f"total_{c}" for c in cols])).scalar()
         placed = df.withColumn("_one", one).select("*", "_one.*").drop("_one")
     below = F.filter("edges", lambda e: e < F.col(order))
-    placed = placed.withColumn("piece", F.size(below)).drop("edges")
+    # coalesce() so that no test for null is derived and pushed below the aggregation.
+    placed = placed.withColumn("piece", F.coalesce(F.size(below), F.lit(0))).drop("edges")
     group = Window.partitionBy(*(by or [F.lit(0)]))
     above = group.orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
