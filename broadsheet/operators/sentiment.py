@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
@@ -17,8 +17,9 @@ def lemmatize(
     """The word array with every word replaced by its lemma, order kept.
 
     `lemmas` has one row (word, lemma) per word. A small table is put into the plan as a
-    map, so rows stay where they are; a large one is joined with the exploded words, which
-    are then collected again per row of the unique key.
+    map, so rows stay where they are. A large one is joined with the exploded words: rows
+    are shuffled once by their unique key, while they are still arrays, and with a table
+    that can be broadcast the words are collected again where they are.
     """
     if is_small(lemmas, max_literal):
         pairs = {r["word"]: r["lemma"] for r in lemmas.collect()}
@@ -28,12 +29,15 @@ def lemmatize(
         known = list(pairs)
         lemma = F.transform(words, lambda w: F.when(w.isin(known), table[w]).otherwise(w))
         return df.withColumn(words, lemma)
-    spread = df.select(key, F.posexplode(words).alias("pos", "word"))
+    placed = df.repartition(key)
+    # The outer form derives no filter of its own, so both uses share one shuffle.
+    spread = placed.select(key, F.posexplode_outer(words).alias("pos", "word"))
     joined = lookup(spread, lemmas.select("word", "lemma"), "word", spread=key)
-    found = F.struct("pos", F.coalesce("lemma", "word").alias("w"))
+    found = F.when(F.col("word").isNotNull(), F.struct("pos", F.coalesce("lemma", "word").alias("w")))
     again = joined.groupBy(key).agg(F.array_sort(F.collect_list(found)).alias("_found"))
-    replaced = F.coalesce(F.col("_found.w"), F.array().cast("array<string>"))
-    return df.join(again, key, "left").withColumn(words, replaced).drop("_found")
+    empty = F.array().cast("array<string>")
+    replaced = F.when(F.col(words).isNotNull(), F.coalesce(F.col("_found.w"), empty))
+    return placed.join(again, key, "left").withColumn(words, replaced).drop("_found")
 
 
 def advanced_text(df: DataFrame, key: str, col: str, lemmas: DataFrame, **options) -> DataFrame:
@@ -71,24 +75,28 @@ def sentiment_stats(df: DataFrame, cols: list[str], by: str | None = None) -> Da
     return df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def complexity_columns(text: str = "text") -> dict[str, Column]:
+def with_complexity(df: DataFrame, text: str = "text") -> DataFrame:
     """Readability metrics; a null or empty text gives zeros."""
     c = F.col(text)
-    n, sentences, syllables = tx.word_count(c, ws=True), tx.sentence_count(c), tx.syllable_count(c)
-    has_words = n > 0
-    has_text = F.length(c) > 0
-    zero = F.lit(0.0)
-    return {
-        "readability_score": F.when(has_words, tx.reading_ease(n, sentences, syllables)).otherwise(zero),
+    # Counted in a projection of their own, else every metric would count again.
+    counted = df.withColumns(
+        {
+            "_words": tx.word_count(c, ws=True),
+            "_sentences": tx.sentence_count(c),
+            "_syllables": tx.syllable_count(c),
+        }
+    )
+    counts = F.col("_words"), F.col("_sentences"), F.col("_syllables")
+    n, sentences, syllables = counts
+    has_words, has_text, zero = n > 0, F.length(c) > 0, F.lit(0.0)
+    metrics = {
+        "readability_score": F.when(has_words, tx.reading_ease(*counts)).otherwise(zero),
         "avg_sentence_length": F.when(has_words, n / sentences).otherwise(zero),
         "syllable_count": F.when(has_words, syllables).otherwise(0),
-        "flesch_kincaid_grade": F.when(has_words, tx.grade_level(n, sentences, syllables)).otherwise(zero),
+        "flesch_kincaid_grade": F.when(has_words, tx.grade_level(*counts)).otherwise(zero),
         "sentence_count": F.when(has_text, sentences).otherwise(0),
     }
-
-
-def with_complexity(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumns(complexity_columns(text))
+    return counted.withColumns(metrics).drop("_words", "_sentences", "_syllables")
 
 
 def with_fallback_complexity(df: DataFrame, text: str = "text") -> DataFrame:

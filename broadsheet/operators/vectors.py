@@ -29,10 +29,12 @@ def tfidf(
 ) -> DataFrame:
     """(key, term, weight): smooth idf, L2 norm, over the max_features most frequent terms.
 
-    The vocabulary is limited, so its broadcast is too. Hot terms shrink to one row per
-    document before they are shuffled, by document.
+    The texts are shuffled by document once, before they grow into terms; counting terms
+    and normalizing then need no shuffle of their own. The vocabulary is limited, so its
+    broadcast is too, and its counts are summed in each task before they are shuffled.
     """
-    listed = df.select(key, vector_words(F.col(text), stopwords).alias("words"))
+    placed = df.select(key, text).repartition(key)
+    listed = placed.select(key, vector_words(F.col(text), stopwords).alias("words"))
     terms = F.concat("words", tx.ngrams(F.col("words"), 2))
     counted = (
         listed.select(key, F.explode(terms).alias("term"))

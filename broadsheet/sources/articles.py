@@ -14,13 +14,16 @@ ARTICLE = T.StructType(
 )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = ARTICLE) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = ARTICLE, multi_line: bool = True
+) -> DataFrame:
     """Articles with a header line; quoted fields may hold newlines and doubled quotes.
 
-    An empty field is null, quoted or not. With schema=None the types are inferred, which costs a pass over the data. A multi-line
-    file is read by one task: keep large tables as many files, or as Parquet.
+    An empty field is null, quoted or not. With schema=None the types are inferred, which
+    costs a pass over the data. With multi_line a file is read by one task, so keep large
+    tables as many files, or turn it off where no field holds a newline.
     """
-    reader = spark.read.option("header", True).option("multiLine", True)
+    reader = spark.read.option("header", True).option("multiLine", multi_line)
     reader = reader.option("quote", '"').option("escape", '"')
     if schema is None:
         return reader.option("inferSchema", True).csv(path)

@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from broadsheet.operators.runlog import throughput
 
 # The fields used of the events JobStart and StageCompleted.
-EVENT = """
+JOB_START = "Event string, `Job ID` long, `Stage IDs` array<long>"
+STAGE_COMPLETED = """
   Event string,
-  `Job ID` long,
-  `Stage IDs` array<long>,
   `Stage Info` struct<
-    `Stage ID`: long, `Stage Attempt ID`: int, `Number of Tasks`: long,
-    `Submission Time`: long, `Completion Time`: long,
+    `Stage ID`: long, `Number of Tasks`: long, `Submission Time`: long, `Completion Time`: long,
     Accumulables: array<struct<Name: string, Value: string>>>
 """
 
@@ -38,15 +36,21 @@ def stage_metrics(lines: DataFrame, since: int = 0) -> DataFrame:
 
     `since` leaves out stages submitted before that time, in milliseconds of the epoch.
     """
-    events = lines.select(F.from_json("value", EVENT).alias("e")).select("e.*")
+
+    def events(kind: str, fields: str) -> DataFrame:
+        # Most lines are about single tasks: they are passed over before they are parsed.
+        of_kind = lines.where(F.col("value").contains(f'"{kind}"'))
+        parsed = of_kind.select(F.from_json("value", fields).alias("e")).select("e.*")
+        return parsed.where(F.col("Event") == kind)
+
     jobs = (
-        events.where("Event = 'SparkListenerJobStart'")
+        events("SparkListenerJobStart", JOB_START)
         .select(F.explode("Stage IDs").alias("stage_id"), F.col("Job ID").alias("job"))
         .groupBy("stage_id")
         .agg(F.min("job").alias("job_id"))  # a reused stage belongs to its first job
     )
     info = F.col("Stage Info")
-    completed = events.where("Event = 'SparkListenerStageCompleted'")
+    completed = events("SparkListenerStageCompleted", STAGE_COMPLETED)
     done = completed.where(info["Submission Time"] >= since).select(
         info["Stage ID"].alias("stage_id"),
         info["Number of Tasks"].alias("num_tasks"),
