@@ -6,6 +6,8 @@ without Python workers and without a shuffle.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,17 +92,27 @@ def clean(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^a-z\s]+", "")
 
 
+def _fused_pattern() -> str:
+    by_letter = groupby(FUSED, key=lambda pair: pair[0][0])
+    heads = [
+        f"{letter}(?:" + "|".join(f"{a[1:]}(?={b}\\b)" for a, b in pairs) + ")"
+        for letter, pairs in by_letter
+    ]
+    letters = "".join(sorted({a[0] for a, _ in FUSED}))
+    # The letter is looked at first: it fails sooner than the test for a word's start.
+    return rf"[\t-\r]|(?=[{letters}])\b({'|'.join(heads)})"
+
+
 def split_fused(c: Column) -> Column:
-    """Put a space inside words such as "cannot" and "gonna", as the tokenizer does."""
-    heads = "|".join(f"{a}(?={b}\\b)" for a, b in FUSED)
-    return F.regexp_replace(c, rf"\b({heads})", "$1 ")
+    """Put a space inside words such as "cannot", and plain spaces for all white space."""
+    return F.regexp_replace(c, _fused_pattern(), "$1 ")
 
 
 def words(c: Column, stopwords: list[str] = STOPWORDS, min_length: int = 1) -> Column:
     """Array of the words of an already cleaned text, stop words left out."""
     # isin() over literals becomes a hash-set test, unlike array_contains().
     drop = [""] + list(stopwords)
-    parts = F.split(split_fused(c), r"\s+")
+    parts = F.split(split_fused(c), " ")
     if min_length > 1:
         return F.filter(parts, lambda w: (F.length(w) >= min_length) & ~w.isin(drop))
     return F.filter(parts, lambda w: ~w.isin(drop))

@@ -10,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import (
     IDF,
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     NGram,
     Normalizer,
@@ -23,6 +23,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet.operators.counts import count_items, most_common
 from broadsheet.operators.curves import auc, classification_report
 
 # The same normalization as functions.text.normalize, as text: a saved model keeps it.
@@ -33,13 +34,20 @@ SELECT *, trim(regexp_replace(regexp_replace(lower(coalesce({col}, '')),
 """
 
 
-def fit_tfidf(train: DataFrame, text: str = "title_text", max_features: int = 8000) -> PipelineModel:
+def fit_tfidf(
+    train: DataFrame,
+    text: str = "title_text",
+    max_features: int = 8000,
+    stopwords: list[str] | None = None,
+) -> PipelineModel:
     """1-2-gram TF-IDF with smooth idf and L2 norm, as column `features`."""
     normalize = SQLTransformer(statement=_NORMALIZE.format(col=text))
     tokenize = RegexTokenizer(
         inputCol="_norm", outputCol="_all", pattern=" +", minTokenLength=2, toLowercase=False
     )
     stop = StopWordsRemover(inputCol="_all", outputCol="_words")
+    if stopwords is not None:
+        stop.setStopWords(stopwords)
     pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
     join = SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__")
     prepared = train
@@ -47,9 +55,12 @@ def fit_tfidf(train: DataFrame, text: str = "title_text", max_features: int = 80
         prepared = stage.transform(prepared)
     lists = prepared.select("_terms").persist()  # four passes; spills to disk
     try:
-        counter = CountVectorizer(
-            inputCol="_terms", outputCol="_tf", vocabSize=max_features
-        ).fit(lists)
+        # Equal counts are ordered by term, so the vocabulary is the same every time.
+        top = most_common(count_items(lists, F.col("_terms"), "term"), max_features, "term")
+        vocabulary = [row["term"] for row in top.collect()]  # max_features rows at most
+        counter = CountVectorizerModel.from_vocabulary(
+            vocabulary, inputCol="_terms", outputCol="_tf"
+        )
         idf = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(lists)).idf
     finally:
         lists.unpersist()
@@ -83,10 +94,15 @@ def boosted_trees(rounds: int = 300, seed: int = 42) -> GBTClassifier:
 
 
 def fit_classifier(
-    train: DataFrame, kind: str = "lr", text: str = "title_text", max_features: int = 8000, **options
+    train: DataFrame,
+    kind: str = "lr",
+    text: str = "title_text",
+    max_features: int = 8000,
+    stopwords: list[str] | None = None,
+    **options,
 ) -> PipelineModel:
     """TF-IDF and a classifier ("lr" or "gbt") as one model, ready to be saved."""
-    vectors = fit_tfidf(train, text, max_features)
+    vectors = fit_tfidf(train, text, max_features, stopwords)
     rows = vectors.transform(train).select("label", "features").persist()
     try:
         if kind == "lr":

@@ -150,7 +150,7 @@ def _resolve(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
 
 def host(url: Column) -> Column:
     """Host part of an address, with user and port; empty when it has none."""
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    return F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
 
 
 def links(parsed: DataFrame, key: str = "page_id") -> DataFrame:

@@ -51,6 +51,15 @@ def labelled_articles(spark: SparkSession, folder: str) -> DataFrame:
     return labelled(articles(spark, folder), labels)
 
 
+def labelled_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """Label and lengths; the texts are measured before the join, so they are not shuffled."""
+    lengths = articles(spark, folder).select(
+        "doc_id", F.length("title").alias("title_length"), F.length("text").alias("text_length")
+    )
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    return labelled(lengths, labels)
+
+
 def scored_rows(spark: SparkSession, folder: str) -> DataFrame:
     """(model, label, score) from order lines, with many equal scores."""
     mixed = (F.col("l_partkey") * 7 + F.col("l_suppkey") * 13 + F.col("l_linenumber") * 29) % 1000

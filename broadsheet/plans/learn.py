@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from broadsheet.functions.words import STOPWORDS
 from broadsheet.operators import curves, features, models, order
-from broadsheet.plans.base import labelled_articles, query, rounded, table
+from broadsheet.plans.base import (
+    LABELLED,
+    labelled_articles,
+    query,
+    rounded,
+    sql_list,
+    sql_ngrams,
+    sql_normalize,
+    table,
+)
 from broadsheet.session import shared_dir, stored
 
 # A tenth of the default number of rounds: 300 rounds on one machine take minutes.
@@ -22,13 +32,30 @@ def _split(spark, folder):
     return order.stratified_split(_rows(spark, folder), "doc_id", "label")
 
 
-@query()
+_WORDS = f"""list_filter(string_split({sql_normalize("title_text")}, ' '),
+  lambda w: length(w) > 1 AND NOT list_contains({sql_list(STOPWORDS)}, w))"""
+
+
+@query(f"""
+WITH a AS (SELECT doc_id, label, replace(replace(title || ' ' || text, chr(160), ' '), chr(8203), ' ') AS title_text
+  FROM {LABELLED}),
+t AS (SELECT doc_id, {_WORDS} AS words, row_number() OVER (PARTITION BY label ORDER BY md5(doc_id::VARCHAR), doc_id)
+  <= round(count(*) OVER (PARTITION BY label) * 0.2) AS is_test FROM a),
+g AS (SELECT doc_id, is_test, unnest(list_concat(words, {sql_ngrams("words", 2)})) AS term FROM t),
+v AS (SELECT term, count(*) AS total, count(DISTINCT doc_id) AS df FROM g WHERE NOT is_test GROUP BY 1
+  ORDER BY total DESC, term LIMIT 8000),
+w AS (SELECT doc_id, term, count(*) * (ln((1 + (SELECT count(*) FROM t WHERE NOT is_test)) / (1 + max(df))) + 1) AS w
+  FROM g JOIN v USING (term) WHERE is_test GROUP BY 1, 2),
+n AS (SELECT doc_id, count(*) AS terms, round(sum(w) / sqrt(sum(w * w)), 6) AS weights FROM w GROUP BY 1)
+SELECT doc_id, coalesce(terms, 0) AS terms, coalesce(weights, 0) AS weights
+FROM t LEFT JOIN n USING (doc_id) WHERE is_test
+""")
 def vectorized(spark, folder):
     train, test = _split(spark, folder)
-    out = models.fit_tfidf(train).transform(test)
+    out = models.fit_tfidf(train, stopwords=STOPWORDS).transform(test)
     weights = F.filter(vector_to_array("features"), lambda w: w != 0)
-    norm = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda total, w: total + w * w))
-    return out.select("doc_id", F.size(weights).alias("terms"), F.round(norm, 6).alias("norm"))
+    total = F.aggregate(weights, F.lit(0.0), lambda t, w: t + w)
+    return out.select("doc_id", F.size(weights).alias("terms"), F.round(total, 6).alias("weights"))
 
 
 @query()

@@ -12,6 +12,7 @@ from broadsheet.plans.base import (
     LABELLED,
     SCORED,
     labelled_articles,
+    labelled_lengths,
     query,
     rounded,
     scored_rows,
@@ -30,9 +31,7 @@ SELECT label, round(avg(length(title)), 6) AS mean_title_length,
   round(avg(length(text)), 6) AS mean_text_length FROM {LABELLED} GROUP BY label
 """)
 def mean_by_label(spark, folder):
-    df = labelled_articles(spark, folder).select(
-        "label", F.length("title").alias("title_length"), F.length("text").alias("text_length")
-    )
+    df = labelled_lengths(spark, folder)
     means = pf.mean_by(df, "label", ["title_length", "text_length"])
     return means.select("label", *rounded("mean_title_length", "mean_text_length"))
 
@@ -87,9 +86,7 @@ _LENGTHS = f"(SELECT label, length(title) AS title_length, length(text) AS text_
 
 @query(_corr_sql(["text_length", "title_length", "label"], _LENGTHS))
 def correlation(spark, folder):
-    df = labelled_articles(spark, folder).select(
-        "label", F.length("title").alias("title_length"), F.length("text").alias("text_length")
-    )
+    df = labelled_lengths(spark, folder)
     return pf.corr(df, ["text_length", "title_length", "label"]).withColumn("corr", F.round("corr", 6))
 
 
@@ -130,8 +127,7 @@ SELECT label, q25, q50, q75, min(v) FILTER (inside) AS whisker_low, max(v) FILTE
   count(*) FILTER (NOT inside) AS outliers FROM v GROUP BY label, q25, q50, q75
 """)
 def box_stats_by_label(spark, folder):
-    df = labelled_articles(spark, folder).select("label", F.length("text").alias("size"))
-    return pf.box_stats(df, "size", "label")
+    return pf.box_stats(labelled_lengths(spark, folder), "text_length", "label")
 
 
 _BUCKET = """CASE WHEN value / 50 - 1 > 0.1 THEN 'Positive'

@@ -8,6 +8,7 @@ from broadsheet.functions import text as tx
 from broadsheet.functions.words import STOPWORDS
 from broadsheet.operators import counts, vectors
 from broadsheet.operators import sentiment as st
+from broadsheet.operators.features import labelled
 from broadsheet.plans.base import (
     ARTICLES,
     LABELLED,
@@ -166,6 +167,13 @@ def _scores_sql(source: str, keys: str) -> str:
       FROM d LEFT JOIN a USING ({keys}))"""
 
 
+def _labelled_scores(spark, folder):
+    # Scored before the join, so that no text is shuffled.
+    docs = table(spark, folder, "documents")
+    scores = st.sentiment(docs, ["doc_id"], "text", _lexicon(spark, folder))
+    return labelled(scores, table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label")))
+
+
 @query(f"""WITH {_scores_sql("documents", "doc_id")}
 SELECT doc_id, round(sentiment, 6) AS sentiment, round(subjectivity, 6) AS subjectivity FROM scores""")
 def sentiment(spark, folder):
@@ -178,9 +186,7 @@ SELECT label, round(avg(sentiment), 6) AS mean_sentiment, round(stddev_samp(sent
   round(avg(subjectivity), 6) AS mean_subjectivity, round(stddev_samp(subjectivity), 6) AS std_subjectivity
 FROM scores GROUP BY label""")
 def sentiment_by_label(spark, folder):
-    df = st.sentiment(
-        labelled_articles(spark, folder), ["doc_id", "label"], "text", _lexicon(spark, folder)
-    )
+    df = _labelled_scores(spark, folder)
     out = st.sentiment_stats(df, ["sentiment", "subjectivity"], by="label")
     return out.select("label", *rounded(*[c for c in out.columns if c != "label"]))
 
@@ -190,9 +196,7 @@ SELECT label, CASE WHEN sentiment > 0.1 THEN 'Positive' WHEN sentiment < -0.1 TH
   AS category, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY label), 6) AS percent
 FROM scores GROUP BY 1, 2""")
 def sentiment_categories(spark, folder):
-    df = st.sentiment(
-        labelled_articles(spark, folder), ["doc_id", "label"], "text", _lexicon(spark, folder)
-    )
+    df = _labelled_scores(spark, folder)
     out = st.category_shares(df.withColumn("category", tx.sentiment_bucket(F.col("sentiment"))), "label")
     return out.withColumn("percent", F.round("percent", 6))
 

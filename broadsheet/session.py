@@ -43,7 +43,7 @@ def build_session(
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new path below spark.checkpoint.dir; a local folder only when Spark runs locally."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
