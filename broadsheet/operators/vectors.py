@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
+from broadsheet.operators.lookup import lookup
 
 OOV_ID = 1
 SEQUENCE_LENGTH = 256
@@ -71,11 +72,11 @@ def encode(
     """(key, ids): word ids in order, cut and filled with 0 at the end to `length`.
 
     Unknown words get the out-of-vocabulary id, so only the first `length` words of a text
-    can matter and only they are joined with the limited vocabulary.
+    can matter and only they are looked up. `ids` is read more than once: store it first.
     """
     found = F.filter(F.split(tx.normalize(F.col(text)), " "), lambda w: w != "")
     first = df.select(key, F.posexplode_outer(F.slice(found, 1, length)).alias("pos", "word"))
-    joined = first.join(F.broadcast(ids.select("word", F.col("id").alias("_id"))), "word", "left")
+    joined = lookup(first, ids.select("word", F.col("id").alias("_id")), "word", spread=key)
     coded = F.when(
         F.col("word").isNotNull(), F.struct("pos", F.coalesce("_id", F.lit(OOV_ID)).alias("code"))
     )

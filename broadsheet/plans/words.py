@@ -25,6 +25,7 @@ from broadsheet.plans.base import (
     sql_words,
     table,
 )
+from broadsheet.session import stored
 
 _BOTH = "concat_ws(' ', text, title)"
 _BASIC = f"(SELECT unnest({sql_words(sql_clean(_BOTH), 3)}) AS word FROM {ARTICLES})"
@@ -236,5 +237,6 @@ SELECT doc_id, array_to_string(list_resize(coalesce(codes, []), 256, 0), ' ') AS
 FROM t LEFT JOIN e USING (doc_id)""")
 def encoded(spark, folder):
     df = table(spark, folder, "documents")
-    out = vectors.encode(df, "doc_id", "text", vectors.word_ids(df, "text"))
+    ids = stored(vectors.word_ids(df, "text"), "ids")
+    out = vectors.encode(df, "doc_id", "text", ids)
     return out.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))

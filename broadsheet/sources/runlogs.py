@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from broadsheet.operators.lookup import hint, is_small
 from broadsheet.operators.runlog import KINDS
 
 # Names and types of the columns that are not double.
@@ -34,23 +35,24 @@ def _schema(header: str) -> T.StructType:
 def read_runs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All runs in one wide table, with their kind and the folder they came from.
 
-    Files are grouped by header on the cluster; each different header is one scan, and
-    columns a run does not have are null. The kind is taken from the start of the name of
-    the file, or of the folder a Spark job wrote.
+    Lines are read as text and parsed by the header of their file; only the different
+    headers, one per number of stages, reach the driver. Columns a run does not have are
+    null. The kind is taken from the start of the name of the file, or of the folder a
+    Spark job wrote.
     """
-    # A header holds no quotes, so it is the line that starts with a known first column.
     lines = spark.read.text(paths, recursiveFileLookup=True, pathGlobFilter="*.csv")
-    heads = lines.select("value", F.col("_metadata.file_path").alias("path")).where(
-        F.col("value").rlike("(^|,)num_workers,")
-    )
-    groups = heads.groupBy("value").agg(F.collect_set("path").alias("paths")).collect()
-    if not groups:
+    lines = lines.select("value", F.col("_metadata.file_path").alias("_path"))
+    is_head = F.col("value").rlike("^(run_id,)?num_workers,")
+    heads = lines.where(is_head).select(F.col("value").alias("_head"), "_path")
+    different = [row["_head"] for row in heads.select("_head").distinct().collect()]
+    if not different:
         raise ValueError(f"no run log below {paths}")
+    rows = lines.where(~is_head).join(hint(heads, is_small(heads)), "_path")
     tables = []
-    for group in sorted(groups, key=lambda g: g["value"]):
-        reader = spark.read.schema(_schema(group["value"])).option("header", True)
-        table = reader.option("escape", '"').csv(sorted(group["paths"]))
-        tables.append(table.withColumn("_path", F.col("_metadata.file_path")))
+    for head in sorted(different):
+        parsed = F.from_csv("value", F.lit(_schema(head).toDDL()), {"escape": '"'})
+        own = rows.where(F.col("_head") == head).select(parsed.alias("run"), "_path")
+        tables.append(own.select("run.*", "_path"))
     runs = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
     prefix = F.regexp_extract("_path", r".*/(SS|WS|W-)[^/]*\.csv(?:/[^/]*)?$", 1)
     kind = F

@@ -60,3 +60,41 @@ def test_encoding(spark):
     assert {r.word: r.id for r in ids.collect()} == {"a": 2, "b": 3}
     coded = {r.id: r.ids for r in vectors.encode(df, "id", "t", ids, length=6).collect()}
     assert coded == {1: [2, 2, 3, 1, 0, 0], 2: [0] * 6, 3: [1, 1, 2, 3, 3, 3]}
+
+
+def test_lemmas_in_place_and_by_join(spark):
+    from broadsheet.operators.sentiment import advanced_text, lemmatize
+
+    df = spark.createDataFrame([(1, ["cats", "ran", "cats"]), (2, []), (3, None), (4, ["x"])], "id int, w array<string>")
+    lemmas = spark.createDataFrame([("cats", "cat"), ("ran", "run")], "word string, lemma string")
+    want = {1: ["cat", "run", "cat"], 2: [], 3: None, 4: ["x"]}
+    for limit in (2000, 0):
+        assert {r.id: r.w for r in lemmatize(df, "id", "w", lemmas, limit).collect()} == want
+    assert lemmatize(df, "id", "w", lemmas.limit(0)).count() == 4
+    texts = spark.createDataFrame([(1, "The CATS ran, at http://x.y!"), (2, None)], "id int, text string")
+    for limit in (2000, 0):
+        out = advanced_text(texts, "id", "text", lemmas, max_literal=limit)
+        assert {r.id: r.text_processed for r in out.collect()} == {1: "cat run", 2: ""}
+
+
+def test_sentiment_without_hits_is_zero(spark):
+    from broadsheet.operators.sentiment import sentiment
+
+    lexicon = spark.createDataFrame([("good", 0.7, 0.6), ("bad", -0.7, 0.7)], "word string, polarity double, subjectivity double")
+    df = spark.createDataFrame([(1, "Good good, BAD"), (2, "plain"), (3, None), (4, "")], "id int, text string")
+    got = {r.id: (round(r.sentiment, 6), round(r.subjectivity, 6)) for r in sentiment(df, ["id"], "text", lexicon).collect()}
+    assert got == {1: (0.233333, 0.633333), 2: (0, 0), 3: (0, 0), 4: (0, 0)}
+
+
+def test_readability(spark):
+    from broadsheet.operators.sentiment import with_complexity, with_fallback_complexity
+
+    df = spark.createDataFrame([(1, "The cat sat. It ran away!"), (2, ""), (3, None), (4, "...")], "id int, text string")
+    got = {r.id: r for r in with_complexity(df).collect()}
+    assert got[1].sentence_count == 2 and got[1].syllable_count == 7 and got[1].avg_sentence_length == 3.0
+    assert got[1].readability_score == pytest.approx(206.835 - 1.015 * 3 - 84.6 * 7 / 6)
+    assert got[1].flesch_kincaid_grade == pytest.approx(0.39 * 3 + 11.8 * 7 / 6 - 15.59)
+    for i in (2, 3):
+        assert [got[i][c] for c in ("readability_score", "avg_sentence_length", "syllable_count", "sentence_count")] == [0, 0, 0, 0]
+    rough = {r.id: r for r in with_fallback_complexity(df).collect()}
+    assert (rough[1].syllable_count, rough[1].sentence_count, rough[4].sentence_count) == (9.0, 2, 3)
