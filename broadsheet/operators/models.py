@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.operators.counts import count_items, most_common
 from broadsheet.operators.curves import auc, classification_report
+from broadsheet.session import stored
 
 # The same normalization as functions.text.normalize, as text: a saved model keeps it.
 _NORMALIZE = r"""
@@ -53,17 +54,14 @@ def fit_tfidf(
     prepared = train
     for stage in (normalize, tokenize, stop, pairs, join):
         prepared = stage.transform(prepared)
-    lists = prepared.select("_terms").persist()  # four passes; spills to disk
-    try:
-        # Equal counts are ordered by term, so the vocabulary is the same every time.
-        top = most_common(count_items(lists, F.col("_terms"), "term"), max_features, "term")
-        vocabulary = [row["term"] for row in top.collect()]  # max_features rows at most
-        counter = CountVectorizerModel.from_vocabulary(
-            vocabulary, inputCol="_terms", outputCol="_tf"
-        )
-        idf = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(lists)).idf
-    finally:
-        lists.unpersist()
+    # Three passes over the texts, here twice and once for the vectors: the term lists are
+    # several times larger than the texts, so they are made anew rather than kept.
+    lists = prepared.select("_terms")
+    # Equal counts are ordered by term, so the vocabulary is the same every time.
+    top = most_common(count_items(lists, F.col("_terms"), "term"), max_features, "term")
+    vocabulary = [row["term"] for row in top.collect()]  # max_features rows at most
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_terms", outputCol="_tf")
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(lists)).idf
     # Spark's idf lacks the + 1 of the smooth form.
     scale = ElementwiseProduct(
         scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="_tf", outputCol="_weighted"
@@ -103,16 +101,13 @@ def fit_classifier(
 ) -> PipelineModel:
     """TF-IDF and a classifier ("lr" or "gbt") as one model, ready to be saved."""
     vectors = fit_tfidf(train, text, max_features, stopwords)
-    rows = vectors.transform(train).select("label", "features").persist()
-    try:
-        if kind == "lr":
-            estimator = logistic_regression(rows.count(), **options)
-        else:
-            estimator = boosted_trees(**options)
-        classifier = estimator.fit(rows)
-    finally:
-        rows.unpersist()
-    return PipelineModel([*vectors.stages, classifier])
+    # Fitting passes over the vectors many times, so they start from a table of their own.
+    rows = stored(vectors.transform(train).select("label", "features"), "vectors")
+    if kind == "lr":
+        estimator = logistic_regression(rows.count(), **options)
+    else:
+        estimator = boosted_trees(**options)
+    return PipelineModel([*vectors.stages, estimator.fit(rows)])
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:

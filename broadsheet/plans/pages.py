@@ -13,6 +13,15 @@ def page_articles(spark, folder):
     return pg.articles(pg.parse_pages(table(spark, folder, "pages")))
 
 
+@query("""
+SELECT page_id, len(regexp_extract_all(html, '<p[ >]'))::INT AS paragraphs,
+  len(regexp_extract_all(html, '<a [^>]*href='))::INT AS hrefs FROM pages
+""")
+def page_shape(spark, folder):
+    parsed = pg.parse_pages(table(spark, folder, "pages"))
+    return parsed.select("page_id", F.size("paragraphs").alias("paragraphs"), F.size("hrefs").alias("hrefs"))
+
+
 # The first heading of a page, without tags; the data has no heading with markup but entities.
 _HEADING = r"regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)"
 

@@ -24,6 +24,10 @@ def session_options(num_workers: int, mem_per_worker: int, cores_per_worker: int
         "spark.sql.adaptive.enabled": "true",
         # An upper limit that AQE coalesces down: too few partitions cannot be mended later.
         "spark.sql.shuffle.partitions": str(max(200, 3 * num_workers * cores_per_worker)),
+        # The state of a stream that remembers every address outgrows the heap.
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
         # Whole pages travel to Python: ten thousand of them may not fit into one batch.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
         "spark.sql.session.timeZone": "UTC",
