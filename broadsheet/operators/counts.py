@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
 
+MANY = 1000  # rows that each task may send to the last step of a top k
+
 
 def count_items(df: DataFrame, items: Column, name: str = "word", by: list[str] | None = None) -> DataFrame:
     """(by..., name, n): how often each element of an array column occurs."""
@@ -19,10 +21,24 @@ def count_items(df: DataFrame, items: Column, name: str = "word", by: list[str]
 
 
 def most_common(counts: DataFrame, k: int, name: str = "word") -> DataFrame:
-    """The k rows with the highest n, equal counts by name."""
+    """The k rows with the highest n, equal counts by name.
+
+    The last step takes up to k rows from each task into one. For a large k, rows below the
+    count that the k-th row has are left out before.
+    """
+    if k > MANY:
+        counts = counts.where(F.col("n") >= _count_of_last(counts, k))
     return counts.orderBy(F.desc("n"), name).limit(k)
 
 
+def _count_of_last(counts: DataFrame, k: int) -> Column:
+    """The n of the k-th row, 0 when there are fewer."""
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("rows"))
+    from_top = F.sum("rows").over(Window.orderBy(F.desc("n")))  # one row per different n
+    reached = sizes.withColumn("upto", from_top).where(F.col("upto") >= k)
+    return F.coalesce(reached.agg(F.max("n")).scalar(), F.lit(0))
+
+
 def basic_words(df: DataFrame) -> DataFrame:
     """Basic cleaned title and text of each article as one array of words."""
     both = F.concat_ws(" ", "text", "title")

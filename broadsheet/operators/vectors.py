@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
+from broadsheet.operators.counts import count_items, most_common
 from broadsheet.operators.lookup import lookup
 
 OOV_ID = 1
@@ -42,12 +43,8 @@ def tfidf(
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    vocabulary = (
-        counted.groupBy("term")
-        .agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-        .orderBy(F.desc("total"), "term")
-        .limit(max_features)
-    )
+    totals = counted.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+    vocabulary = most_common(totals, max_features, "term")
     docs = df.agg(F.count(F.lit(1))).scalar()
     idf = F.log((docs + 1) / (F.col("df") + 1)) + 1
     raw = counted.join(F.broadcast(vocabulary.select("term", idf.alias("idf"))), "term")
@@ -59,9 +56,8 @@ def tfidf(
 def word_ids(df: DataFrame, text: str, num_words: int = 10_000) -> DataFrame:
     """(word, id): ids from 2 by falling frequency, all below num_words."""
     found = F.split(tx.normalize(F.col(text)), " ")
-    exploded = df.select(F.explode(found).alias("word")).where("word != ''")
-    counts = exploded.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(max(num_words - OOV_ID - 1, 0))
+    counts = count_items(df, F.filter(found, lambda w: w != ""))
+    top = most_common(counts, max(num_words - OOV_ID - 1, 0))
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "word"))  # num_words rows at most
     return top.select("word", (rank + OOV_ID).alias("id"))
 

@@ -112,3 +112,14 @@ def test_lookup_ways_agree(spark):
     small = lookup(tokens, table, "word", spread="id")
     large = lookup(tokens, table, "word", spread="id", max_rows=5)
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+
+
+def test_large_top_k(spark, monkeypatch):
+    from broadsheet.operators import counts
+
+    monkeypatch.setattr(counts, "MANY", 3)
+    rows = [(f"w{i:03d}", 100 - i // 4) for i in range(200)]
+    df = spark.createDataFrame(rows, "word string, n long").repartition(8)
+    for k in (0, 3, 4, 6, 8, 199, 200, 500):
+        got = [r.word for r in counts.most_common(df, k).collect()]
+        assert got == [w for w, _ in rows[:k]]
