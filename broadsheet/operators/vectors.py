@@ -38,16 +38,16 @@ def tfidf(
     placed = df.select(key, text).repartition(key)
     listed = placed.select(key, vector_words(F.col(text), stopwords).alias("words"))
     terms = F.concat("words", tx.ngrams(F.col("words"), 2))
-    counted = (
-        listed.select(key, F.explode(terms).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    totals = counted.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+    exploded = listed.select(key, F.explode(terms).alias("term"))
+    one = F.count(F.lit(1))
+    counted = exploded.groupBy(key, "term").agg(one.alias("tf"))
+    totals = counted.groupBy("term").agg(F.sum("tf").alias("n"), one.alias("df"))
     vocabulary = most_common(totals, max_features, "term")
-    docs = df.agg(F.count(F.lit(1))).scalar()
+    docs = df.agg(one).scalar()
     idf = F.log((docs + 1) / (F.col("df") + 1)) + 1
-    raw = counted.join(F.broadcast(vocabulary.select("term", idf.alias("idf"))), "term")
+    # Terms outside the vocabulary go before the rest are counted once more.
+    known = exploded.join(F.broadcast(vocabulary.select("term", idf.alias("idf"))), "term")
+    raw = known.groupBy(key, "term", "idf").agg(one.alias("tf"))
     weight = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(weight * weight).over(Window.partitionBy(key)))
     return raw.select(key, "term", (weight / norm).alias("weight"))
