@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import bpe, token_counts, token_files
+from broadsheet.llm import bpe, exact_dedup, simhash, token_counts, token_files
 from broadsheet.llm.vocabulary import default_path
 from broadsheet.session import shared_dir
 
@@ -30,6 +30,27 @@ def op2_token_counts(spark, folder):
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op3_simhash(spark, folder):
+    rows = simhash.near_duplicates(_table(spark, folder, "documents"), width=3)
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return rows.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def op5_exact_dedup(spark, folder):
+    rows = exact_dedup.deduplicate(_table(spark, folder, "documents"), shared_dir(spark, "digest-index"))
+    return rows.select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+"""
+
+
 def op8_bpe(spark, folder):
     path = default_path(WORD_BPE)
     rows = bpe.decode(bpe.encode(_table(spark, folder, "documents"), path), path)
@@ -48,8 +69,9 @@ def pipeline(spark, folder):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op8_bpe, pipeline)}
+    ops = (op1_token_files, op2_token_counts, op3_simhash, op5_exact_dedup, op8_bpe)
+    return {f.__name__: f for f in (*ops, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_dedup": OP5_SQL}
