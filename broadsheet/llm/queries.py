@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import bpe, exact_dedup, simhash, token_counts, token_files
+from broadsheet.llm import bpe, exact_dedup, packing, simhash, token_counts, token_files
 from broadsheet.llm.vocabulary import default_path
 from broadsheet.session import shared_dir
 
@@ -36,6 +36,11 @@ def op3_simhash(spark, folder):
     return rows.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op4_packing(spark, folder):
+    pieces = packing.pack(_table(spark, folder, "documents"), default_path(WORD_BPE), end_id=2, length=4096)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op5_exact_dedup(spark, folder):
     rows = exact_dedup.deduplicate(_table(spark, folder, "documents"), shared_dir(spark, "digest-index"))
     return rows.select(
@@ -69,7 +74,7 @@ def pipeline(spark, folder):
 
 
 def queries():
-    ops = (op1_token_files, op2_token_counts, op3_simhash, op5_exact_dedup, op8_bpe)
+    ops = (op1_token_files, op2_token_counts, op3_simhash, op4_packing, op5_exact_dedup, op8_bpe)
     return {f.__name__: f for f in (*ops, pipeline)}
 
 
