@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import bpe, exact_dedup, packing, simhash, token_counts, token_files
+from broadsheet.llm import ann, bpe, exact_dedup, packing, simhash, token_counts, token_files
 from broadsheet.llm.vocabulary import default_path
 from broadsheet.session import shared_dir
 
@@ -56,6 +56,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+def op7_ann(spark, folder):
+    return ann.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20, recall=0.95)
+
+
 def op8_bpe(spark, folder):
     path = default_path(WORD_BPE)
     rows = bpe.decode(bpe.encode(_table(spark, folder, "documents"), path), path)
@@ -74,7 +78,7 @@ def pipeline(spark, folder):
 
 
 def queries():
-    ops = (op1_token_files, op2_token_counts, op3_simhash, op4_packing, op5_exact_dedup, op8_bpe)
+    ops = (op1_token_files, op2_token_counts, op3_simhash, op4_packing, op5_exact_dedup, op7_ann, op8_bpe)
     return {f.__name__: f for f in (*ops, pipeline)}
 
 
