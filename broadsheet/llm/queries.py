@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import ann, bpe, exact_dedup, packing, simhash, token_counts, token_files
+from broadsheet.llm import ann, bpe, exact_dedup, packing, pii, simhash, token_counts, token_files
 from broadsheet.llm.vocabulary import default_path
 from broadsheet.session import shared_dir
 
@@ -71,6 +71,10 @@ def op8_bpe(spark, folder):
     )
 
 
+def op10_pii(spark, folder):
+    return pii.summary(pii.find(_table(spark, folder, "documents")))
+
+
 def pipeline(spark, folder):
     import corpus_pipeline  # it imports the operators itself
 
@@ -78,7 +82,7 @@ def pipeline(spark, folder):
 
 
 def queries():
-    ops = (op1_token_files, op2_token_counts, op3_simhash, op4_packing, op5_exact_dedup, op7_ann, op8_bpe)
+    ops = (op1_token_files, op2_token_counts, op3_simhash, op4_packing, op5_exact_dedup, op7_ann, op8_bpe, op10_pii)
     return {f.__name__: f for f in (*ops, pipeline)}
 
 
