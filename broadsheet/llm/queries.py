@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import ann, bpe, exact_dedup, packing, pii, simhash, token_counts, token_files
+from broadsheet.llm import ann, bpe, exact_dedup, html_text, packing, pii, quality, simhash, token_counts, token_files
 from broadsheet.llm.vocabulary import default_path
 from broadsheet.session import shared_dir
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 MAX_TOKENS = 512
+MIN_QUALITY = 0.5
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,6 +57,13 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+def op6_quality(spark, folder):
+    docs = _table(spark, folder, "documents")
+    model = quality.fit(docs, _table(spark, folder, "labels"))
+    rows = quality.score(docs, model).select("doc_id", *quality.SCORES)
+    return rows.withColumn("accepted", F.col("quality_score") >= MIN_QUALITY)
+
+
 def op7_ann(spark, folder):
     return ann.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20, recall=0.95)
 
@@ -71,6 +79,12 @@ def op8_bpe(spark, folder):
     )
 
 
+def op9_html(spark, folder):
+    pages = _table(spark, folder, "pages")
+    rows = html_text.extract(pages, html_text.fit(pages))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_pii(spark, folder):
     return pii.summary(pii.find(_table(spark, folder, "documents")))
 
@@ -82,7 +96,7 @@ def pipeline(spark, folder):
 
 
 def queries():
-    ops = (op1_token_files, op2_token_counts, op3_simhash, op4_packing, op5_exact_dedup, op7_ann, op8_bpe, op10_pii)
+    ops = (op1_token_files, op2_token_counts, op3_simhash, op4_packing, op5_exact_dedup, op6_quality, op7_ann, op8_bpe, op9_html, op10_pii)
     return {f.__name__: f for f in (*ops, pipeline)}
 
 
