@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TEXT_BYTES = 4 << 20  # of text that a Python worker holds as words at a time
+TEXT_BYTES = 6 << 20  # of text that a Python worker holds as words at a time
 
 
 def text_rows(
@@ -33,3 +34,12 @@ def slices(
             held += size or 0
         if first < batch.num_rows:
             yield batch.slice(first)
+
+
+def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows, by hash of their key."""
+    n = rows.count()
+    spread = 1 << 20
+    share = min(spread, math.ceil(2 * spread * most / max(n, 1)))
+    drawn = rows.where(F.pmod(F.xxhash64(key), F.lit(spread)) < share)
+    return drawn.orderBy(F.xxhash64(key), key).limit(most)

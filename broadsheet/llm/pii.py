@@ -86,11 +86,13 @@ def _passes(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """(row, doc_id, kind, wide, begin, stop, match, before, after), and for each document one
-    row with a null kind. Places count code points, the end is exclusive."""
+    row with a null kind. Places count code points, the end is exclusive. `row` names a column
+    that tells rows apart; without it they are numbered."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        number.alias("row"),
         F.col(key).cast("long").alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
@@ -262,9 +264,11 @@ def span_classifier(voted: DataFrame, model: dict[str, dict[str, float]]) -> Col
     return 1 / (1 + F.exp(-logit))
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+def find(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None, threshold: float = 0.5
+) -> DataFrame:
     """(row, doc_id, spans): for each document its spans (begin, rank, kind, stop, base), sorted."""
-    voted = stored(with_votes(candidates(docs, key, text)), "candidates")
+    voted = stored(with_votes(candidates(docs, key, text, row)), "candidates")
     score = span_classifier(voted, reliabilities(voted))
     scored = voted.withColumn("score", F.when(F.col("kind").isNotNull(), score))
     # Additions must not overlap a base span: of those before, the furthest end counts.

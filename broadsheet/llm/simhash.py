@@ -249,13 +249,17 @@ def near_duplicates(
     segments: int | None = None,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
-    """(doc_id, row, fp, component_id): component_id is the smallest doc_id of the group."""
+    """(doc_id, row, fp, component_id, first_row): component_id is the smallest doc_id of the
+    group, first_row the `row` of that document, null keys last."""
     rows = stored(fingerprints(docs, key, text, width, row), "fingerprints")
-    least = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+    least = stored(rows.groupBy("fp").agg(F.min(place).alias("first")), "distinct")
     linked = components(links(least.select("fp"), segments, shard_rows))
     rooted = least.join(linked, least.fp == linked.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    tops = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(tops, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "row", "fp", "component_id")
+    tops = rooted.groupBy("root").agg(F.min("first").alias("top"))
+    named = rooted.join(tops, "root").select(
+        "fp", F.col("top")["doc_id"].alias("component_id"), F.col("top")["row"].alias("first_row")
+    )
+    return rows.join(named, "fp").select("doc_id", "row", "fp", "component_id", "first_row")
