@@ -24,6 +24,7 @@ rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import product
 
@@ -44,23 +45,30 @@ SHARD_ROWS = 100_000  # what a task should hold at a time
 LEAF = 64
 
 
-def fingerprint(words: list[bytes], width: int = 3, seed: int = 42) -> int:
-    """The SimHash of a word sequence; shorter sequences than `width` are one shingle."""
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], width: int, seed: int) -> np.ndarray:
+    """XXH64 of every run of `width` words, repeats included; fewer words are one shingle."""
     n = max(1, len(words) - width + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     stops = ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for i in range(0, n, 4096):
         bits = np.unpackbits(hashes[i : i + 4096].astype("<u8").view(np.uint8), bitorder="little")
         counts += bits.reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    chosen = np.packbits(counts * 2 > n, bitorder="little")
-    return int(chosen.view("<u8")[0])
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(words: list[bytes], width: int = 3, seed: int = 42) -> int:
+    """The SimHash of a word sequence, zero without words."""
+    return majority(shingle_hashes(words, width, seed)) if words else 0
 
 
 def fingerprints(
@@ -206,35 +214,36 @@ def search(points: np.ndarray, queries: np.ndarray, forest: Forest) -> None:
         todo.append((points[~inside], queries[apart + RADIUS >= edge_out]))
 
 
+def whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each shard of a partition that is sorted by `shard`."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        codes = batch.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and b > a and held[0].column("shard")[0].as_py() != codes[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def links(distinct: DataFrame, segments: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b): links of a spanning forest of each shard of distinct fingerprints `fp`."""
     segments = segments or segments_for(distinct.count())
     dealt = _divide(stored(_shards(distinct, segments), "shards"), shard_rows)
 
+    def linked(shard: pa.Table) -> pa.RecordBatch:
+        fps = shard.column("fp").to_numpy().view(np.uint64)
+        forest = Forest()
+        search(fps[shard.column("home").to_numpy()], fps, forest)
+        made = np.array(forest.links, np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(shard: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(shard)
-            fps = table.column("fp").to_numpy().view(np.uint64)
-            home = table.column("home").to_numpy()
-            forest = Forest()
-            search(fps[home], fps, forest)
-            made = np.array(forest.links, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["a", "b"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            codes = batch.column("shard").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
-            for a, b in zip(cuts, cuts[1:]):
-                if held and held[0].column("shard")[0].as_py() != codes[a]:
-                    out = linked(held)
-                    held = []
-                    if out.num_rows:
-                        yield out
-                if b > a:
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield linked(held)
+        yield from map(linked, whole_shards(batches))
 
     ordered = dealt.repartition("shard").sortWithinPartitions("shard")
     return ordered.mapInArrow(run, "a bigint, b bigint")
@@ -254,7 +263,12 @@ def near_duplicates(
     rows = stored(fingerprints(docs, key, text, width, row), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
     least = stored(rows.groupBy("fp").agg(F.min(place).alias("first")), "distinct")
-    linked = components(links(least.select("fp"), segments, shard_rows))
+    return _named(rows, least, links(least.select("fp"), segments, shard_rows))
+
+
+def _named(rows: DataFrame, least: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rows with the first document of the component that their fingerprint is in."""
+    linked = components(linked)
     rooted = least.join(linked, least.fp == linked.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
@@ -263,3 +277,133 @@ def near_duplicates(
         "fp", F.col("top")["doc_id"].alias("component_id"), F.col("top")["row"].alias("first_row")
     )
     return rows.join(named, "fp").select("doc_id", "row", "fp", "component_id", "first_row")
+
+
+# ---- near copies by similarity -----------------------------------------------------------
+#
+# Two bits are a similarity of nearly 1. Texts that share 0.8 of their shingles differ in a sixth
+# of all bits, where no bound on distances prunes. So the shards are then texts of which a
+# sample of shingles is the same, taken in several ways, and within a shard fingerprints of 256
+# bits are compared.
+
+WAYS = 12  # samples of shingles; at a similarity of 0.8 all differ for one pair in 100,000
+SAMPLED = 2  # shingles in a sample
+WORDS = 4  # of 64 bits in a wide fingerprint
+
+
+def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """Another hash of each hash: the finalizer of SplitMix64."""
+    x = hashes + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def radius_for(similarity: float) -> int:
+    """Differing bits, of 256, of two texts with this share of shingles in common, and one and a
+    half standard deviations more, so that few such pairs are missed."""
+    part = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * WORDS
+    return round(bits * part + 1.5 * math.sqrt(bits * part * (1 - part)))
+
+
+def wide_fingerprint(words: list[bytes], width: int) -> tuple[bytes, list[int]]:
+    """A SimHash of 256 bits, and a key for each sample of shingles."""
+    if not words:
+        return bytes(8 * WORDS), [0] * WAYS
+    hashes = shingle_hashes(words, width, 42)
+    wide = np.array([majority(_mixed(hashes, i + 1)) for i in range(WORDS)], "<u8")
+    distinct = np.unique(hashes)
+    keys = []
+    for way in range(WAYS):
+        turned = _mixed(distinct, WORDS + 1 + way)
+        least = np.sort(np.partition(turned, SAMPLED)[:SAMPLED] if len(turned) > SAMPLED else turned)
+        keys.append(xxhash.xxh64_intdigest(least.astype("<u8").tobytes(), way))
+    return wide.tobytes(), keys
+
+
+def apart(fps: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fps ^ one).sum(axis=1, dtype=np.int64)
+
+
+def join_similar(fps: np.ndarray, radius: int, join) -> None:
+    """Joins that connect all fingerprints within the radius, though not each pair by itself.
+
+    Each fingerprint not yet near a vantage point becomes one, and is compared with all.
+    Those near the same vantage point are then connected. Two others can be within the
+    radius only if their vantage points are within three times the radius.
+    """
+    near = np.full(len(fps), -1)
+    forest = Forest()
+    vantages: list[int] = []
+    while (near < 0).any():
+        i = int(np.argmax(near < 0))
+        found = np.flatnonzero(apart(fps, fps[i]) <= radius)
+        for j in found.tolist():
+            forest.join(i, j)
+        near[found[near[found] < 0]] = i
+        vantages.append(i)
+    groups = {v: np.flatnonzero(near == v) for v in vantages}
+    large = [v for v in vantages if len(groups[v]) > 1]
+    for n, v in enumerate(large):
+        others = [w for w in large[n + 1 :] if forest.find(v) != forest.find(w)]
+        if not others:
+            continue
+        far = apart(fps[others], fps[v])
+        for w, d in zip(others, far.tolist()):
+            if d <= 3 * radius and forest.find(v) != forest.find(w):
+                for i in groups[v].tolist():
+                    hit = np.flatnonzero(apart(fps[groups[w]], fps[i]) <= radius)
+                    if len(hit):
+                        forest.join(i, int(groups[w][hit[0]]))
+                        break
+    for a, b in forest.links:
+        join(a, b)
+
+
+def similar_documents(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    width: int = 5,
+    similarity: float = 0.8,
+    row: str | None = None,
+) -> DataFrame:
+    """(doc_id, row, fp, component_id, first_row), as `near_duplicates` gives them, for texts that
+    have about `similarity` of their shingles in common; fp is the wide fingerprint."""
+    number = F.col(row).cast("long") if row else F.lit(0).cast("long")
+    radius = radius_for(similarity)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            made = [wide_fingerprint(t.lower().split(), width) for t in texts]
+            keys = np.array([k for _, k in made], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row"), pa.array([f for f, _ in made], pa.binary()), pa.array(list(keys))],
+                names=["doc_id", "row", "fp", "keys"],
+            )
+
+    def linked(shard: pa.Table) -> pa.RecordBatch:
+        blobs = shard.column("fp").to_pylist()
+        found: list[tuple[bytes, bytes]] = []
+        if len(blobs) > 1:
+            fps = np.frombuffer(b"".join(blobs), "<u8").reshape(-1, WORDS)
+            join_similar(fps, radius, lambda a, b: found.append((blobs[a], blobs[b])))
+        ends = [pa.array([pair[i] for pair in found], pa.binary()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(linked, whole_shards(batches))
+
+    sketched = text_rows(docs, key, text, number.alias("row")).mapInArrow(
+        sketch, "doc_id bigint, row bigint, fp binary, keys array<bigint>"
+    )
+    rows = stored(sketched, "sketches")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+    least = stored(rows.groupBy("fp").agg(F.min(place).alias("first")), "distinct")
+    # Equal fingerprints meet in one component whatever their keys, so each key counts.
+    dealt = rows.select("fp", F.explode("keys").alias("shard")).distinct()
+    alone = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shard")
+    shared = dealt.join(alone, "shard").repartition("shard").sortWithinPartitions("shard")
+    return _named(rows.drop("keys"), least, shared.mapInArrow(run, "a binary, b binary"))
