@@ -5,9 +5,10 @@ look like telephone numbers without a plus, addresses spelled with [at]). Labele
 every candidate: its pattern, a checksum or the form of its parts, a gazetteer of issuers,
 prefixes and domains, the words before it, and the characters that touch it. Expectation
 maximisation estimates from the votes alone how reliable each labeler is, for each kind, and
-how likely each pattern of votes is. These probabilities train the final classifier, a
-logistic regression over the votes and the form of a span. Base spans that pass their test
-always stay; the classifier adds others that do not overlap them.
+how likely each pattern of votes is; base spans that pass their test count as true there, and
+those that fail it as false. These probabilities train the final classifier, a
+logistic regression over the votes and the form of a span. Base spans that pass always stay;
+the classifier adds wider ones that do not overlap them.
 
 Patterns are written so that every text is scanned in linear time: runs are taken whole,
 without giving characters back, and a match starts only where a run does or where the last
@@ -153,7 +154,8 @@ def _vote(yes: Column, no: Column) -> Column:
 
 
 def with_votes(spans: DataFrame) -> DataFrame:
-    """Candidates with `base` (kept whatever the votes) and a vote of -1, 0 or 1 per labeler."""
+    """Candidates with `base` (kept whatever the votes), `told` (1 for base spans, -1 for those
+    that fail their test, else 0) and a vote of -1, 0 or 1 per labeler."""
     kind, match = F.col("kind"), F.col("match")
 
     def by_kind(choice) -> Column:
@@ -176,7 +178,8 @@ def with_votes(spans: DataFrame) -> DataFrame:
     touching = F.substring("before", -1, 1).rlike(r"[\p{L}\p{N}_]") | F.col("after").rlike(r"[\p{L}\p{N}_]")
     return (
         spans.withColumn("base", F.coalesce(passes & ~F.col("wide"), F.lit(False)))
-        .withColumn("pattern", _vote(F.col("base"), ~F.col("base") & ~F.col("wide")))
+        .withColumn("told", _vote(F.col("base"), ~F.col("base") & ~F.col("wide")))
+        .withColumn("pattern", F.col("told"))
         .withColumn("form", by_kind(lambda k: forms[k]))
         .withColumn("gazetteer", by_kind(lambda k: lists[k]))
         .withColumn("context", _vote(by_kind(lambda k: F.col("before").rlike(CUES[k])), F.col("before").rlike(OTHER_CUES)))
@@ -189,16 +192,18 @@ def with_votes(spans: DataFrame) -> DataFrame:
 
 def reliabilities(voted: DataFrame, rounds: int = ROUNDS) -> dict[str, dict[str, float]]:
     """By expectation maximisation over the votes, for each kind: the share of true candidates
-    and, for each labeler, how often it votes 1 and -1 on true and on false ones.
+    and, for each labeler, how many of its votes are 1 and -1 on true and on false ones.
 
     The driver keeps these few numbers; each round is an aggregate over vote patterns.
     """
     patterns = stored(
-        voted.where("kind is not null").groupBy("kind", *VOTES).agg(F.count(F.lit(1)).cast("double").alias("n")),
+        voted.where("kind is not null").groupBy("kind", "told", *VOTES).agg(F.count(F.lit(1)).cast("double").alias("n")),
         "votes",
     )
     # It starts from the majority: labelers are right more often than not.
-    start = {"share": 0.5} | {f"{v}_{t}_{x}": (0.6 if (t == 1) == (x == 1) else 0.2) for v in VOTES for t in (0, 1) for x in (1, -1)}
+    start = {"share": 0.5} | {
+        f"{v}_{t}_{x}": 0.75 if (t == 1) == (x == 1) else 0.25 for v in VOTES for t in (0, 1) for x in (1, -1)
+    }
     model = {k: dict(start) for k in KINDS}
     for _ in range(rounds):
         p = probability(model)
@@ -210,33 +215,32 @@ def reliabilities(voted: DataFrame, rounds: int = ROUNDS) -> dict[str, dict[str,
                 sums += [F.sum(here * F.col("p")).alias(f"{v}_1_{x}"), F.sum(here * (1 - F.col("p"))).alias(f"{v}_0_{x}")]
         for row in weighed.groupBy("kind").agg(*sums).collect():  # a row per kind
             found = row.asDict()
-            true, false = found.pop("true"), found["n"] - row["true"]
-            kind, n = found.pop("kind"), found.pop("n")
+            kind, n, true = (found.pop(name) for name in ("kind", "n", "true"))
             # A few made-up votes keep every probability away from 0 and 1.
-            model[kind] = {"share": (true + 1) / (n + 2)} | {
-                name: (value + 1 + 2 * start[name]) / ((true if "_1_" in name else false) + 5)
-                for name, value in found.items()
-            }
+            model[kind] = {"share": (true + 1) / (n + 2)}
+            for v in VOTES:
+                for t in (0, 1):
+                    cast = found[f"{v}_{t}_1"] + found[f"{v}_{t}_-1"]
+                    for x in (1, -1):
+                        name = f"{v}_{t}_{x}"
+                        model[kind][name] = (found[name] + 2 * start[name]) / (cast + 2)
     return model
 
 
 def probability(model: dict[str, dict[str, float]]) -> Column:
-    """How likely a candidate is true, given its votes."""
+    """How likely a candidate is true: sure where it is told, else given its votes."""
 
     def odds(m: dict[str, float]) -> Column:
         total = F.lit(math.log(m["share"] / (1 - m["share"])))
         for v in VOTES:
-            ratios = {}
-            for x in (1, -1):
-                ratios[x] = m[f"{v}_1_{x}"] / m[f"{v}_0_{x}"]
-            rest = [max(1e-6, 1 - m[f"{v}_{t}_1"] - m[f"{v}_{t}_-1"]) for t in (0, 1)]
-            total = total + F.when(F.col(v) == 1, math.log(ratios[1])).when(F.col(v) == -1, math.log(ratios[-1])).otherwise(
-                math.log(rest[1] / rest[0])
-            )
+            yes, no = (math.log(m[f"{v}_1_{x}"] / m[f"{v}_0_{x}"]) for x in (1, -1))
+            # Who does not vote says nothing.
+            total = total + F.when(F.col(v) == 1, yes).when(F.col(v) == -1, no).otherwise(0.0)
         return total
 
     logit = reduce(lambda c, k: F.when(F.col("kind") == k, odds(model[k])).otherwise(c), KINDS, F.lit(0.0))
-    return 1 / (1 + F.exp(-logit))
+    told = F.col("told")
+    return F.when(told == 1, 1.0).when(told == -1, 0.0).otherwise(1 / (1 + F.exp(-logit)))
 
 
 def span_classifier(voted: DataFrame, model: dict[str, dict[str, float]]) -> Column:
@@ -276,7 +280,7 @@ def find(
     until = F.max(F.when(F.col("base"), F.col("stop"))).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     following = F.min(F.when(F.col("base"), F.col("begin"))).over(by_place.rowsBetween(1, Window.unboundedFollowing))
     free = (F.coalesce(until, F.lit(0)) <= F.col("begin")) & F.coalesce(following >= F.col("stop"), F.lit(True))
-    taken = F.col("base") | (free & (F.col("score") >= threshold))
+    taken = F.col("base") | (free & F.col("wide") & (F.col("score") >= threshold))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     span = F.struct("begin", rank.alias("rank"), "kind", "stop", "base")
     marked = scored.withColumn("taken", F.coalesce(taken, F.lit(False)))
