@@ -158,7 +158,7 @@ def normalize(c: Column) -> Column:
 def repair_mojibake(c: Column) -> Column:
     """UTF-8 that was read as Latin-1 is read again; odd spaces become plain ones."""
     raw = F.try_validate_utf8(F.encode(c, "ISO-8859-1"))
-    fixed = F.when(c.rlike(r"^[\x00-\xFF]*$"), raw)
+    fixed = F.when(~c.rlike(r"[^\x00-\xFF]"), raw)
     return F.translate(F.coalesce(fixed, c), "\u00a0\u200b", "  ")
 
 

@@ -20,14 +20,21 @@ def _by_threshold(df: DataFrame, label: str, score: str, by: list[str]) -> DataF
 def roc_curve(
     df: DataFrame, label: str = "label", score: str = "score", by: list[str] | None = None
 ) -> DataFrame:
-    """(by..., threshold, fpr, tpr) for every different score."""
+    """(by..., threshold, fpr, tpr) for every different score, and (0, 0) above all scores."""
     by = by or []
-    return _by_threshold(df, label, score, by).select(
+    points = _by_threshold(df, label, score, by).select(
         *by,
         "threshold",
         F.try_divide(F.col("upto_fp"), F.col("total_fp")).alias("fpr"),
         F.try_divide(F.col("upto_tp"), F.col("total_tp")).alias("tpr"),
     )
+    start = [F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")]
+    return points.unionByName(_one_per_group(df, by).select(*by, *start))
+
+
+def _one_per_group(df: DataFrame, by: list[str]) -> DataFrame:
+    """A row for each group; without groups one row if there is any."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
 
 
 def auc(
@@ -46,14 +53,17 @@ def auc(
 def precision_recall_curve(
     df: DataFrame, label: str = "label", score: str = "score", by: list[str] | None = None
 ) -> DataFrame:
-    """(by..., threshold, precision, recall) for every different score."""
+    """(by..., threshold, precision, recall) for every different score; the curve ends at
+    precision 1 and recall 0 without a threshold."""
     by = by or []
-    return _by_threshold(df, label, score, by).select(
+    points = _by_threshold(df, label, score, by).select(
         *by,
         "threshold",
         (F.col("upto_tp") / (F.col("upto_tp") + F.col("upto_fp"))).alias("precision"),
         F.try_divide(F.col("upto_tp"), F.col("total_tp")).alias("recall"),
     )
+    end = [F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")]
+    return points.unionByName(_one_per_group(df, by).select(*by, *end))
 
 
 def _cells(label: str, prediction: str):

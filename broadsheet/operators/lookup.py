@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
-SALTS = 32
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
@@ -24,24 +23,11 @@ def hint(side: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(side) if small else side
 
 
-def lookup(
-    tokens: DataFrame,
-    table: DataFrame,
-    on: str,
-    spread: str,
-    how: str = "left",
-    max_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
+def lookup(tokens: DataFrame, table: DataFrame, on: str, how: str = "left") -> DataFrame:
     """Join tokens with a table that has one row per `on`.
 
-    A small table is broadcast. A larger one is shuffled; since a frequent word may hold a
-    third of all tokens, the tokens are then salted by `spread` and the table is repeated
-    once per salt.
+    Spark broadcasts the table if its bytes, known once it is made, are below
+    spark.sql.autoBroadcastJoinThreshold. Otherwise it sorts and merges, and splits the
+    partition of a word that holds a large part of all tokens.
     """
-    if is_small(table, max_rows):
-        return tokens.join(F.broadcast(table), on, how)
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salted = tokens.withColumn("_salt", salt.cast("int"))
-    repeated = table.withColumn("_salt", salts)
-    return salted.join(repeated, [on, "_salt"], how).drop("_salt")
+    return tokens.join(table, on, how)

@@ -95,9 +95,15 @@ def stratified_split(
     return marked.where("not is_test").drop("is_test"), marked.where("is_test").drop("is_test")
 
 
+def number(col: str) -> Column:
+    """A column as doubles; NaN counts as missing."""
+    value = F.col(col).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def unpivot(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., metric, value) rows with the given columns as doubles."""
-    picked = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
+    """(by..., metric, value) rows with the given columns as doubles, NaN as null."""
+    picked = df.select(*by, *[number(c).alias(c) for c in cols])
     return picked.unpivot(list(by), list(cols), "metric", "value")
 
 

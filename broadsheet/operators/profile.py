@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.operators.lookup import groups_are_few, hint
-from broadsheet.operators.order import exact_quantiles, unpivot
+from broadsheet.operators.order import exact_quantiles, number, unpivot
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -16,10 +16,17 @@ def row_count(df: DataFrame) -> DataFrame:
 
 
 def missing_profile(df: DataFrame) -> DataFrame:
-    """(column, missing, percent) by falling number of missing values, from one pass."""
+    """(column, missing, percent) by falling number of missing values, from one pass.
+
+    NaN is missing as null is.
+    """
+
+    def missing(name: str, kind: str):
+        null = F.col(name).isNull()
+        return null | F.isnan(name) if kind in ("float", "double") else null
+
     counts = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns],
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(missing(c, t)).alias(c) for c, t in df.dtypes]
     )
     long = counts.unpivot(["rows"], df.columns, "column", "missing")
     percent = F.col("missing") / F.col("rows") * 100
@@ -87,7 +94,7 @@ def imbalance(counts: DataFrame, limit: float = 1.5) -> DataFrame:
 def corr(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, corr) for every pair of the columns, from one pass."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    numbers = df.select(*[number(c).alias(c) for c in cols])
     row = numbers.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     long = row.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "corr")
     a, b = F.split_part("pair", F.lit("|"), F.lit(1)), F.split_part("pair", F.lit("|"), F.lit(2))
@@ -101,7 +108,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     The edges need one pass for the range; empty bins are kept with n = 0. Without any
     value there are no bins.
     """
-    values = df.select(F.col(col).cast("double").alias("v")).where("v is not null")
+    values = df.select(number(col).alias("v")).where("v is not null")
     flat = F.min("v") == F.max("v")
     low = F.when(flat, F.min("v") - 0.5).otherwise(F.min("v"))
     high = F.when(flat, F.max("v") + 0.5).otherwise(F.max("v"))
@@ -136,7 +143,7 @@ def box_stats(df: DataFrame, col: str, by: str) -> DataFrame:
     reach = (F.col("q75") - F.col("q25")) * 1.5
     v = F.col("v")
     inside = v.between(F.col("q25") - reach, F.col("q75") + reach)
-    values = df.select(by, F.col(col).cast("double").alias("v")).where("v is not null")
+    values = df.select(by, number(col).alias("v")).where("v is not null")
     return (
         values.join(hint(box, groups_are_few(df, [by])), by)
         .groupBy(by, "q25", "q50", "q75")

@@ -6,46 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
-from broadsheet.operators.lookup import is_small, lookup
+from broadsheet.operators.lookup import lookup
 
-MAX_LITERAL_LEMMAS = 2_000
-
-
-def lemmatize(
-    df: DataFrame, key: str, words: str, lemmas: DataFrame, max_literal: int = MAX_LITERAL_LEMMAS
-) -> DataFrame:
+def lemmatize(df: DataFrame, key: str, words: str, lemmas: DataFrame) -> DataFrame:
     """The word array with every word replaced by its lemma, order kept.
 
-    `lemmas` has one row (word, lemma) per word. A small table is put into the plan as a
-    map, so rows stay where they are. A large one is joined with the exploded words: rows
-    are shuffled once by their unique key, while they are still arrays, and with a table
-    that can be broadcast the words are collected again where they are.
+    `lemmas` has rows (word, lemma). A word with several lemmas has the smallest one, a word
+    with none keeps its form. Only the key and the words travel; `key` must identify a row.
     """
-    if is_small(lemmas, max_literal):
-        pairs = {r["word"]: r["lemma"] for r in lemmas.collect()}
-        if not pairs:
-            return df
-        table = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
-        known = list(pairs)
-        lemma = F.transform(words, lambda w: F.when(w.isin(known), table[w]).otherwise(w))
-        return df.withColumn(words, lemma)
-    placed = df.repartition(key)
-    # The outer form derives no filter of its own, so both uses share one shuffle.
-    spread = placed.select(key, F.posexplode_outer(words).alias("pos", "word"))
-    joined = lookup(spread, lemmas.select("word", "lemma"), "word", spread=key)
+    one = lemmas.groupBy("word").agg(F.min("lemma").alias("lemma"))
+    spread = df.select(key, F.posexplode_outer(words).alias("pos", "word"))
+    joined = lookup(spread, one, "word")
     found = F.when(F.col("word").isNotNull(), F.struct("pos", F.coalesce("lemma", "word").alias("w")))
     again = joined.groupBy(key).agg(F.array_sort(F.collect_list(found)).alias("_found"))
     empty = F.array().cast("array<string>")
     replaced = F.when(F.col(words).isNotNull(), F.coalesce(F.col("_found.w"), empty))
-    return placed.join(again, key, "left").withColumn(words, replaced).drop("_found")
+    return df.join(again, key, "left").withColumn(words, replaced).drop("_found")
 
 
-def advanced_text(df: DataFrame, key: str, col: str, lemmas: DataFrame, **options) -> DataFrame:
+def advanced_text(df: DataFrame, key: str, col: str, lemmas: DataFrame) -> DataFrame:
     """Advanced preprocessing of a text column, as <col>_processed; null gives ''."""
     name = f"{col}_processed"
     listed = df.withColumn(name, tx.advanced_words(F.col(col)))
     joined = F.coalesce(F.array_join(name, " "), F.lit(""))
-    return lemmatize(listed, key, name, lemmas, **options).withColumn(name, joined)
+    return lemmatize(listed, key, name, lemmas).withColumn(name, joined)
 
 
 def sentiment(
@@ -58,7 +42,7 @@ def sentiment(
     """
     found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}']+"), F.lit(0))
     tokens = df.select(*key, F.explode_outer(found).alias("word"))
-    scored = lookup(tokens, lexicon.select("word", "polarity", "subjectivity"), "word", key[0])
+    scored = lookup(tokens, lexicon.select("word", "polarity", "subjectivity"), "word")
     return scored.groupBy(*key).agg(
         F.coalesce(F.avg("polarity"), F.lit(0.0)).alias(f"{prefix}sentiment"),
         F.coalesce(F.avg("subjectivity"), F.lit(0.0)).alias(f"{prefix}subjectivity"),

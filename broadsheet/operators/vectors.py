@@ -72,7 +72,7 @@ def encode(
     """
     found = F.filter(F.split(tx.normalize(F.col(text)), " "), lambda w: w != "")
     first = df.select(key, F.posexplode_outer(F.slice(found, 1, length)).alias("pos", "word"))
-    joined = lookup(first, ids.select("word", F.col("id").alias("_id")), "word", spread=key)
+    joined = lookup(first, ids.select("word", F.col("id").alias("_id")), "word")
     coded = F.when(
         F.col("word").isNotNull(), F.struct("pos", F.coalesce("_id", F.lit(OOV_ID)).alias("code"))
     )

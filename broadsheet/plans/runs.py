@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from broadsheet.operators import runlog as rl
 from broadsheet.operators.runlog import KINDS
 from broadsheet.plans.base import query, rounded, table
-from broadsheet.session import shared_dir
-from broadsheet.sources import eventlog, runlogs
+from broadsheet.session import shared_dir, stored
+from broadsheet.sources import runlogs
 
 STAGES = 7
 _MEASURES = {
@@ -161,29 +161,28 @@ def stage_values(spark, folder):
 
 
 def _logs(spark, folder) -> str:
-    """The runs as CSV logs: each kind in its own file, with its own number of stages."""
+    """The runs as CSV logs, each in the file of its kind and its highest stage."""
     base = shared_dir(spark, "logs")
     runs = wide_runs(spark, folder)
-    for (status, short), stages in zip(_STATUS.items(), (3, 5, STAGES)):
-        spare = [c for c in runs.columns if c.startswith("stage") and int(c[5]) >= stages]
-        part = runs.where(F.col("status") == status).drop("status", *spare)
-        runlogs.write_runs(part, f"{base}/{short}log.csv")
+    last = F.greatest(*[F.when(F.col(f"stage{i}_time").isNotNull(), i + 1).otherwise(0) for i in range(STAGES)])
+    runs = stored(runs.withColumn("last", last), "runs")
+    for status, short in _STATUS.items():
+        for stages in range(STAGES + 1):
+            spare = [c for c in runs.columns if c.startswith("stage") and int(c[5]) >= stages]
+            part = runs.where((F.col("status") == status) & (F.col("last") == stages))
+            runlogs.write_runs(part.drop("status", "last", *spare), f"{base}/{short}{stages}.csv")
     return base
 
 
-_KEPT = {"F": 3, "O": 5, "P": STAGES}
-_READ_STAGES = ", ".join(
-    f"CASE WHEN {' OR '.join(f'''status = '{s}' AND {i} < {n}''' for s, n in _KEPT.items())} "
-    f"THEN round(stage{i}_time, 4) END AS stage{i}_time"
-    for i in range(STAGES)
-)
+_READ_STAGES = ", ".join(f"round(stage{i}_{m}, 4) AS stage{i}_{m}" for i in range(STAGES) for m in ("time", "recordsRead"))
 
 
 @query(f"""WITH {_WIDE} SELECT run_id, {_KIND} AS scaling_type, remark, num_rows, {_READ_STAGES},
   round(E2E_time, 6) AS E2E_time FROM runs""")
 def read_runs(spark, folder):
     runs = runlogs.read_runs(spark, _logs(spark, folder))
-    stages = [F.round(f"stage{i}_time", 4).alias(f"stage{i}_time") for i in range(STAGES)]
+    names = [f"stage{i}_{m}" for i in range(STAGES) for m in ("time", "recordsRead")]
+    stages = [F.round(n, 4).alias(n) for n in names]
     return runs.select("run_id", "scaling_type", "remark", "num_rows", *stages, *rounded("E2E_time"))
 
 
@@ -192,68 +191,3 @@ def sorted_results(spark, folder):
     runs = runlogs.read_results(spark, _logs(spark, folder))
     short = F.regexp_extract("log_dir", r"/(logs)-[0-9a-f]+$", 1)
     return runs.select("run_id", *rounded("E2E_time"), short.alias("log_dir"))
-
-
-def _event_lines(spark, folder):
-    """Event-log lines in which each line number of an order is a completed stage of a job."""
-    lines = table(spark, folder, "lineitem")
-    stage_id = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    start = F.unix_millis(F.min("l_shipdate").cast("timestamp"))
-    values = {
-        "executorRunTime": F.sum("l_suppkey"),
-        "executorCpuTime": F.sum(F.col("l_partkey") * 1_000_000),
-        "jvmGCTime": F.count(F.lit(1)),
-        "recordsRead": F.sum("l_partkey"),
-        "bytesRead": F.sum(F.col("l_suppkey") * 10),
-    }
-    stages = lines.groupBy(stage_id.alias("id")).agg(
-        F.count(F.lit(1)).alias("tasks"),
-        start.alias("start"),
-        (start + (F.sum("l_quantity") * 1000).cast("long")).alias("end"),
-        *[v.alias(n) for n, v in values.items()],
-    )
-    accumulables = F.array(
-        *[
-            F.struct(F.lit(eventlog.ACCUMULABLES[n]).alias("Name"), F.col(n).cast("string").alias("Value"))
-            for n in values
-        ]
-    )
-    info = F.struct(
-        F.col("id").alias("Stage ID"),
-        F.lit(0).alias("Stage Attempt ID"),
-        F.col("tasks").alias("Number of Tasks"),
-        F.col("start").alias("Submission Time"),
-        F.col("end").alias("Completion Time"),
-        accumulables.alias("Accumulables"),
-    )
-    done = stages.select(
-        F.to_json(F.struct(F.lit("SparkListenerStageCompleted").alias("Event"), info.alias("Stage Info"))).alias("value")
-    )
-    ids = F.transform(F.sequence(F.lit(1), F.lit(STAGES)), lambda i: F.col("o_orderkey") * 8 + i)
-    started = table(spark, folder, "orders").select(
-        F.to_json(
-            F.struct(
-                F.lit("SparkListenerJobStart").alias("Event"),
-                F.col("o_orderkey").alias("Job ID"),
-                ids.alias("Stage IDs"),
-            )
-        ).alias("value")
-    )
-    return started.union(done)
-
-
-_STAGE_SQL = """(SELECT l_orderkey AS job_id, l_orderkey * 8 + l_linenumber AS stage_id, count(*) AS num_tasks,
-  sum(l_quantity) AS time, sum(l_partkey) / sum(l_quantity) AS throughput, sum(l_suppkey)::BIGINT AS executorRunTime,
-  sum(l_partkey)::BIGINT AS executorCpuTime, count(*) AS jvmGCTime, sum(l_partkey)::BIGINT AS recordsRead,
-  sum(l_suppkey * 10)::BIGINT AS bytesRead FROM lineitem GROUP BY 1, 2)"""
-
-
-@query(f"SELECT * REPLACE (round(throughput, 6) AS throughput) FROM {_STAGE_SQL}")
-def stage_metrics(spark, folder):
-    out = eventlog.stage_metrics(_event_lines(spark, folder))
-    return out.withColumn("throughput", F.round("throughput", 6))
-
-
-@query("SELECT count(*) AS num_tasks FROM lineitem")
-def total_tasks(spark, folder):
-    return rl.total_tasks(eventlog.stage_metrics(_event_lines(spark, folder)))

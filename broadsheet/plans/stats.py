@@ -54,6 +54,47 @@ def describe(spark, folder):
     )
 
 
+# Missing values in two forms: the tax of every seventh line is NaN, the discount null.
+_GAPS = """(SELECT l_quantity, CASE WHEN l_linenumber <> 7 THEN l_tax END AS l_tax,
+  CASE WHEN l_linenumber <> 6 THEN l_discount END AS l_discount FROM lineitem)"""
+
+
+def _with_gaps(spark, folder):
+    line = F.col("l_linenumber")
+    return table(spark, folder, "lineitem").select(
+        "l_quantity",
+        F.when(line != 7, F.col("l_tax")).otherwise(float("nan")).alias("l_tax"),
+        F.when(line != 6, F.col("l_discount")).alias("l_discount"),
+    )
+
+
+@query(" UNION ALL ".join(_describe_sql(c).replace("FROM lineitem", f"FROM {_GAPS}") for c in ("l_tax", "l_discount")))
+def describe_with_gaps(spark, folder):
+    out = pf.describe(_with_gaps(spark, folder), ["l_tax", "l_discount"])
+    return out.select(
+        "metric", "count", *rounded("mean", "std", places=4), "min", *rounded("q25", "q50", "q75"), "max"
+    )
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{c}' AS column, count(*) - count({c}) AS missing, "
+    f"round((count(*) - count({c})) / count(*) * 100, 6) AS percent FROM {_GAPS}"
+    for c in ("l_quantity", "l_tax", "l_discount")
+))
+def missing_with_gaps(spark, folder):
+    return pf.missing_profile(_with_gaps(spark, folder)).withColumn("percent", F.round("percent", 6))
+
+
+@query(f"""
+WITH t AS (SELECT l_tax AS v FROM {_GAPS} WHERE l_tax IS NOT NULL),
+r AS (SELECT min(v) AS low, (max(v) - min(v)) / 5 AS width FROM t),
+b AS (SELECT least(floor((v - low) / width), 4)::INT AS bin, count(*) AS n FROM t, r GROUP BY 1)
+SELECT bin, n FROM b
+""")
+def histogram_with_gaps(spark, folder):
+    return pf.histogram(_with_gaps(spark, folder), "l_tax", 5).where("n > 0").select("bin", "n")
+
+
 @query("""
 SELECT o_orderpriority, count(*) AS n, round(count(*) / (SELECT count(*) FROM orders) * 100, 6) AS percent
 FROM orders GROUP BY 1
@@ -158,7 +199,8 @@ u AS (SELECT threshold, sum(tp) OVER w AS utp, sum(fp) OVER w AS ufp, sum(tp) OV
   sum(fp) OVER () AS n, tp, fp FROM c WINDOW w AS (ORDER BY threshold DESC))"""
 
 
-@query(f"WITH {_CURVE} SELECT threshold, round(ufp / n, 6) AS fpr, round(utp / p, 6) AS tpr FROM u")
+@query(f"WITH {_CURVE} SELECT threshold, round(ufp / n, 6) AS fpr, round(utp / p, 6) AS tpr FROM u "
+       "UNION ALL SELECT 'inf'::DOUBLE, 0, 0")
 def roc_curve(spark, folder):
     return curves.roc_curve(scored_rows(spark, folder)).select("threshold", *rounded("fpr", "tpr"))
 
@@ -169,7 +211,8 @@ def roc_auc(spark, folder):
 
 
 @query(f"""WITH {_CURVE}
-SELECT threshold, round(utp / (utp + ufp), 6) AS precision, round(utp / p, 6) AS recall FROM u""")
+SELECT threshold, round(utp / (utp + ufp), 6) AS precision, round(utp / p, 6) AS recall FROM u
+UNION ALL SELECT NULL, 1, 0""")
 def precision_recall(spark, folder):
     out = curves.precision_recall_curve(scored_rows(spark, folder))
     return out.select("threshold", *rounded("precision", "recall"))

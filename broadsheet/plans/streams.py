@@ -52,6 +52,21 @@ def malformed_messages(spark, folder):
     return out.groupBy("malformed").agg(F.count(F.lit(1)).alias("n"))
 
 
+_ODD = """(SELECT *, CASE lang WHEN 'de' THEN 'cut' WHEN 'fr' THEN 'empty' WHEN 'es' THEN 'null' END AS odd FROM documents)"""
+
+
+@query(f"""SELECT CASE WHEN odd IS NULL THEN 'processed-data' ELSE 'malformed-data' END AS topic,
+  coalesce(odd IN ('empty', 'null'), false) AS blank, count(*) AS n FROM {_ODD} GROUP BY 1, 2""")
+def unreadable_messages(spark, folder):
+    """Messages cut short, empty ones and ones without a value, each routed to its topic."""
+    lang = F.col("lang")
+    docs = _stream(spark, folder, "documents")
+    whole = F.to_json(F.struct(F.col("doc_id").cast("string").alias("source"), "text", F.lit("t").alias("title")))
+    value = F.when(lang == "fr", "").when(lang == "es", F.lit(None)).when(lang == "de", F.lit('{"source": "x')).otherwise(whole)
+    out = _drained(spark, ms.clean_and_route(docs.select(value.alias("value"))), by="topic")
+    return out.groupBy("topic", (F.col("value") == "").alias("blank")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def scored_stream(spark, folder):
     train = features.training_text(labelled_articles(spark, folder)).select("title_text", "label")
@@ -85,5 +100,5 @@ def csv_articles(spark, folder):
         F.col("doc_id").cast("string").alias("title"), "text", (F.col("lang") == "de").cast("int").alias("label")
     )
     files.write_csv(out, path)
-    back = features.clean_label(files.read_csv(spark, path))
+    back = features.clean_label(files.read_csv(spark, path, multi_line=True))
     return back.select("title", "text", (F.col("label") == 1).alias("german"))

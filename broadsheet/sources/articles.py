@@ -15,13 +15,13 @@ ARTICLE = T.StructType(
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = ARTICLE, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | None = ARTICLE, multi_line: bool = False
 ) -> DataFrame:
-    """Articles with a header line; quoted fields may hold newlines and doubled quotes.
+    """Articles with a header line; quoted fields may hold doubled quotes.
 
     An empty field is null, quoted or not. With schema=None the types are inferred, which
-    costs a pass over the data. With multi_line a file is read by one task, so keep large
-    tables as many files, or turn it off where no field holds a newline.
+    costs a pass over the data. Files are split among tasks by line; where quoted fields hold
+    newlines, ask for multi_line, which reads a file in one task.
     """
     reader = spark.read.option("header", True).option("multiLine", multi_line)
     reader = reader.option("quote", '"').option("escape", '"')

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 # Topic names.
 SCRAPED, PROCESSED = "scraped-data", "processed-data"
 LABELLED, VERIFY = "labelled-data", "verify-data"
+MALFORMED = "malformed-data"  # our own
 
 
 def read_topic(spark: SparkSession, servers: str, topic: str, per_batch: int | None = None) -> DataFrame:

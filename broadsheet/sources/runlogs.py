@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broadsheet.operators.lookup import hint, is_small
 from broadsheet.operators.runlog import KINDS
 
 # Names and types of the columns that are not double.
@@ -32,6 +30,16 @@ def _schema(header: str) -> T.StructType:
     return T.StructType([T.StructField(n, kind(n)) for n in header.split(",")])
 
 
+# A comma that an even number of quotes follows: one between fields.
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _unquoted(field: Column) -> Column:
+    """The value of a CSV field, null if it is empty."""
+    bare = F.regexp_replace(field, r'^"|"$', "")
+    return F.when(bare != "", F.replace(bare, F.lit('""'), F.lit('"')))
+
+
 def read_runs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All runs in one wide table, with their kind and the folder they came from.
 
@@ -43,17 +51,16 @@ def read_runs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     lines = spark.read.text(paths, recursiveFileLookup=True, pathGlobFilter="*.csv")
     lines = lines.select("value", F.col("_metadata.file_path").alias("_path"))
     is_head = F.col("value").rlike("^(run_id,)?num_workers,")
-    heads = lines.where(is_head).select(F.col("value").alias("_head"), "_path")
+    heads = lines.where(is_head).select(F.col("value").alias("_head"), "_path").distinct()
     different = [row["_head"] for row in heads.select("_head").distinct().collect()]
     if not different:
         raise ValueError(f"no run log below {paths}")
-    rows = lines.where(~is_head).join(hint(heads, is_small(heads)), "_path")
-    tables = []
-    for head in sorted(different):
-        parsed = F.from_csv("value", F.lit(_schema(head).toDDL()), {"escape": '"'})
-        own = rows.where(F.col("_head") == head).select(parsed.alias("run"), "_path")
-        tables.append(own.select("run.*", "_path"))
-    runs = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    # A file has one header; a field is looked up by the place of its name in it.
+    rows = lines.where(~is_head).join(heads, "_path")
+    fields = F.transform(F.split("value", _COMMA), _unquoted)
+    named = rows.select(F.map_from_arrays(F.split("_head", ","), fields).alias("_run"), "_path")
+    kinds = {f.name: f.dataType for head in sorted(different, key=len) for f in _schema(head)}
+    runs = named.select(*[F.col("_run")[n].try_cast(t).alias(n) for n, t in kinds.items()], "_path")
     prefix = F.regexp_extract("_path", r".*/(SS|WS|W-)[^/]*\.csv(?:/[^/]*)?$", 1)
     kind = F
     for short, name in KINDS.items():

@@ -18,15 +18,16 @@ def publish(articles: DataFrame, servers: str, topic: str = kafka.SCRAPED) -> No
 
 
 def clean_topic(spark: SparkSession, servers: str, checkpoint: str) -> DataStreamWriter:
-    """Scraped articles, cleaned, to the topic of processed ones."""
+    """Scraped articles, cleaned, to the topic of processed ones, or to that of malformed ones."""
     scraped = kafka.read_topic(spark, servers, kafka.SCRAPED)
-    return kafka.write_topic(ms.clean_messages(scraped), servers, checkpoint, kafka.PROCESSED)
+    return kafka.write_topic(ms.clean_and_route(scraped), servers, checkpoint)
 
 
 def score_topic(
     spark: SparkSession, servers: str, checkpoint: str, model: PipelineModel, text: str, **options
 ) -> DataStreamWriter:
-    """Processed articles, scored, to the topic of labelled ones or of those to be verified."""
+    """Processed articles, scored, to the topic of labelled ones, of those to be verified, or of
+    malformed ones."""
     processed = kafka.read_topic(spark, servers, kafka.PROCESSED)
     routed = ms.score_and_route(processed, model, text, **options)
     return kafka.write_topic(routed, servers, checkpoint)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from broadsheet.functions import text as tx
 from broadsheet.functions.words import STOPWORDS
 from broadsheet.operators.models import score
-from broadsheet.sources.kafka import LABELLED, VERIFY
+from broadsheet.sources.kafka import LABELLED, MALFORMED, PROCESSED, VERIFY
 
 MESSAGE = T.StructType([T.StructField(n, T.StringType()) for n in ("source", "text", "title")])
 _CORRUPT = "_corrupt"
@@ -22,9 +22,15 @@ _PARSED = T.StructType([*MESSAGE.fields, T.StructField(_CORRUPT, T.StringType())
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """The fields of JSON messages, and the raw message where it cannot be read."""
+    """The fields of JSON messages, and the raw message where it cannot be read.
+
+    An empty message and one without a value cannot be read either; both are kept as ''.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    return messages.select(F.from_json("value", _PARSED, options).alias("data")).select("data.*")
+    data = messages.select("value", F.from_json("value", _PARSED, options).alias("data"))
+    # A null struct is a message that holds no JSON at all.
+    raw = F.when(F.col("data").isNull(), F.coalesce("value", F.lit(""))).otherwise(F.col(f"data.{_CORRUPT}"))
+    return data.select(*[f"data.{f.name}" for f in MESSAGE.fields], raw.alias(_CORRUPT))
 
 
 def good(parsed: DataFrame) -> DataFrame:
@@ -49,10 +55,27 @@ def to_message(df: DataFrame) -> DataFrame:
 
 
 def clean_messages(messages: DataFrame) -> DataFrame:
-    """Messages in, cleaned messages out; malformed ones are left out."""
+    """Messages in, cleaned messages out; `malformed` has the others."""
     return to_message(clean(good(parse(messages))))
 
 
+def malformed(messages: DataFrame) -> DataFrame:
+    """(topic, value): messages that cannot be read, as they came, for a topic of their own."""
+    return bad(parse(messages)).select(F.lit(MALFORMED).alias("topic"), "value")
+
+
+def clean_and_route(messages: DataFrame) -> DataFrame:
+    """(topic, value): cleaned messages and malformed ones, each for its topic, in one pass."""
+    parsed = parse(messages)
+    is_bad = F.col(_CORRUPT).isNotNull()
+    tidy = {c: tx.remove_stopwords(tx.clean(F.col(c)), STOPWORDS) for c in ("title", "text")}
+    value = F.to_json(F.struct("source", tidy["text"].alias("text"), tidy["title"].alias("title")))
+    return parsed.select(
+        F.when(is_bad, MALFORMED).otherwise(PROCESSED).alias("topic"),
+        F.when(is_bad, F.col(_CORRUPT)).otherwise(value).alias("value"),
+    )
+
+
 def with_label(df: DataFrame, p_real: str = "score") -> DataFrame:
     return df.withColumns(
         {"label": tx.real_or_fake(F.col(p_real)), "confidence": F.col(p_real).cast("double")}
@@ -71,12 +94,17 @@ def with_topic(df: DataFrame, threshold: float = 0.8, literal: bool = False) ->
 
 
 def score_and_route(messages: DataFrame, model: PipelineModel, text: str, **options) -> DataFrame:
-    """(topic, value): cleaned messages scored by a model that reads column `text`."""
-    parsed = good(parse(messages))
-    scored = score(model, parsed.withColumn(text, F.col("text")))
+    """(topic, value): cleaned messages scored by a model that reads column `text`; malformed
+    ones go to their topic as they came."""
+    parsed = parse(messages)
+    scored = score(model, parsed.withColumn(text, F.coalesce("text", F.lit(""))))
     routed = with_topic(with_label(scored), **options)
     fields = ["source", "text", "title", "label", "confidence"]
-    return routed.select("topic", F.to_json(F.struct(*fields)).alias("value"))
+    is_bad = F.col(_CORRUPT).isNotNull()
+    return routed.select(
+        F.when(is_bad, MALFORMED).otherwise(F.col("topic")).alias("topic"),
+        F.when(is_bad, F.col(_CORRUPT)).otherwise(F.to_json(F.struct(*fields))).alias("value"),
+    )
 
 
 def first_seen(urls: DataFrame, time: str | None = None, delay: str = "1 hour") -> DataFrame:

@@ -87,9 +87,9 @@ def test_csv_with_newlines_and_quotes(spark, tmp_path):
     rows = [('a "quoted" title', "line\nbreak, comma", "1"), ("b", None, "0"), ("c", "", "x")]
     df = spark.createDataFrame(rows, "title string, text string, label string")
     write_csv(df, str(tmp_path / "csv"))
-    back = read_csv(spark, str(tmp_path / "csv"))
+    back = read_csv(spark, str(tmp_path / "csv"), multi_line=True)
     want = [tuple(v or None for v in row) for row in rows]
     assert sorted(map(tuple, back.collect()), key=str) == sorted(want, key=str)
-    inferred = read_csv(spark, str(tmp_path / "csv"), schema=None)
+    inferred = read_csv(spark, str(tmp_path / "csv"), schema=None, multi_line=True)
     assert inferred.columns == ["title", "text", "label"] and inferred.count() == 3
     drain(back)
