@@ -80,9 +80,9 @@ def class_words(df: DataFrame, k: int = 100, label: str = "label") -> DataFrame:
     return top.withColumn("weight", F.col("n") / highest)
 
 
-def reduction(df: DataFrame, before: str, after: str) -> DataFrame:
-    """Characters before and after a cleaning step, and percent removed."""
-    sums = df.agg(
+def reduction(df: DataFrame, before: str, after: str, by: list[str] | None = None) -> DataFrame:
+    """Characters before and after a cleaning step, and percent removed, for all rows or groups."""
+    sums = df.groupBy(*(by or [])).agg(
         F.sum(F.length(before)).alias("chars_before"), F.sum(F.length(after)).alias("chars_after")
     )
     removed = F.col("chars_before") - F.col("chars_after")

@@ -141,7 +141,8 @@ def cross_validate(
 
     with ThreadPool(min(parallelism, folds)) as pool:
         scored = pool.map(inheritable_thread_target(df.sparkSession)(scored_fold), range(folds))
-    every = reduce(DataFrame.unionByName, scored)
+    # Scored once: the report and the area each pass over the rows again.
+    every = stored(reduce(DataFrame.unionByName, scored), "folds")
     decided = every.withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
     report = classification_report(decided, by=["fold"]).where("class = 1")
     return report.join(auc(every, by=["fold"]), "fold").select("fold", "accuracy", "f1", "auc")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.operators.lookup import groups_are_few, hint
+from broadsheet.session import stored
 
 SKETCH_ACCURACY = 10_000
 SKETCH_MARGIN = 0.001  # ten times the rank error of the sketch
@@ -90,8 +91,12 @@ def head_fraction(df: DataFrame, key: str, scale: float) -> DataFrame:
 def stratified_split(
     df: DataFrame, key: str, label: str, test_size: float = 0.2
 ) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows, the test share taken from each label on its own."""
+    """Train and test rows, the test share taken from each label on its own.
+
+    The marked rows are stored, so the cut is found once for both.
+    """
     marked = mark_first(df, key, lambda rows: F.round(rows * F.lit(test_size)), [label], "is_test")
+    marked = stored(marked, "split")
     return marked.where("not is_test").drop("is_test"), marked.where("is_test").drop("is_test")
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from broadsheet.functions.text import clip
 from broadsheet.operators.features import drop_thin
@@ -19,11 +18,14 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 # Elements whose text is no part of the page's text.
 HIDDEN = {"script", "style", "template", "rt", "rp"}
 
-# A type object, since a type in words would need a session when this module is read.
-_LINKS = T.ArrayType(
-    T.StructType([T.StructField("link", T.StringType()), T.StructField("host", T.StringType())])
-)
-PARSED = "title string, paragraphs array<string>, hrefs array<string>"
+# What can be asked of a page, and its type.
+OUTPUTS = {
+    "title": "string",
+    "text": "string",
+    "paragraphs": "int",
+    "hrefs": "int",
+    "links": "array<struct<link:string, host:string>>",
+}
 
 
 class _Page(HTMLParser):
@@ -36,9 +38,11 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
-        self.sinks: list[tuple[int, list[str]]] = []  # (depth, text pieces) of open h1 and p
-        self.h1: list[str] | None = None
-        self.paragraphs: list[list[str]] = []
+        self.counts: dict[str, int] = {}  # of open elements
+        self.pieces: list[str] = []  # all visible text
+        self.ends: list[tuple[int, list[int]]] = []  # (depth, span) of open h1 and p
+        self.h1: list[int] | None = None  # first and last place in `pieces`
+        self.paragraphs: list[list[int]] = []
         self.hrefs: list[str] = []
         self.pending: list[str] = []
         self.hidden = 0
@@ -46,9 +50,37 @@ class _Page(HTMLParser):
     def _flush(self) -> None:
         piece = "".join(self.pending).strip()
         self.pending.clear()
-        if piece and not self.hidden:
-            for _, pieces in self.sinks:
-                pieces.append(piece)
+        if piece and not self.hidden and self.ends:
+            self.pieces.append(piece)
+
+    def _begin(self) -> list[int]:
+        """A span that lasts until the element that begins here is closed."""
+        span = [len(self.pieces), -1]
+        self.ends.append((len(self.open), span))
+        return span
+
+    def finish(self) -> None:
+        self._flush()
+        while self.ends:
+            self.ends.pop()[1][1] = len(self.pieces)
+
+    def joined(self, size: int) -> str:
+        """The paragraphs joined by blanks, up to one character more than size: an unclosed
+        paragraph holds all that follow, so the whole may be much longer than the page."""
+        out: list[str] = []
+        left = size + 1
+        for n, (first, last) in enumerate(self.paragraphs):
+            if n:
+                out.append(" ")
+                left -= 1
+            for i in range(first, last):
+                if left <= 0:
+                    return "".join(out)
+                out.append(self.pieces[i][:left])
+                left -= len(out[-1])
+            if left <= 0:
+                break
+        return "".join(out)
 
     def handle_starttag(self, tag, attrs):
         self._flush()
@@ -57,14 +89,13 @@ class _Page(HTMLParser):
             if href is not None:
                 self.hrefs.append(href)
         if tag == "h1" and self.h1 is None:
-            self.h1 = []
-            self.sinks.append((len(self.open), self.h1))
+            self.h1 = self._begin()
         elif tag == "p":
-            self.paragraphs.append([])
-            self.sinks.append((len(self.open), self.paragraphs[-1]))
+            self.paragraphs.append(self._begin())
         if tag in VOID:
             return
         self.open.append(tag)
+        self.counts[tag] = self.counts.get(tag, 0) + 1
         self.hidden += tag in HIDDEN
 
     def handle_startendtag(self, tag, attrs):
@@ -74,13 +105,14 @@ class _Page(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        if tag not in self.open:
+        if not self.counts.get(tag):
             return
         while True:
             last = self.open.pop()
+            self.counts[last] -= 1
             self.hidden -= last in HIDDEN
-            while self.sinks and self.sinks[-1][0] >= len(self.open):
-                self.sinks.pop()
+            while self.ends and self.ends[-1][0] >= len(self.open):
+                self.ends.pop()[1][1] = len(self.pieces)
             if last == tag:
                 break
 
@@ -97,65 +129,78 @@ class _Page(HTMLParser):
         self._flush()
 
 
-def parse_page(html: str | None) -> tuple[str | None, list[str], list[str]]:
-    """(text of the first h1 or None, texts of all p, hrefs) of a page."""
+def _read(html: str | None) -> _Page:
     page = _Page()
     page.feed(html or "")
     page.close()
-    page._flush()
-    title = None if page.h1 is None else "".join(page.h1)
-    return title, ["".join(p) for p in page.paragraphs], page.hrefs
+    page.finish()
+    return page
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        parsed = pdf.pop("html").map(parse_page)
-        pdf["title"] = parsed.str[0]
-        pdf["paragraphs"] = parsed.str[1]
-        pdf["hrefs"] = parsed.str[2]
-        yield pdf
+def parse_page(html: str | None) -> tuple[str | None, list[str], list[str]]:
+    """(text of the first h1 or None, texts of all p, hrefs) of a page."""
+    page = _read(html)
+    title = None if page.h1 is None else "".join(page.pieces[slice(*page.h1)])
+    return title, ["".join(page.pieces[a:b]) for a, b in page.paragraphs], page.hrefs
 
 
-def parse_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, url, title, paragraphs, hrefs); each page is parsed once, in Arrow batches."""
+def _links(base: str | None, hrefs: list[str]) -> list[dict[str, str]]:
+    """Absolute address and host of each href; one that is no address is left out."""
+    found = []
+    for href in hrefs:
+        try:
+            link = urljoin(base or "", href)
+            found.append({"link": link, "host": urlsplit(link).netloc})
+        except ValueError:
+            continue
+    return found
+
+
+def parse_pages(
+    pages: DataFrame, wanted: Sequence[str], key: str = "page_id", size: int = 5000
+) -> DataFrame:
+    """(key, url, wanted...): each page is parsed once, in Arrow batches.
+
+    `wanted` names of OUTPUTS: the title, the text of the paragraphs up to one character
+    beyond `size`, the numbers of paragraphs and hrefs, and the links with their hosts. Only these
+    are made and sent back.
+    """
     kept = pages.select(key, "url", "html")
-    key_type = dict(kept.dtypes)[key]
-    return kept.mapInPandas(_parse_batches, f"{key} {key_type}, url string, {PARSED}")
+    make = {
+        "title": lambda page, url: None if page.h1 is None else "".join(page.pieces[slice(*page.h1)]),
+        "text": lambda page, url: page.joined(size),
+        "paragraphs": lambda page, url: len(page.paragraphs),
+        "hrefs": lambda page, url: len(page.hrefs),
+        "links": lambda page, url: _links(url, page.hrefs),
+    }
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            read = [_read(html) for html in pdf.pop("html")]
+            for name in wanted:
+                pdf[name] = [make[name](page, url) for page, url in zip(read, pdf["url"])]
+            yield pdf
+
+    columns = ", ".join(f"{name} {OUTPUTS[name]}" for name in wanted)
+    return kept.mapInPandas(run, f"{key} {dict(kept.dtypes)[key]}, url string, {columns}")
 
 
 def articles(parsed: DataFrame, key: str = "page_id", size: int = 5000, thin: int = 100) -> DataFrame:
-    """(key, source, title, text) of pages with enough text."""
-    joined = clip(F.array_join("paragraphs", " "), size)
+    """(key, source, title, text) of pages, parsed for title and text, with enough text."""
     title = F.coalesce("title", F.lit("No Title"))
-    kept = parsed.select(key, F.col("url").alias("source"), title.alias("title"), joined.alias("text"))
+    text = clip(F.col("text"), size)
+    kept = parsed.select(key, F.col("url").alias("source"), title.alias("title"), text.alias("text"))
     return drop_thin(kept, thin)
 
 
-@F.pandas_udf(_LINKS)
-def _resolve(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
-    """Absolute address and host of each href; one that is no address is left out."""
-
-    def one(base, found):
-        links = []
-        for href in found if found is not None else []:
-            try:
-                link = urljoin(base, href)
-                links.append((link, urlsplit(link).netloc))
-            except ValueError:
-                continue
-        return [{"link": a, "host": b} for a, b in links]
-
-    return pd.Series([one(b or "", h) for b, h in zip(bases, hrefs)])
-
-
 def host(url: Column) -> Column:
     """Host part of an address, with user and port; empty when it has none."""
     return F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
 
 
 def links(parsed: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, link): addresses on a page whose host contains the page's own host."""
-    found = parsed.select(key, "url", F.inline(_resolve("url", "hrefs")))
+    """(key, link): addresses on a page, parsed for links, whose host contains the page's own."""
+    found = parsed.select(key, "url", F.inline("links"))
     return found.where((F.col("host") != "") & F.contains("host", host(F.col("url")))).select(key, "link")
 
 

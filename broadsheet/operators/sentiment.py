@@ -49,6 +49,23 @@ def sentiment(
     )
 
 
+def title_and_text(df: DataFrame, key: list[str], lexicon: DataFrame) -> DataFrame:
+    """(key..., title_sentiment, title_subjectivity, text_sentiment, text_subjectivity).
+
+    Title and text are scored as two rows of one pass.
+    """
+    parts = [F.struct(F.lit(c).alias("part"), F.col(c).alias("words")) for c in ("title", "text")]
+    rows = df.select(*key, F.inline(F.array(*parts)))
+    scored = sentiment(rows, [*key, "part"], "words", lexicon)
+
+    def of(part: str, score: str):
+        return F.max(F.when(F.col("part") == part, F.col(score))).alias(f"{part}_{score}")
+
+    return scored.groupBy(*key).agg(
+        *[of(p, s) for p in ("title", "text") for s in ("sentiment", "subjectivity")]
+    )
+
+
 def sentiment_stats(df: DataFrame, cols: list[str], by: str | None = None) -> DataFrame:
     """Mean and sample standard deviation of score columns, over all rows or per group."""
     aggs = [

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from broadsheet.functions import text as tx
 from broadsheet.operators.counts import count_items, most_common
 from broadsheet.operators.lookup import lookup
+from broadsheet.session import stored
 
 OOV_ID = 1
 SEQUENCE_LENGTH = 256
@@ -26,28 +27,45 @@ def vector_words(text: Column, stopwords: list[str] | None = None) -> Column:
     return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(*drop, ""))
 
 
+def _term_counts(df: DataFrame, key: str, text: str, stopwords: list[str] | None) -> DataFrame:
+    """(key, term, tf) of one- and two-word terms, counted within the row of the text.
+
+    The terms are sorted and the lengths of their runs taken, so no text is shuffled.
+    """
+    listed = df.select(key, vector_words(F.col(text), stopwords).alias("words"))
+    terms = F.concat("words", tx.ngrams(F.col("words"), 2))
+    ordered = listed.select(key, F.array_sort(terms).alias("terms"))
+    before = F.concat(F.array(F.lit(None).cast("string")), "terms")
+    starts = F.filter(
+        F.transform(F.arrays_zip(F.col("terms").alias("t"), before.alias("b")), lambda x, i: F.when(
+            x["t"].isNotNull() & ~x["t"].eqNullSafe(x["b"]), F.struct(i.alias("at"), x["t"].alias("term"))
+        )),
+        lambda x: x.isNotNull(),
+    )
+    runs = ordered.select(key, F.size("terms").alias("n"), starts.alias("runs"))
+    ends = F.concat(F.slice("runs.at", 2, F.size("runs")), F.array("n"))
+    pairs = F.arrays_zip(F.col("runs").alias("run"), ends.alias("end"))
+    found = runs.where("n > 0").select(key, F.explode(pairs).alias("x"))
+    tf = F.col("x.end") - F.col("x.run.at")
+    return found.select(key, F.col("x.run.term").alias("term"), tf.cast("long").alias("tf"))
+
+
 def tfidf(
     df: DataFrame, key: str, text: str, max_features: int = 8000, stopwords: list[str] | None = None
 ) -> DataFrame:
     """(key, term, weight): smooth idf, L2 norm, over the max_features most frequent terms.
 
-    The texts are shuffled by document once, before they grow into terms; counting terms
-    and normalizing then need no shuffle of their own. The vocabulary is limited, so its
-    broadcast is too, and its counts are summed in each task before they are shuffled.
+    `key` must identify a row. Terms are counted within each text; the sums over the corpus
+    start in each task, and only the weights that are kept are shuffled, for the norm. The
+    vocabulary is limited by its parameter, so its broadcast is too.
     """
-    placed = df.select(key, text).repartition(key)
-    listed = placed.select(key, vector_words(F.col(text), stopwords).alias("words"))
-    terms = F.concat("words", tx.ngrams(F.col("words"), 2))
-    exploded = listed.select(key, F.explode(terms).alias("term"))
+    counted = _term_counts(df, key, text, stopwords)
     one = F.count(F.lit(1))
-    counted = exploded.groupBy(key, "term").agg(one.alias("tf"))
-    totals = counted.groupBy("term").agg(F.sum("tf").alias("n"), one.alias("df"))
+    totals = stored(counted.groupBy("term").agg(F.sum("tf").alias("n"), one.alias("df")), "terms")
     vocabulary = most_common(totals, max_features, "term")
     docs = df.agg(one).scalar()
     idf = F.log((docs + 1) / (F.col("df") + 1)) + 1
-    # Terms outside the vocabulary go before the rest are counted once more.
-    known = exploded.join(F.broadcast(vocabulary.select("term", idf.alias("idf"))), "term")
-    raw = known.groupBy(key, "term", "idf").agg(one.alias("tf"))
+    raw = counted.join(F.broadcast(vocabulary.select("term", idf.alias("idf"))), "term")
     weight = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(weight * weight).over(Window.partitionBy(key)))
     return raw.select(key, "term", (weight / norm).alias("weight"))

@@ -19,9 +19,6 @@ from broadsheet.plans.base import (
 )
 from broadsheet.session import shared_dir, stored
 
-# A tenth of the default number of rounds: 300 rounds on one machine take minutes.
-ROUNDS = 30
-
 
 def _rows(spark, folder):
     rows = features.training_text(labelled_articles(spark, folder))
@@ -68,10 +65,21 @@ def logistic_scores(spark, folder):
 @query()
 def boosted_scores(spark, folder):
     train, test = _split(spark, folder)
-    scored = models.score(models.fit_classifier(train, "gbt", rounds=ROUNDS), test)
+    scored = models.score(models.fit_classifier(train, "gbt"), test)
     return scored.select("doc_id", "label", "prediction", *rounded("score"))
 
 
+@query()
+def fitted_comparison(spark, folder):
+    """The fitted classifiers side by side on one test set."""
+    train, test = _split(spark, folder)
+    scored = [
+        models.score(models.fit_classifier(train, kind), test).select(F.lit(kind).alias("model"), "label", "score")
+        for kind in ("lr", "gbt")
+    ]
+    return curves.compare_models(stored(scored[0].unionByName(scored[1]), "compared"))
+
+
 @query()
 def cross_validation(spark, folder):
     return models.cross_validate(_rows(spark, folder), "doc_id", kind="lr", parallelism=5)

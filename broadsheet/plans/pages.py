@@ -10,7 +10,7 @@ from broadsheet.plans.base import query, table
 
 @query()
 def page_articles(spark, folder):
-    return pg.articles(pg.parse_pages(table(spark, folder, "pages")))
+    return pg.articles(pg.parse_pages(table(spark, folder, "pages"), ["title", "text"]))
 
 
 @query("""
@@ -18,8 +18,8 @@ SELECT page_id, len(regexp_extract_all(html, '<p[ >]'))::INT AS paragraphs,
   len(regexp_extract_all(html, '<a [^>]*href='))::INT AS hrefs FROM pages
 """)
 def page_shape(spark, folder):
-    parsed = pg.parse_pages(table(spark, folder, "pages"))
-    return parsed.select("page_id", F.size("paragraphs").alias("paragraphs"), F.size("hrefs").alias("hrefs"))
+    parsed = pg.parse_pages(table(spark, folder, "pages"), ["paragraphs", "hrefs"])
+    return parsed.drop("url")
 
 
 # The first heading of a page, without tags; the data has no heading with markup but entities.
@@ -31,7 +31,7 @@ SELECT page_id, url AS source, trim(replace(replace(replace(regexp_replace({_HEA
   '&quot;', '"'), '&lt;', '<'), '&amp;', '&')) AS title FROM pages
 """)
 def page_titles(spark, folder):
-    parsed = pg.parse_pages(table(spark, folder, "pages"))
+    parsed = pg.parse_pages(table(spark, folder, "pages"), ["title"])
     return parsed.select("page_id", F.col("url").alias("source"), F.coalesce("title", F.lit("No Title")).alias("title"))
 
 
@@ -45,14 +45,14 @@ _LINKS = rf"""(SELECT page_id, CASE WHEN href LIKE 'http%' THEN href
 
 @query(f"SELECT page_id, link, count(*) AS n FROM {_LINKS} GROUP BY 1, 2")
 def page_links(spark, folder):
-    found = pg.links(pg.parse_pages(table(spark, folder, "pages")))
+    found = pg.links(pg.parse_pages(table(spark, folder, "pages"), ["links"]))
     return found.groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT DISTINCT link FROM {_LINKS} WHERE link NOT IN (SELECT url FROM pages)")
 def link_frontier(spark, folder):
     pages = table(spark, folder, "pages")
-    return pg.frontier(pg.links(pg.parse_pages(pages)), pages)
+    return pg.frontier(pg.links(pg.parse_pages(pages, ["links"])), pages)
 
 
 @query("""

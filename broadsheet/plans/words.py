@@ -108,6 +108,23 @@ def cleaning_reduction(spark, folder):
     return counts.reduction(df, "text", "done").withColumn("percent_removed", F.round("percent_removed", 6))
 
 
+_ADVANCED = {c: sql_join(sql_advanced(c)) for c in ("title", "text")}
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT '{c}' AS part, sum(length({c}))::BIGINT AS chars_before, sum(length(done))::BIGINT AS chars_after,
+    round((sum(length({c})) - sum(length(done))) * 100.0 / sum(length({c})), 6) AS percent_removed
+    FROM (SELECT {c}, {done} AS done FROM {ARTICLES})"""
+    for c, done in _ADVANCED.items()
+))
+def advanced_reduction(spark, folder):
+    """What advanced cleaning takes from titles and texts."""
+    df = articles(spark, folder)
+    parts = F.array(F.struct(F.lit("title").alias("part"), F.col("title").alias("t")), F.struct(F.lit("text").alias("part"), F.col("text").alias("t")))
+    rows = df.select(F.inline(parts)).withColumn("done", F.array_join(tx.advanced_words(F.col("t")), " "))
+    return counts.reduction(rows, "t", "done", by=["part"]).withColumn("percent_removed", F.round("percent_removed", 6))
+
+
 # ---- lemmas and sentiment: tables made from the words of other tables ---------------------
 
 _LEMMAS = f"""(SELECT DISTINCT word, left(word, length(word) - 1) AS lemma FROM (
@@ -194,6 +211,32 @@ def sentiment_by_label(spark, folder):
     return out.select("label", *rounded(*[c for c in out.columns if c != "label"]))
 
 
+_BOTH = ["title_sentiment", "title_subjectivity", "text_sentiment", "text_subjectivity"]
+_PARTS = f"""(SELECT doc_id, 'title' AS part, title AS text FROM {ARTICLES}
+  UNION ALL SELECT doc_id, 'text', text FROM {ARTICLES})"""
+_BOTH_SQL = f"""{_scores_sql(_PARTS, "doc_id, part")},
+both_scores AS (SELECT doc_id, {", ".join(f"max({c}) FILTER (part = '{p}') AS {p}_{c}"
+  for p in ("title", "text") for c in ("sentiment", "subjectivity"))} FROM scores GROUP BY doc_id)"""
+
+
+def _both_scores(spark, folder):
+    return st.title_and_text(articles(spark, folder), ["doc_id"], _lexicon(spark, folder))
+
+
+@query(f"WITH {_BOTH_SQL} SELECT doc_id, {', '.join(f'round({c}, 6) AS {c}' for c in _BOTH)} FROM both_scores")
+def title_text_sentiment(spark, folder):
+    return _both_scores(spark, folder).select("doc_id", *rounded(*_BOTH))
+
+
+@query(f"""WITH {_BOTH_SQL} SELECT label, {", ".join(
+  f"round(avg({c}), 6) AS mean_{c}, round(stddev_samp({c}), 6) AS std_{c}" for c in _BOTH)}
+FROM both_scores JOIN (SELECT doc_id, quality AS label FROM labels) USING (doc_id) GROUP BY label""")
+def title_text_sentiment_by_label(spark, folder):
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    out = st.sentiment_stats(labelled(_both_scores(spark, folder), labels), _BOTH, by="label")
+    return out.select("label", *rounded(*[c for c in out.columns if c != "label"]))
+
+
 @query(f"""WITH {_scores_sql(LABELLED, "doc_id, label")}
 SELECT label, CASE WHEN sentiment > 0.1 THEN 'Positive' WHEN sentiment < -0.1 THEN 'Negative' ELSE 'Neutral' END
   AS category, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY label), 6) AS percent

@@ -105,13 +105,19 @@ def test_histogram_of_one_value_and_of_none(spark):
     assert pf.histogram(df.where("v is null"), "v", 4).count() == 0
 
 
-def test_lookup_ways_agree(spark):
+def test_lookup_is_the_same_with_and_without_broadcast(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"w{i % 50}") for i in range(3000)]
     tokens = spark.createDataFrame(rows, "id int, word string")
     table = spark.createDataFrame([("hot", 1.0), *((f"w{i}", float(i)) for i in range(40))], "word string, p double")
-    small = lookup(tokens, table, "word", spread="id")
-    large = lookup(tokens, table, "word", spread="id", max_rows=5)
-    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    known = {"hot": 1.0} | {f"w{i}": float(i) for i in range(40)}
+    want = sorted((i, w, known.get(w)) for i, w in rows)
+    for limit in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", limit)
+        found = lookup(tokens, table, "word").select("id", "word", "p").collect()
+        assert sorted(tuple(r) for r in found) == want
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
 def test_large_top_k(spark, monkeypatch):
