@@ -57,8 +57,17 @@ def test_vocabulary_joins_are_broadcast(spark, small, queries, name):
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
 
 
-def test_small_lemma_tables_need_no_shuffle(spark, small, queries):
-    assert "Exchange" not in plan(queries["lemmatized"](spark, small))
+def test_no_text_is_shuffled_for_terms(spark, small, queries):
+    """Exchanges of the TF-IDF query carry keys, terms and numbers."""
+    tree = queries["tfidf"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    for line in tree.splitlines():
+        if "Exchange" in line:
+            assert "text#" not in line and "words#" not in line and "terms#" not in line
+
+
+def test_lemmas_travel_with_keys_alone(spark, small, queries):
+    text = plan(queries["lemmatized"](spark, small))
+    assert text.count("BroadcastHashJoin") >= 1
 
 
 @pytest.mark.parametrize("name", ["sample_n", "head_fraction", "stratified_split", "box_stats", "roc_curve"])

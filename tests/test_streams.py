@@ -95,20 +95,21 @@ def test_jobs_between_topics(spark, tmp_path, monkeypatch):
     def read_topic(session, servers, topic):
         return session.readStream.text(str(tmp_path / topic))
 
-    def write_topic(df, servers, checkpoint, topic=None):
-        if topic:
-            out = df.writeStream.format("text").option("path", str(tmp_path / topic))
-            return out.option("checkpointLocation", checkpoint)
-        return ms.write_files(df, str(tmp_path / "routed"), checkpoint, by="topic")
+    def write_topic(df, servers, checkpoint):
+        return ms.write_files(df, f"{checkpoint}-out", checkpoint, by="topic")
 
     monkeypatch.setattr(jobs.kafka, "read_topic", read_topic)
     monkeypatch.setattr(jobs.kafka, "write_topic", write_topic)
     ms.run_available(jobs.clean_topic(spark, "none", str(tmp_path / "c1")))
-    assert spark.read.text(str(tmp_path / kafka.PROCESSED)).count() == 3
+    first = spark.read.parquet(str(tmp_path / "c1-out"))
+    cleaned = first.where(F.col("topic") == kafka.PROCESSED)
+    bad = [r.value for r in first.where(F.col("topic") == kafka.MALFORMED).collect()]
+    assert cleaned.count() == 3 and len(bad) == len(LINES) - 3 and set(bad) <= set(LINES)
+    cleaned.select("value").write.mode("append").text(str(tmp_path / kafka.PROCESSED))
     train = spark.createDataFrame([("cats dogs run", 1), ("lies hoax", 0)] * 4, "title_text string, label int")
     model = models.fit_classifier(train.coalesce(1), "lr")
     ms.run_available(jobs.score_topic(spark, "none", str(tmp_path / "c2"), model, "title_text"))
-    rows = spark.read.parquet(str(tmp_path / "routed")).collect()
+    rows = spark.read.parquet(str(tmp_path / "c2-out")).collect()
     assert len(rows) == 3 and {r.topic for r in rows} <= {kafka.LABELLED, kafka.VERIFY}
     fields = {"source", "text", "title", "label", "confidence"}
     assert all(set(json.loads(r.value)) <= fields and json.loads(r.value)["label"] in ("real", "fake") for r in rows)
