@@ -34,7 +34,7 @@ def _term_counts(df: DataFrame, key: str, text: str, stopwords: list[str] | None
     """
     listed = df.select(key, vector_words(F.col(text), stopwords).alias("words"))
     terms = F.concat("words", tx.ngrams(F.col("words"), 2))
-    ordered = listed.select(key, F.array_sort(terms).alias("terms"))
+    ordered = listed.select(key, F.sort_array(terms).alias("terms"))
     before = F.concat(F.array(F.lit(None).cast("string")), "terms")
     starts = F.filter(
         F.transform(F.arrays_zip(F.col("terms").alias("t"), before.alias("b")), lambda x, i: F.when(
@@ -45,7 +45,7 @@ def _term_counts(df: DataFrame, key: str, text: str, stopwords: list[str] | None
     runs = ordered.select(key, F.size("terms").alias("n"), starts.alias("runs"))
     ends = F.concat(F.slice("runs.at", 2, F.size("runs")), F.array("n"))
     pairs = F.arrays_zip(F.col("runs").alias("run"), ends.alias("end"))
-    found = runs.where("n > 0").select(key, F.explode(pairs).alias("x"))
+    found = runs.select(key, F.explode(pairs).alias("x")).where("x.run is not null")  # no terms
     tf = F.col("x.end") - F.col("x.run.at")
     return found.select(key, F.col("x.run.term").alias("term"), tf.cast("long").alias("tf"))
 
