@@ -154,7 +154,8 @@ def pack(
         .withColumn("a", F.greatest(F.col("at"), _served(F.col("round") - 1, grain)))
         .withColumn("b", F.least(F.col("at") + F.col("n"), _served(F.col("round"), grain)))
         .where("a < b")
-        .join(runs, ["queue", "round"])
+        # Unfolded rounds look small to the planner, but grow with the data.
+        .join(runs.hint("merge"), ["queue", "round"])
         .withColumn("place", F.col("base") + F.col("a") - F.col("served"))
         .withColumn("end", F.col("place") + F.col("b") - F.col("a"))
     )
