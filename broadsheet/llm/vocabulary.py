@@ -22,9 +22,10 @@ _JOINT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _HEAD = "\x02"  # marks the first chunk of a text, which has no blank before it
 _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _UNSURE = rf"[{_SPACE}][ \n]|[{_SPACE}]$|\x02"
-# Letters of Latin scripts that stay one letter in lower case, then plain punctuation.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*)([!-&(-/:-;=?@\[-`{-~]*)")
-KEPT_CHUNKS = 800_000  # chunks a worker remembers, some 200 MB
+_MARKS = "!#$%&*,.:;?|"  # marks that end a word and take no part in any special token
+# Letters of Latin scripts that stay one letter in lower case.
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+KEPT_CHUNKS = 700_000  # chunks a worker remembers, some 150 MB
 WORDS_A_CALL = 5_000
 
 
@@ -93,16 +94,15 @@ class Vocabulary:
         Words of Latin letters are cut here, as the patterns of such files do; all else is
         left to the library's normalizer and pre-tokenizer.
         """
-        plain = _PLAIN.fullmatch(chunk.lstrip(" ")) if self.plain and chunk else None
-        if plain and (chunk[0] != " " or plain[0] and chunk[1] != " "):
-            letters, marks = plain.groups()
-            if self.drops_space:
-                found = [letters.lower(), marks]
-            elif letters:
-                found = [chunk[: len(chunk) - len(marks)], marks]
-            else:
-                found = [chunk]
-            return [self.in_letters(w) for w in found if w]
+        if self.plain and chunk:
+            core = chunk.rstrip(_MARKS)
+            marks = chunk[len(core) :]
+            word = core[1:] if core[:1] == " " else core
+            if word.isascii() and word.isalpha():
+                core = word.lower() if self.drops_space else core if word is core else "\u0120" + word
+                return [core, marks] if marks else [core]
+            if _LATIN.fullmatch(word):
+                return [self.in_letters(w) for w in (word.lower() if self.drops_space else core, marks) if w]
         parts = self._special.split(chunk) if self._special else [chunk]
         out: list[str] = []
         for i, part in enumerate(parts):
@@ -183,13 +183,17 @@ class Chunks:
 
 def laid_out(items: list[bytes], places: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a batch in order, from the ids of its chunks as bytes, and each text's end."""
-    lengths = np.fromiter(map(len, items), np.int64, len(items)) // 4
+    sizes = np.fromiter(map(len, items), np.int64, len(items)) // 4
+    total = int(sizes[places].sum()) + int(sizes.sum())
+    kind = np.int32 if total < 1 << 31 else np.int64  # places of this batch: half the memory
+    lengths = sizes.astype(kind)
     flat = np.frombuffer(b"".join(items), "<u4")
-    starts = np.cumsum(lengths) - lengths
+    starts = np.cumsum(lengths, dtype=kind) - lengths
     each = lengths[places]
-    upto = np.cumsum(each)
-    shift = np.repeat(starts[places] - (upto - each), each)
-    ids = flat[shift + np.arange(len(shift))]
+    upto = np.cumsum(each, dtype=kind)
+    take = np.repeat(starts[places] - (upto - each), each)
+    take += np.arange(len(take), dtype=kind)
+    ids = flat[take]
     return ids, np.concatenate([[0], upto])[ends]
 
 
