@@ -283,12 +283,18 @@ def _named(rows: DataFrame, least: DataFrame, linked: DataFrame) -> DataFrame:
 #
 # Two bits are a similarity of nearly 1. Texts that share 0.8 of their shingles differ in a sixth
 # of all bits, where no bound on distances prunes. So the shards are then texts of which a
-# sample of shingles is the same, taken in several ways, and within a shard fingerprints of 256
-# bits are compared.
+# sample of shingles is the same, taken in several ways. Within a shard fingerprints of 256
+# bits only propose pairs; a pair is linked if the shingles of both, joined back, are as similar
+# as was asked for.
+#
+# Pairs are proposed twice. First each text with one vantage point near it and with its neighbour
+# around that point, which connects a large group with two pairs a text. Then all near pairs
+# that the links found so far leave in different components.
 
 WAYS = 12  # samples of shingles; at a similarity of 0.8 all differ for one pair in 100,000
 SAMPLED = 2  # shingles in a sample
 WORDS = 4  # of 64 bits in a wide fingerprint
+FEW = 64  # with fewer shingles, bits are too coarse to rule a pair out
 
 
 def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
@@ -300,26 +306,35 @@ def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
 
 
 def radius_for(similarity: float) -> int:
-    """Differing bits, of 256, of two texts with this share of shingles in common, and one and a
-    half standard deviations more, so that few such pairs are missed."""
+    """Differing bits, of 256, of two texts with this share of shingles in common, and four
+    standard deviations more: beyond it lies one such pair in 30,000."""
     part = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * WORDS
-    return round(bits * part + 1.5 * math.sqrt(bits * part * (1 - part)))
+    return math.ceil(bits * part + 4 * math.sqrt(bits * part * (1 - part)))
+
+
+def shingle_set(words: list[bytes], width: int) -> np.ndarray:
+    """The distinct shingles in ascending order, none without words."""
+    return np.unique(shingle_hashes(words, width, 42)) if words else np.zeros(0, np.uint64)
 
 
-def wide_fingerprint(words: list[bytes], width: int) -> tuple[bytes, list[int]]:
-    """A SimHash of 256 bits, and a key for each sample of shingles."""
-    if not words:
-        return bytes(8 * WORDS), [0] * WAYS
-    hashes = shingle_hashes(words, width, 42)
-    wide = np.array([majority(_mixed(hashes, i + 1)) for i in range(WORDS)], "<u8")
-    distinct = np.unique(hashes)
+def node_of(shingles: np.ndarray) -> bytes:
+    """A SimHash of 256 bits of a set of shingles, then its size and a hash of it."""
+    wide = [majority(_mixed(shingles, i + 1)) for i in range(WORDS)] if len(shingles) else [0] * WORDS
+    digest = xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes())
+    return np.array([*wide, len(shingles), digest], "<u8").tobytes()
+
+
+def sample_keys(shingles: np.ndarray) -> list[int]:
+    """A key for each sample of shingles."""
+    if not len(shingles):
+        return [0] * WAYS
     keys = []
     for way in range(WAYS):
-        turned = _mixed(distinct, WORDS + 1 + way)
+        turned = _mixed(shingles, WORDS + 1 + way)
         least = np.sort(np.partition(turned, SAMPLED)[:SAMPLED] if len(turned) > SAMPLED else turned)
         keys.append(xxhash.xxh64_intdigest(least.astype("<u8").tobytes(), way))
-    return wide.tobytes(), keys
+    return keys
 
 
 def apart(fps: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -361,6 +376,42 @@ def join_similar(fps: np.ndarray, radius: int, join) -> None:
         join(a, b)
 
 
+def maybe_similar(nodes: np.ndarray, one: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Which nodes can be as similar to one: by size, and by distance unless shingles are few."""
+    sizes, own = nodes[:, WORDS].astype(np.int64), int(one[WORDS])
+    fits = np.minimum(sizes, own) >= similarity * np.maximum(sizes, own) - 1e-9
+    near = (apart(nodes[:, :WORDS], one[:WORDS]) <= radius) | (np.minimum(sizes, own) < FEW)
+    return fits & near
+
+
+def first_pairs(nodes: np.ndarray, radius: int, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of places: each node with a vantage point near it, and with the next one around it.
+    Every node that is near any other is in one of the pairs."""
+    open_ = np.ones(len(nodes), bool)
+    for i in range(len(nodes)):
+        if not open_[i]:
+            continue
+        near = maybe_similar(nodes, nodes[i], radius, similarity)
+        near[i] = False
+        fresh = np.flatnonzero(near & open_)
+        if not len(fresh):
+            fresh = np.flatnonzero(near)[:1]
+        open_[fresh] = open_[i] = False
+        yield np.column_stack([np.full(len(fresh), i), fresh])
+        yield np.column_stack([fresh[:-1], fresh[1:]])
+
+
+def open_pairs(nodes: np.ndarray, roots: np.ndarray, radius: int, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of places of all nodes near each other that have different roots."""
+    if (roots == roots[0]).all():
+        return
+    for i in range(len(nodes) - 1):
+        other = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
+        if len(other):
+            near = other[maybe_similar(nodes[other], nodes[i], radius, similarity)]
+            yield np.column_stack([np.full(len(near), i), near])
+
+
 def similar_documents(
     docs: DataFrame,
     key: str = "doc_id",
@@ -370,40 +421,78 @@ def similar_documents(
     row: str | None = None,
 ) -> DataFrame:
     """(doc_id, row, fp, component_id, first_row), as `near_duplicates` gives them, for texts that
-    have about `similarity` of their shingles in common; fp is the wide fingerprint."""
+    have at least `similarity` of their distinct shingles in common; fp is `node_of` them."""
     number = F.col(row).cast("long") if row else F.lit(0).cast("long")
     radius = radius_for(similarity)
+    texts = text_rows(docs, key, text, number.alias("row"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            made = [wide_fingerprint(t.lower().split(), width) for t in texts]
-            keys = np.array([k for _, k in made], np.uint64).view(np.int64)
+            sets = [shingle_set(t.lower().split(), width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            keys = np.array([sample_keys(s) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array([f for f, _ in made], pa.binary()), pa.array(list(keys))],
+                [batch.column("doc_id"), batch.column("row"), pa.array([node_of(s) for s in sets], pa.binary()), pa.array(list(keys))],
                 names=["doc_id", "row", "fp", "keys"],
             )
 
-    def linked(shard: pa.Table) -> pa.RecordBatch:
-        blobs = shard.column("fp").to_pylist()
-        found: list[tuple[bytes, bytes]] = []
-        if len(blobs) > 1:
-            fps = np.frombuffer(b"".join(blobs), "<u8").reshape(-1, WORDS)
-            join_similar(fps, radius, lambda a, b: found.append((blobs[a], blobs[b])))
-        ends = [pa.array([pair[i] for pair in found], pa.binary()) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from map(linked, whole_shards(batches))
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(t.lower().split(), width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            blobs = [s.astype("<u8").tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([node_of(s) for s in sets], pa.binary()), pa.array(blobs, pa.binary())], names=["fp", "shingles"]
+            )
 
-    sketched = text_rows(docs, key, text, number.alias("row")).mapInArrow(
-        sketch, "doc_id bigint, row bigint, fp binary, keys array<bigint>"
-    )
-    rows = stored(sketched, "sketches")
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in whole_shards(batches):
+            blobs = shard.column("fp").to_pylist()
+            nodes = np.frombuffer(b"".join(blobs), "<u8").reshape(len(blobs), -1)
+            if "root" in shard.column_names:
+                found = open_pairs(nodes, shard.column("root").to_numpy(), radius, similarity)
+            else:
+                found = first_pairs(nodes, radius, similarity)
+            for pairs in found:
+                if len(pairs):
+                    ends = [pa.array([blobs[i] for i in pairs[:, side].tolist()], pa.binary()) for side in (0, 1)]
+                    yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+    def proposed(shards: DataFrame) -> DataFrame:
+        ordered = shards.repartition("shard").sortWithinPartitions("shard", "fp")
+        pairs = ordered.mapInArrow(propose, "a binary, b binary").where("a <> b")
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                one, other = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                kept.append(both / max(1, len(one) + len(other) - both) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        one = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
+        other = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
+        return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(checked, "a binary, b binary")
+
+    rows = stored(texts.mapInArrow(sketch, "doc_id bigint, row bigint, fp binary, keys array<bigint>"), "sketches")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
-    least = stored(rows.groupBy("fp").agg(F.min(place).alias("first")), "distinct")
-    # Equal fingerprints meet in one component whatever their keys, so each key counts.
-    dealt = rows.select("fp", F.explode("keys").alias("shard")).distinct()
-    alone = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shard")
-    shared = dealt.join(alone, "shard").repartition("shard").sortWithinPartitions("shard")
-    return _named(rows.drop("keys"), least, shared.mapInArrow(run, "a binary, b binary"))
+    # Equal sets of shingles have equal keys.
+    least = stored(rows.groupBy("fp").agg(F.min(place).alias("first"), F.first("keys").alias("keys")), "distinct")
+    dealt = least.select("fp", F.explode("keys").alias("shard"))
+    sizes = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(dealt.join(sizes, "shard").select("shard", "fp"), "shards")
+
+    pairs = stored(proposed(shared), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    # The texts of one row each; rows that repeat key and number bring others, which go again.
+    places = least.join(wanted, "fp").select(F.col("first")["doc_id"].alias("d"), F.col("first")["row"].alias("r")).distinct()
+    some = texts.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left_semi")
+    made = some.mapInArrow(sets_of, "fp binary, shingles binary").dropDuplicates(["fp"])
+    sets = stored(made.join(wanted, "fp", "left_semi"), "shingles")
+
+    links = stored(linked(pairs, sets), "links")
+    roots = components(links).select(F.col("node").alias("fp"), "root")
+    rooted = shared.join(roots, "fp", "left").select("shard", "fp", F.xxhash64(F.coalesce("root", "fp")).alias("root"))
+    rest = stored(linked(proposed(rooted), sets), "links")
+    return _named(rows.drop("keys"), least.drop("keys"), links.unionByName(rest))

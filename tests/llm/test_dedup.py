@@ -170,6 +170,34 @@ def test_similar_documents_are_found(spark):
     assert found == group
 
 
+def test_links_are_of_the_exact_similarity(spark):
+    """Groups of texts around the threshold, short ones and repeats among them."""
+    rnd = random.Random(8)
+    texts = []
+    for g in range(60):
+        n = rnd.choice([6, 8, 12, 40, 150])
+        base = [f"g{g}w{i}" for i in range(n)]
+        for _ in range(6):
+            words = list(base)
+            cut = rnd.randint(0, max(1, n // 4))  # a tail of other words: similarities around 0.8
+            words[n - cut :] = [f"x{rnd.randrange(1 << 40)}" for _ in range(cut)]
+            texts.append(" ".join(words))
+        texts.append(" ".join(base * rnd.randint(2, 5) + [f"y{g}x{i}" for i in range(n // 2)]))  # one passage repeated
+    texts += ["a b c d e f g h", "a b c d e f g h i", "", " ", "one"]
+    rows = list(enumerate(texts))
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    near = [
+        (a, b) for a in range(len(sets)) for b in range(a) if sets[a] & sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    ]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == plain_components(range(len(sets)), near)
+
+
 def test_joins_connect_what_pairs_would():
     rnd = np.random.default_rng(5)
     centres = rnd.integers(0, 1 << 62, (4, 4), dtype=np.uint64)
