@@ -62,6 +62,11 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+")
+# Attributes up to the end of the tag: a quote opens a value only right after =, and anywhere else
+# is part of a name. No step goes back, so any markup takes linear time.
+_TAG_REST = re.compile(
+    r"""(?:[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+)*+[\s/]*+>"""
+)
 
 
 class Page:
@@ -78,18 +83,10 @@ class Page:
         self._read(html)
 
     def _tag_end(self, html: str, start: int) -> int:
-        """Just after the > that ends a tag, which may not be within quotes; -1 without one."""
-        end = html.find(">", start)
-        while end >= 0:
-            inside = html[start:end]
-            quote = next((q for q in ('"', "'") if inside.count(q) % 2), None)
-            if quote is None:
-                return end + 1
-            closing = html.find(quote, end)
-            if closing < 0:
-                return end + 1
-            start, end = closing + 1, html.find(">", closing + 1)
-        return -1
+        """Just after the > that ends a tag, which may not be within a quoted value; -1 without
+        one. A value whose quote is never closed ends like one without quotes."""
+        found = _TAG_REST.match(html, start)
+        return found.end() if found else -1
 
     def _read(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("#root", 0)]  # open elements with their block node
@@ -153,6 +150,8 @@ class Page:
             if tag in _VOID:
                 fresh = fresh or tag in ("br", "hr")
                 continue
+            if tag == "svg" and html[at - 2 : at] == "/>":
+                continue
             if tag in _RAW or tag == "head":
                 # Raw text ends at its own end tag; a head also where the body starts.
                 found = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|(?=<body\b)", re.I).search(html, at)
