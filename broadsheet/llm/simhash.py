@@ -287,6 +287,10 @@ def _named(rows: DataFrame, least: DataFrame, linked: DataFrame) -> DataFrame:
 # bits only propose pairs; a pair is linked if the shingles of both, joined back, are as similar
 # as was asked for.
 #
+# A shard of more nodes than a block is dealt into blocks by hash, and each pair of blocks is a
+# shard of its own. So a passage that very many texts share is work for many tasks, each of
+# bounded size, and no pair is left out.
+#
 # Pairs are proposed twice. First each text with one vantage point near it and with its neighbour
 # around that point, which connects a large group with two pairs a text. Then all near pairs
 # that the links found so far leave in different components.
@@ -294,6 +298,7 @@ def _named(rows: DataFrame, least: DataFrame, linked: DataFrame) -> DataFrame:
 WAYS = 12  # samples of shingles; at a similarity of 0.8 all differ for one pair in 100,000
 SAMPLED = 2  # shingles in a sample
 WORDS = 4  # of 64 bits in a wide fingerprint
+BLOCK = 2048  # nodes of a heavy shard that are compared with as many others in a task
 FEW = 64  # with fewer shingles, bits are too coarse to rule a pair out
 
 
@@ -412,6 +417,17 @@ def open_pairs(nodes: np.ndarray, roots: np.ndarray, radius: int, similarity: fl
             yield np.column_stack([np.full(len(near), i), near])
 
 
+def _blocks(sized: DataFrame, block: int) -> DataFrame:
+    """(shard, fp): shards (shard, fp, n) of at most `block` nodes as they are, of larger ones
+    all pairs of blocks."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    code = F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = sized.withColumns({"blocks": blocks, "own": own})
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(F.when(F.col("blocks") > 1, code).otherwise(F.col("shard")).alias("shard"), "fp")
+
+
 def similar_documents(
     docs: DataFrame,
     key: str = "doc_id",
@@ -419,6 +435,7 @@ def similar_documents(
     width: int = 5,
     similarity: float = 0.8,
     row: str | None = None,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(doc_id, row, fp, component_id, first_row), as `near_duplicates` gives them, for texts that
     have at least `similarity` of their distinct shingles in common; fp is `node_of` them."""
@@ -481,7 +498,7 @@ def similar_documents(
     least = stored(rows.groupBy("fp").agg(F.min(place).alias("first"), F.first("keys").alias("keys")), "distinct")
     dealt = least.select("fp", F.explode("keys").alias("shard"))
     sizes = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(dealt.join(sizes, "shard").select("shard", "fp"), "shards")
+    shared = stored(_blocks(dealt.join(sizes, "shard"), block), "shards")
 
     pairs = stored(proposed(shared), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()

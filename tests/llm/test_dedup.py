@@ -198,6 +198,30 @@ def test_links_are_of_the_exact_similarity(spark):
     assert found == plain_components(range(len(sets)), near)
 
 
+def test_heavy_shards_are_divided_without_loss(spark):
+    """All pairs of a shard meet in some block pair, and none holds more than two blocks."""
+    nodes = [(7, bytes([i % 256, i // 256]), 500) for i in range(500)] + [(8, bytes([i]), 20) for i in range(20)]
+    dealt = simhash._blocks(spark.createDataFrame(nodes, "shard long, fp binary, n long"), 50).collect()
+    held: dict[int, list[bytes]] = {}
+    for r in dealt:
+        held.setdefault(r.shard, []).append(bytes(r.fp))
+    assert len(held) == 10 * 11 // 2 + 1 and sorted(held.pop(8)) == [bytes([i]) for i in range(20)]
+    assert max(map(len, held.values())) < 200
+    met = {(a, b) for own in held.values() for a in own for b in own if a < b}
+    assert len(met) == 500 * 499 // 2
+
+
+def test_a_passage_in_many_texts(spark):
+    """A licence in half of each text joins none of them, near copies among them are found."""
+    rnd = random.Random(9)
+    licence = " ".join(f"l{i}" for i in range(80))
+    rows = [(i, licence + " " + " ".join(f"w{rnd.randrange(1 << 40)}" for _ in range(80))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 300, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, block=16).collect()}
+    assert found == {i: i % 1000 for i, _ in rows}
+
+
 def test_joins_connect_what_pairs_would():
     rnd = np.random.default_rng(5)
     centres = rnd.integers(0, 1 << 62, (4, 4), dtype=np.uint64)
