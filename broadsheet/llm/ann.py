@@ -5,7 +5,8 @@ hash of their id. Every row is indexed in the leaf that it reaches by going down
 centre. A query walks the tree best bin first: a priority queue holds the branches not yet
 opened by the distance of their centres, and leaves are visited in the order in which they
 leave the queue. How many are visited is widened until calibration queries, whose exact
-neighbours are found by brute force in blocks, reach the wanted recall.
+neighbours are found by brute force in blocks, reach the wanted recall. A query whose leaves
+hold fewer rows than it wants goes on to the next ones.
 
 Nearness is the inner product. Vectors get one more component that makes their lengths equal,
 so that the largest product is the smallest distance in the tree; scores come from the vectors
@@ -106,16 +107,21 @@ class Tree:
         down(0, np.arange(len(points)))
         return branch, leaf
 
-    def visits(self, query: np.ndarray, count: int) -> list[tuple[int, int]]:
-        """(branch, leaf) of the first `count` leaves, best bin first."""
+    def visits(
+        self, query: np.ndarray, count: int, least: int = 0, sizes: dict[int, int] | None = None
+    ) -> list[tuple[int, int]]:
+        """(branch, leaf) of the first `count` leaves, best bin first, and of more until they hold
+        `least` rows, where `sizes` has the rows by leaf."""
         norm = math.sqrt(float(query @ query))
         point = np.append(query * (self.length / norm if norm else 1.0), 0.0)
         queue: list[tuple[float, int, int]] = [(0.0, 0, -1)]
         out: list[tuple[int, int]] = []
-        while queue and len(out) < count:
+        held = 0
+        while queue and (len(out) < count or held < least):
             _, node, branch = heapq.heappop(queue)
             if node < 0:
                 out.append((branch, -node - 1))
+                held += (sizes or {}).get(-node - 1, 0)
                 continue
             far = distances(point[None, :], self.centres[node])[0].tolist()
             for i, child in enumerate(self.children[node]):
@@ -264,14 +270,18 @@ def search(
     condition on vec_id) holds. `recall` is what the calibration queries must reach."""
     spark = df.sparkSession
     rows = stored(valid_vectors(df, key, vector), "vectors")
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"), F.count(F.lit(1)).alias("own"))
     if rows.isEmpty():
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     tree = build_tree(rows, sample_rows, leaves)
     indexed = stored(index(rows, tree), "vector-index")
     visits = calibrated_visits(indexed, tree, queries, k, recall)
-    # One row per branch of the tree, whose number is bounded by the sample.
-    sizes = {r.branch: r["count"] for r in indexed.groupBy("branch").count().collect()}
+    # One row per leaf of the tree, whose number is bounded by the sample.
+    leaf_sizes: dict[int, int] = {}
+    sizes: dict[int, int] = {}
+    for r in indexed.groupBy("branch", "leaf").count().collect():
+        leaf_sizes[r.leaf] = r["count"]
+        sizes[r.branch] = sizes.get(r.branch, 0) + r["count"]
     parts = {branch: -(-n // part_rows) for branch, n in sizes.items()}
     count = F.lit(1)
     for branch, n in parts.items():
@@ -282,9 +292,10 @@ def search(
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"branch": [], "part": [], "query_id": [], "leaves": [], "vec": []}
-            for query, vec in zip(batch.column("vec_id").to_pylist(), batch.column("vec").to_pylist()):
+            for query, vec, own in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "vec", "own"))):
                 by: dict[int, list[int]] = {}
-                for branch, leaf in tree.visits(np.array(vec), visits):
+                # Rows of the query's own id may be among those held, and do not count.
+                for branch, leaf in tree.visits(np.array(vec), visits, k + own, leaf_sizes):
                     by.setdefault(branch, []).append(leaf)
                 for branch, found in by.items():
                     for part in range(parts.get(branch, 0)):

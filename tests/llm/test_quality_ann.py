@@ -107,6 +107,18 @@ def test_copies_of_one_vector(spark, part_rows):
     assert recall_of(found.collect(), np.arange(900), vectors) >= 0.97
 
 
+def test_outliers_get_all_their_neighbours(spark):
+    """Beside one large cluster, whose queries need one leaf, a few rows lie far off."""
+    rnd = np.random.default_rng(6)
+    vectors = np.ones((2000, 8)) + rnd.normal(size=(2000, 8)) * 1e-3
+    odd = np.arange(0, 2000, 200)
+    vectors[odd] = rnd.normal(size=(10, 8)) * 3 - 2
+    rows = [(int(i), v.tolist()) for i, v in enumerate(vectors)] + [(0, vectors[0].tolist())] * 30
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(frame, F.col("vec_id") % 20 == 0).groupBy("query_id").count().collect()
+    assert len(found) == 100 and all(r["count"] == 20 for r in found)
+
+
 def test_vectors_that_take_no_part(spark):
     good = [(i, [1.0, float(i)], 1) for i in range(30)]
     odd = [
