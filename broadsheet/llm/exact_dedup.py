@@ -5,7 +5,8 @@ stays. The history is an index made once and kept as a table: its distinct diges
 to shards by hash, and each shard is a minimal perfect hash, one displacement per bucket of
 keys, whose slots hold the full digest and the locator of the winner. A new digest is looked
 up in one slot of its shard and compared byte by byte; members join the group they were
-found in, all others are grouped by themselves.
+found in, all others are grouped by themselves. Where a shard has more new digests than a task
+should hold, they are dealt into parts, and each part gets the shard's index row.
 
 Texts are read once, for their digests. Copies are counted before every shuffle, so a text
 that is a third of all rows is one row per task; the one join by digest is a plain sort-merge
@@ -155,10 +156,19 @@ _LIST = pa.list_(pa.int64())
 _INDEX_TYPES = [pa.int64(), pa.binary(), pa.binary(), _LIST, _LIST, _LIST]
 
 
-def lookup(groups: DataFrame, path: str, shards: int) -> DataFrame:
+def _dealt(groups: DataFrame, shards: int, part_keys: int) -> tuple[DataFrame, int]:
+    """The groups with `shard` and `part`, and how many parts of about `part_keys` a shard has."""
+    parts = max(1, -(-groups.count() // (shards * part_keys)))
+    part = F.pmod(F.xxhash64("digest", F.lit("part")), F.lit(parts)).cast("int")
+    return groups.withColumns({"shard": _shard(shards), "part": part}), parts
+
+
+def lookup(groups: DataFrame, path: str, shards: int, part_keys: int = KEYS_PER_SHARD) -> DataFrame:
     """The groups with what the index holds for their digest, null where it holds nothing."""
     index = groups.sparkSession.read.schema(INDEX_DDL).parquet(path)
-    sharded = groups.withColumn("shard", _shard(shards))
+    sharded, parts = _dealt(groups, shards, part_keys)
+    # In all, the repeated rows hold at most about as many digests as the groups.
+    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def find(new: pa.Table, held: pa.Table) -> pa.Table:
         wanted = new.column("digest").to_pylist()
@@ -177,7 +187,7 @@ def lookup(groups: DataFrame, path: str, shards: int) -> DataFrame:
         kept = {c: new.column(c) for c in ("digest", "doc_id", "row", "copies")}
         return pa.table(kept | found)
 
-    both = sharded.groupBy("shard").cogroup(index.groupBy("shard"))
+    both = sharded.groupBy("shard", "part").cogroup(index.groupBy("shard", "part"))
     return both.applyInArrow(find, FOUND_DDL)
 
 
@@ -187,7 +197,8 @@ def groups_with_history(history: DataFrame, fresh: DataFrame, path: str) -> Data
     The history is indexed at `path`; the fresh rows are looked up in it.
     """
     old = stored(grouped(history), "history")
-    found = stored(lookup(grouped(fresh), path, write_index(old, path)), "found")
+    new = stored(grouped(fresh), "fresh")
+    found = stored(lookup(new, path, write_index(old, path)), "found")
     new_last, old_last = F.struct("doc_id", "row"), F.struct("old_doc_id", "old_row")
     newer = F.col("old_copies").isNull() | (new_last >= old_last)
     members_and_new = found.select(

@@ -66,6 +66,23 @@ def test_history_is_looked_up(spark):
             assert r.old_doc_id is None and r.old_copies is None
 
 
+def test_many_fresh_digests_beside_a_small_history(spark):
+    """One far smaller key leaves one historical digest: the fresh ones are dealt into parts."""
+    docs = spark.createDataFrame([(i + 10**9 if i else 0, f"t{i % 900}") for i in range(1000)], "doc_id long, text string")
+    rows = exact_dedup.digests(docs)
+    path = shared_dir(spark, "index")
+    shards = exact_dedup.write_index(exact_dedup.grouped(rows.where("doc_id = 0")), path)
+    fresh = exact_dedup.grouped(rows.where("doc_id > 0"))
+    dealt, parts = exact_dedup._dealt(fresh, shards, 50)
+    assert (shards, parts) == (1, 18)
+    assert dealt.groupBy("shard", "part").count().agg({"count": "max"}).first()[0] < 100
+    found = exact_dedup.lookup(fresh, path, shards, 50).collect()
+    assert len(found) == len({bytes(r.digest) for r in found}) == 900
+    assert [(r.doc_id, r.copies, r.old_doc_id) for r in found if r.old_copies] == [(900 + 10**9, 1, 0)]
+    judged = exact_dedup.deduplicate(docs, shared_dir(spark, "index")).collect()
+    assert len(judged) == 1000 and sum(r.kept for r in judged) == 900
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 3000])
 def test_perfect_hash_has_a_slot_for_each(n):
     data = b"".join(hashlib.sha256(b"%d" % i).digest() for i in range(n))
