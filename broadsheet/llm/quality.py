@@ -6,9 +6,10 @@ from the labelled documents. In each round every classifier labels those unlabel
 which it is sure, for the other one to learn from. At the end each view is calibrated on
 labelled documents that were held out, and the scores of a document are combined as odds.
 
-The classifiers are fitted on samples of bounded size, taken by hash of the key: at most
-`labelled` labelled and `unlabelled` other documents. Every document is scored from its whole
-text, where it lies, without a shuffle.
+The labelled documents are a sample of bounded size, taken by hash of the key. The unlabelled
+ones are all others: their features are made once, where the texts lie, and each round scores
+all of them and fits on all that are sure. Every document is scored from its whole text, where
+it lies, without a shuffle.
 
 Null text counts as empty; a text without words scores 0 in all three columns and is
 rejected. Null language or source is a value of its own, a null number of characters is
@@ -35,7 +36,6 @@ from broadsheet.llm.common import sampled, slices
 from broadsheet.session import stored
 
 LABELLED = 6_000
-UNLABELLED = 6_000
 ROUNDS = 3
 SURE = 0.98
 SCORES = ["content_score", "metadata_score", "quality_score"]
@@ -166,7 +166,6 @@ def fit(
     source: str = "source",
     n_chars: str = "n_chars",
     labelled: int = LABELLED,
-    unlabelled: int = UNLABELLED,
     rounds: int = ROUNDS,
     sure: float = SURE,
 ) -> Model | None:
@@ -178,46 +177,41 @@ def fit(
     marks = marks.groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("low"), F.max(label).alias("high"))
     marks = marks.where("low = high").select("_key", F.col("low").cast("int").alias("_label"))
     inputs = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), *_inputs(docs, text, lang, source, n_chars))
-    # Keys are drawn first, so texts other than those of the samples are not shuffled.
     some = stored(sampled(marks, "_key", labelled), "labelled")
-    keys = inputs.select("_key").distinct()
-    # Twice as many as wanted are drawn, since those with a label are left out.
-    others = sampled(keys, "_key", 2 * unlabelled).join(marks, "_key", "left_anti").orderBy(F.xxhash64("_key")).limit(unlabelled)
-    drawn = stored(some.unionByName(others.withColumn("_label", F.lit(None).cast("int"))), "drawn")
-    picked = inputs.join(F.broadcast(drawn), "_key")  # at most labelled + unlabelled rows
+    drawn = some.select("_key", F.lit(True).alias("drawn"))
+    told = marks.join(F.broadcast(drawn), "_key", "left").select(
+        F.col("_key").alias("key"), F.col("_label").alias("label"), F.coalesce("drawn", F.lit(False)).alias("drawn")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             content, metadata, _ = _features(batch)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_key"), batch.column("_label"), pa.array(list(content)), pa.array(list(metadata))],
-                names=["key", "label", "content", "metadata"],
+                [batch.column("_key"), pa.array(list(content)), pa.array(list(metadata))],
+                names=["key", "content", "metadata"],
             )
 
-    made = picked.mapInArrow(run, "key bigint, label int, content array<double>, metadata array<double>")
+    kind = inputs.schema["_key"].dataType.simpleString()
+    made = inputs.mapInArrow(run, f"key {kind}, content array<double>, metadata array<double>")
+    # Features are shuffled, not texts. A label that was not drawn does not count as unlabelled.
+    made = made.join(told, "key", "left").where("drawn is null or drawn").drop("drawn")
     held = F.col("label").isNotNull() & (F.pmod(F.xxhash64("key", F.lit("held")), F.lit(4)) == 0)
     rows = stored(made.withColumn("held", held), "views")
     learnt = F.when(~F.col("held"), F.col("label"))
-    rows = rows.withColumns({"for_content": learnt, "for_metadata": learnt})
+    free = F.col("label").isNull()
+    lessons = {"content": learnt, "metadata": learnt}
     models = None
     for turn in range(rounds + 1):
-        pair = [_fit(rows, v, f"for_{v}") for v in ("content", "metadata")]
+        pair = [_fit(rows.withColumn("lesson", lessons[v]), v, "lesson") for v in ("content", "metadata")]
         if None in pair:
             return None
         models = pair
         if turn < rounds:
-            free = F.col("label").isNull()
-            by_content = F.when(free, _sure(_logit("content", models[0]), sure))
-            by_metadata = F.when(free, _sure(_logit("metadata", models[1]), sure))
-            rows = stored(
-                rows.withColumns(
-                    {
-                        "for_metadata": F.coalesce("for_metadata", by_content),
-                        "for_content": F.coalesce("for_content", by_metadata),
-                    }
-                ),
-                "views",
-            )
+            # Earlier lessons stay, so they need not be stored: the models give them again.
+            lessons = {
+                "metadata": F.coalesce(lessons["metadata"], F.when(free, _sure(_logit("content", models[0]), sure))),
+                "content": F.coalesce(lessons["content"], F.when(free, _sure(_logit("metadata", models[1]), sure))),
+            }
     proof = rows.where("held")
     odds = [F.array(_logit(v, m)) for v, m in zip(("content", "metadata"), models)]
     proof = stored(proof.select("label", odds[0].alias("content"), odds[1].alias("metadata")), "proof")

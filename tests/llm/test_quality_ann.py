@@ -38,6 +38,23 @@ def test_views_teach_each_other(spark):
         assert 0 <= r.content_score <= 1 and 0 <= r.metadata_score <= 1
 
 
+def test_all_unlabelled_documents_teach(spark, monkeypatch):
+    """A fit on lessons counts every unlabelled document, and no labelled one beyond the sample."""
+    rows = [(i, "plain words of text " * 9 if i % 3 else "BUY!! NOW!! " * 20, "en", "news" if i % 3 else "spam", 200) for i in range(16_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = docs.where("doc_id < 1500").select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
+    fitted, fit = [], quality._fit
+
+    def counted(rows, features, label, *more):
+        fitted.append(rows.where(F.col(label).isNotNull()).count())
+        return fit(rows, features, label, *more)
+
+    monkeypatch.setattr(quality, "_fit", counted)
+    assert quality.fit(docs, labels, labelled=600, rounds=1) is not None
+    assert max(fitted[:2]) <= 600 and min(fitted[2:4]) >= 14_500
+    assert max(fitted[2:4]) <= 14_500 + 600
+
+
 def test_quality_edges(spark):
     docs = edge.documents(spark).withColumn("quality_score", F.lit("old"))
     labels = docs.select("doc_id", F.col("label").alias("quality")).where("doc_id > 20")
