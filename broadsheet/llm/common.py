@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def slices(
 ) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose column holds about `limit` bytes, or one row if longer."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).to_pylist()
         first, held = 0, 0
         for i, size in enumerate(sizes):
             if held and held + (size or 0) > limit:
@@ -36,6 +37,17 @@ def slices(
             yield batch.slice(first)
 
 
+# Ends of words as blanks, A-Z in lower case, all other bytes as they are.
+_WORD_BYTES = bytes(
+    c | 0x20 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
+)
+
+
+def ascii_words(text: bytes) -> list[bytes]:
+    """Runs of ASCII letters and digits and of everything beyond ASCII; only A-Z get lower case."""
+    return text.translate(_WORD_BYTES).split()
+
+
 def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
     """At most `most` rows, by hash of their key."""
     n = rows.count()
