@@ -1,11 +1,17 @@
-"""Joins with lookup tables, broadcast only after a check of their size."""
+"""Lookups in tables, within the row or by a join, broadcast only after a check of their size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import zlib
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BROADCAST_ROWS = 200_000
+MAX_ROWS_IN_ROW = 20_000
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
@@ -31,3 +37,28 @@ def lookup(tokens: DataFrame, table: DataFrame, on: str, how: str = "left") -> D
     partition of a word that holds a large part of all tokens.
     """
     return tokens.join(table, on, how)
+
+
+def in_row(table: DataFrame, on: str, max_rows: int = MAX_ROWS_IN_ROW) -> Callable[[Column], Column] | None:
+    """A function from a word to its row of the table, null where there is none.
+
+    It is an expression without a join, so words need not leave their row. The table, one row per
+    `on`, becomes one literal: an array of buckets by the CRC-32 of the word, of which an
+    expression reads one. None if the table has more than `max_rows` rows; then it must be joined.
+    """
+    rows = table.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
+    slots = max(1, 2 * len(rows))
+    buckets: list[list[dict]] = [[] for _ in range(slots)]
+    for row in rows:
+        if row[on] is not None:
+            buckets[zlib.crc32(row[on].encode()) % slots].append(row.asDict())
+    # Parsed once, while the plan is optimized.
+    literal = F.from_json(F.lit(json.dumps(buckets)), T.ArrayType(T.ArrayType(table.schema)))
+
+    def find(word: Column) -> Column:
+        bucket = F.get(literal, F.pmod(F.crc32(word), F.lit(slots)).cast("int"))
+        return F.get(F.filter(bucket, lambda row: row[on] == word), 0)
+
+    return find

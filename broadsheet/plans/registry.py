@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from broadsheet.plans import learn, pages, rows, runs, stats, streams, words  # noqa: F401
+from broadsheet.plans import language, learn, pages, rows, runs, stats, streams, words  # noqa: F401
 from broadsheet.plans.base import QUERIES, SQL, Query
 
 
