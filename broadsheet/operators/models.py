@@ -1,4 +1,4 @@
-"""TF-IDF classifiers with pyspark.ml: fit, score, cross-validate."""
+"""TF-IDF classifiers: fit, score, cross-validate."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     IDF,
     CountVectorizerModel,
@@ -20,12 +20,13 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet.operators import boosting
 from broadsheet.operators.counts import count_items, most_common
 from broadsheet.operators.curves import auc, classification_report
-from broadsheet.session import stored
+from broadsheet.session import discard, path_exists, stored
 
 # The same normalization as functions.text.normalize, as text: a saved model keeps it.
 _NORMALIZE = r"""
@@ -80,15 +81,24 @@ def logistic_regression(rows: int, c: float = 3.0, max_iter: int = 300) -> Logis
     )
 
 
-def boosted_trees(rounds: int = 300, seed: int = 42) -> GBTClassifier:
-    return GBTClassifier(
-        maxIter=rounds,
-        stepSize=0.1,
-        maxDepth=6,
-        subsamplingRate=0.8,
-        featureSubsetStrategy="0.8",
-        seed=seed,
-    )
+class BoostedPipeline:
+    """TF-IDF vectors and boosted trees as one model."""
+
+    def __init__(self, vectors: PipelineModel, trees: boosting.BoostedTrees):
+        self.vectors, self.trees = vectors, trees
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.trees.score(self.vectors.transform(df))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.vectors.write().overwrite().save(f"{path}/vectors")
+        rows = spark.createDataFrame(self.trees.to_rows(), boosting.BoostedTrees.ROWS)
+        rows.write.mode("overwrite").parquet(f"{path}/trees")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> BoostedPipeline:
+        rows = spark.read.parquet(f"{path}/trees").collect()  # the nodes of the model
+        return cls(PipelineModel.load(f"{path}/vectors"), boosting.BoostedTrees.from_rows([tuple(r) for r in rows]))
 
 
 def fit_classifier(
@@ -98,21 +108,26 @@ def fit_classifier(
     max_features: int = 8000,
     stopwords: list[str] | None = None,
     **options,
-) -> PipelineModel:
+) -> PipelineModel | BoostedPipeline:
     """TF-IDF and a classifier ("lr" or "gbt") as one model, ready to be saved."""
     vectors = fit_tfidf(train, text, max_features, stopwords)
-    # Fitting passes over the vectors many times, so they start from a table of their own.
-    rows = stored(vectors.transform(train).select("label", "features"), "vectors")
+    # Fitting passes over the vectors many times, so they start from a table of their own. The
+    # number tells rows with equal vectors apart.
+    number = F.xxhash64(*train.columns).alias("number")
+    rows = stored(vectors.transform(train).select("label", "features", number), "vectors")
     if kind == "lr":
-        estimator = logistic_regression(rows.count(), **options)
+        fitted = PipelineModel([*vectors.stages, logistic_regression(rows.count(), **options).fit(rows)])
     else:
-        estimator = boosted_trees(**options)
-    return PipelineModel([*vectors.stages, estimator.fit(rows)])
+        fitted = BoostedPipeline(vectors, boosting.fit(rows, boosting.Settings(**options)))
+    discard(rows)
+    return fitted
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score(model: PipelineModel | BoostedPipeline, df: DataFrame) -> DataFrame:
     """The rows with `score`, the probability of label 1; works on streams as well."""
     scored = model.transform(df)
+    if isinstance(model, BoostedPipeline):
+        return scored
     p = vector_to_array("probability")[1]
     return scored.withColumn("score", p).drop("features", "rawPrediction", "probability")
 
@@ -129,8 +144,11 @@ def cross_validate(
     """(fold, accuracy, f1, auc), everything fitted anew on the other folds.
 
     Rows go to folds by the hash of their key. `parallelism` fits run at a time, each with
-    its own cached rows.
+    its own cached rows. Boosted trees ("gbt") share the vocabulary of all rows and grow for all
+    folds in one pass over the rows.
     """
+    if kind == "gbt":
+        return _cross_validate_boosted(df, key, folds, max_features, boosting.Settings(**options))
     fold = F.pmod(F.xxhash64(key), F.lit(folds))
     marked = df.withColumn("fold", fold.cast("int"))
 
@@ -142,7 +160,21 @@ def cross_validate(
     with ThreadPool(min(parallelism, folds)) as pool:
         scored = pool.map(inheritable_thread_target(df.sparkSession)(scored_fold), range(folds))
     # Scored once: the report and the area each pass over the rows again.
-    every = stored(reduce(DataFrame.unionByName, scored), "folds")
+    return _fold_metrics(stored(reduce(DataFrame.unionByName, scored), "folds"))
+
+
+def _cross_validate_boosted(
+    df: DataFrame, key: str, folds: int, max_features: int, settings: boosting.Settings
+) -> DataFrame:
+    vectors = fit_tfidf(df, max_features=max_features)
+    rows = stored(vectors.transform(df).select(key, "label", "features"), "vectors")
+    told = boosting.cross_margins(rows, key, folds, settings)
+    discard(rows)
+    return _fold_metrics(told.select("fold", "label", (1 / (1 + F.exp(-F.col("margin")))).alias("score")))
+
+
+def _fold_metrics(every: DataFrame) -> DataFrame:
+    """(fold, accuracy, f1, auc) of the scores of each fold."""
     decided = every.withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
     report = classification_report(decided, by=["fold"]).where("class = 1")
     return report.join(auc(every, by=["fold"]), "fold").select("fold", "accuracy", "f1", "auc")
@@ -159,9 +191,13 @@ def cv_summary(folds: DataFrame) -> DataFrame:
     )
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save(model: PipelineModel | BoostedPipeline, path: str) -> None:
+    if isinstance(model, BoostedPipeline):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(path: str) -> PipelineModel | BoostedPipeline:
+    spark = SparkSession.active()
+    return BoostedPipeline.load(spark, path) if path_exists(spark, f"{path}/trees") else PipelineModel.load(path)

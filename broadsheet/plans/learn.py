@@ -90,6 +90,12 @@ def cross_validation_summary(spark, folder):
     return models.cv_summary(models.cross_validate(_rows(spark, folder), "doc_id", kind="lr", parallelism=5))
 
 
+@query()
+def boosted_cross_validation(spark, folder):
+    """Five boosted models that grow side by side."""
+    return models.cross_validate(_rows(spark, folder), "doc_id", kind="gbt")
+
+
 @query()
 def saved_model_scores(spark, folder):
     """A model saved and loaded again, applied to short texts it has not seen."""

@@ -63,4 +63,28 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `stored` has written, once nothing will read them any more."""
+    for table in tables:
+        discard_path(table.sparkSession, table.stored_at)
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in any store that Spark can write to."""
+    folder, store = _folder(spark, path)
+    store.delete(folder, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    folder, store = _folder(spark, path)
+    return store.exists(folder)

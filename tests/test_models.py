@@ -46,6 +46,19 @@ def test_boosted_trees(rows):
     assert sum(r.prediction == r.label for r in scored) > len(scored) * 0.7
 
 
+def test_boosted_trees_are_saved(rows, tmp_path):
+    model = models.fit_classifier(rows, "gbt", rounds=4)
+    scored = {r.doc_id: r.score for r in models.score(model, rows).collect()}
+    models.save(model, str(tmp_path / "boosted"))
+    again = models.score(models.load(str(tmp_path / "boosted")), rows).collect()
+    assert {r.doc_id: r.score for r in again} == scored and len(set(scored.values())) > 2
+
+
+def test_boosted_folds(rows):
+    got = models.cross_validate(rows, "doc_id", folds=3, kind="gbt", rounds=5).collect()
+    assert {r.fold for r in got} == {0, 1, 2} and all(r.accuracy > 0.6 and r.auc > 0.6 for r in got)
+
+
 def test_cross_validation(rows):
     folds = models.cross_validate(rows, "doc_id", folds=2, max_iter=20, parallelism=2)
     got = folds.collect()
