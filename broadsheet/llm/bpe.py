@@ -104,6 +104,7 @@ def indexed_chunks(path: str) -> Chunks:
     def make() -> Chunks:
         vocabulary = Vocabulary(path)
         index = PairIndex(vocabulary)
+        vocabulary.ranks = {}  # the index has them
         ids, added = vocabulary.ids, vocabulary.added
 
         def encode(spellings: list[str]) -> list[bytes]:
@@ -140,23 +141,23 @@ class Decoder:
         return b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace")
 
 
+def encoded_batches(batches: Iterator[pa.RecordBatch], chunks: Chunks) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_tokens, ids) of batches of (doc_id, text)."""
+    for batch in slices(batches):
+        ids, ends = laid_out(*chunks.of(batch.column("text")))
+        data, stops = ids.astype("<u4").tobytes(), [0, *ends.tolist()]
+        blobs = [data[4 * a : 4 * b] for a, b in zip(stops, stops[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(np.diff(stops), pa.int64()), pa.array(blobs, pa.binary())],
+            names=["doc_id", "n_tokens", "ids"],
+        )
+
+
 def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers in a binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = indexed_chunks(tokenizer)
-        for batch in slices(batches):
-            ids, ends = laid_out(*chunks.of(batch.column("text")))
-            data, stops = ids.astype("<u4").tobytes(), [0, *ends.tolist()]
-            blobs = [data[4 * a : 4 * b] for a, b in zip(stops, stops[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(np.diff(stops), pa.int64()),
-                    pa.array(blobs, pa.binary()),
-                ],
-                names=["doc_id", "n_tokens", "ids"],
-            )
+        yield from encoded_batches(batches, indexed_chunks(tokenizer))
 
     return text_rows(docs, key, text).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
 
@@ -175,3 +176,18 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", name: str = "de
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema)
     return picked.mapInArrow(run, f"{schema}, `{name}` string")
+
+
+def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): `encode` and `decode` in one pass, with one vocabulary a
+    worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = indexed_chunks(tokenizer)
+        decoder = loaded(("decoder", tokenizer), lambda: Decoder(chunks.vocabulary))
+        for batch in encoded_batches(batches, chunks):
+            texts = [decoder(memoryview(b).cast("I")) for b in batch.column("ids").to_pylist()]
+            names = ["doc_id", "n_tokens", "ids", "decoded"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
+
+    return text_rows(docs, key, text).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded string")

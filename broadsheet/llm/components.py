@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.session import stored
+from broadsheet.session import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def components(links: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        edges = stored(small, "links")
+        spent, edges = (edges, large), stored(small, "links")
+        discard(*spent)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

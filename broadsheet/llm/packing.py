@@ -69,7 +69,7 @@ def _id_type(size: int, end_id: int) -> str:
 def _queued(lengths: DataFrame, shares: Column, grains: int) -> DataFrame:
     """Each row with `at`, its place in its queue, the queue's length `total` and `quantum`."""
     buckets = max(1, math.isqrt(lengths.count()))
-    dealt = lengths.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    dealt = lengths.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row"), F.lit(buckets)))
     sums = dealt.groupBy("queue", "bucket").agg(F.sum("n").alias("n"))
     queue = Window.partitionBy("queue")
     sums = sums.select(

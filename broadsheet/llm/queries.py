@@ -83,8 +83,7 @@ def op7_ann(spark, folder):
 
 
 def op8_bpe(spark, folder):
-    path = default_path(WORD_BPE)
-    rows = bpe.decode(bpe.encode(_table(spark, folder, "documents"), path), path)
+    rows = bpe.round_trip(_table(spark, folder, "documents"), default_path(WORD_BPE))
     return rows.select(
         "doc_id",
         "n_tokens",

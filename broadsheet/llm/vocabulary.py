@@ -24,7 +24,10 @@ _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 _UNSURE = rf"[{_SPACE}][ \n]|[{_SPACE}]$|\x02"
 _MARKS = "!#$%&*,.:;?|"  # marks that end a word and take no part in any special token
 # Letters of Latin scripts that stay one letter in lower case.
-_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_LATIN = re.compile(f"[{_LETTERS}]+")
+# A chunk of one Latin word and marks after it, for Arrow's regular expressions.
+_SIMPLE = f"^\x02?[{_LETTERS}]+[{_MARKS}]*$"
 KEPT_CHUNKS = 700_000  # chunks a worker remembers, some 150 MB
 WORDS_A_CALL = 5_000
 
@@ -117,6 +120,24 @@ class Vocabulary:
     def in_letters(self, word: str) -> str:
         return word.encode().decode("latin-1").translate(self._letters)
 
+    def cut_simple(self, chunks: pa.Array) -> pa.Array:
+        """For chunks of one Latin word and marks, their words in byte letters with a blank between."""
+        if self.drops_space:
+            chunks = pc.utf8_lower(chunks)
+        odd = pc.invert(pc.string_is_ascii(chunks))
+        if pc.any(odd).as_py():
+            # All at once: a newline stands between, and stays one.
+            letters = {**self._letters, 10: "\n", 2: _HEAD}
+            lines = "\n".join(chunks.filter(odd).to_pylist()).encode().decode("latin-1").translate(letters)
+            chunks = pc.replace_with_mask(chunks, odd, pa.array(lines.split("\n"), chunks.type))
+        if not self.drops_space:
+            # The blank before a word is a letter of it; the first word of a text has none.
+            head = pc.starts_with(chunks, _HEAD)
+            bare = pc.replace_substring(chunks, _HEAD, "")
+            blank = pa.scalar("\u0120", chunks.type)
+            chunks = pc.if_else(head, bare, pc.binary_join_element_wise(blank, chunks, pa.scalar("", chunks.type)))
+        return pc.replace_substring_regex(chunks, f"([{_MARKS}]+)$", r" \1")
+
     def symbols(self, word: str) -> list[str]:
         """The letters that merging starts from; the last one carries the word end."""
         letters = list(word)
@@ -158,10 +179,17 @@ class Vocabulary:
 
 
 class Chunks:
-    """A bounded table from chunk to what `encode` makes of a list of their spellings."""
-
-    def __init__(self, vocabulary: Vocabulary, encode: Callable[[list[str]], Iterable], limit: int = KEPT_CHUNKS):
-        self.vocabulary, self.encode, self.limit = vocabulary, encode, limit
+    """A bounded table from chunk to what `encode` makes of a list of their spellings, or with
+    `raw` of the chunks themselves."""
+
+    def __init__(
+        self,
+        vocabulary: Vocabulary,
+        encode: Callable[[list[str]], Iterable],
+        limit: int = KEPT_CHUNKS,
+        raw: bool = False,
+    ):
+        self.vocabulary, self.encode, self.limit, self.raw = vocabulary, encode, limit, raw
         self.known: dict[str, object] = {}
 
     def of(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
@@ -175,7 +203,7 @@ class Chunks:
             self.known.clear()
             new = distinct
         spelled = self.vocabulary.spelled
-        self.known.update(zip(new, self.encode([spelled(c) for c in new])))
+        self.known.update(zip(new, self.encode(new if self.raw else [spelled(c) for c in new])))
         items = list(map(self.known.__getitem__, distinct))
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         return items, coded.indices.to_numpy(), ends
@@ -214,33 +242,53 @@ def library_chunks(path: str) -> Chunks:
 
     def make() -> Chunks:
         vocabulary = Vocabulary(path)
+        vocabulary.ranks = {}  # the library merges
         # Words in byte letters hold no blank: joined by blanks, thousands are one call.
         merger = Tokenizer(vocabulary.library.model)
         merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        letters = np.zeros(vocabulary.size, np.int64)  # letters that each id stands for
+        for token, i in vocabulary.ids.items():
+            letters[i] = len(token.removesuffix(vocabulary.suffix))
+
+        def merged(lines: list[str], sizes: np.ndarray) -> list[bytes]:
+            """The ids of each item, from lines of items and the letters of each item."""
+            filled = [line for line in lines if line]
+            calls = [" ".join(filled[i : i + WORDS_A_CALL]) for i in range(0, len(filled), WORDS_A_CALL)]
+            ids = array("I")
+            for line in merger.encode_batch_fast(calls, add_special_tokens=False):
+                ids.extend(line.ids)
+            flat = np.frombuffer(ids, np.uint32)
+            upto = np.concatenate([[0], np.cumsum(letters[flat])])
+            ends = (4 * np.searchsorted(upto, np.cumsum(np.concatenate([[0], sizes])))).tolist()
+            data = ids.tobytes()
+            return [data[a:b] for a, b in zip(ends, ends[1:])]
 
-        def encode(spellings: list[str]) -> list[bytes]:
-            words, sizes, special = [], [], {}
+        def encode_other(spellings: list[str]) -> list[bytes]:
+            lines, sizes, special = [], [], {}
             for i, text in enumerate(spellings):
                 found = vocabulary.words(text)
                 if any(w in vocabulary.added for w in found):
                     ids = vocabulary.library.encode(text, add_special_tokens=False).ids
                     special[i], found = array("I", ids).tobytes(), []
-                words += found
-                sizes.append(len(found))
-            ids, counts = array("I"), []
-            lines = [" ".join(words[i : i + WORDS_A_CALL]) for i in range(0, len(words), WORDS_A_CALL)]
-            for i, line in enumerate(merger.encode_batch(lines, add_special_tokens=False)):
-                n = min(WORDS_A_CALL, len(words) - i * WORDS_A_CALL)
-                ids.extend(line.ids)
-                counts.append(np.bincount(np.array(line.word_ids, np.int64), minlength=n))
-            upto = np.concatenate([[0], *counts]).cumsum()
-            ends = (4 * upto[np.cumsum([0, *sizes])]).tolist()
-            data = ids.tobytes()
-            out = [data[a:b] for a, b in zip(ends, ends[1:])]
+                lines.append(" ".join(found))
+                sizes.append(sum(map(len, found)))
+            out = merged(lines, np.array(sizes, np.int64))
             for i, blob in special.items():
                 out[i] = blob
             return out
 
-        return Chunks(vocabulary, encode)
+        def encode(chunks: list[str]) -> list[bytes]:
+            given = pa.array(chunks, pa.large_string())
+            if not vocabulary.plain:
+                return encode_other([vocabulary.spelled(c) for c in chunks])
+            simple = pc.match_substring_regex(given, _SIMPLE.replace("\x02?", "") if vocabulary.drops_space else _SIMPLE)
+            cut = vocabulary.cut_simple(given.filter(simple))
+            sizes = pc.subtract(pc.utf8_length(cut), pc.count_substring(cut, " "))
+            others = given.filter(pc.invert(simple)).to_pylist()
+            found = iter(merged(cut.to_pylist(), sizes.to_numpy()))
+            rest = iter(encode_other([vocabulary.spelled(c) for c in others]))
+            return [next(found) if s else next(rest) for s in simple.to_pylist()]
+
+        return Chunks(vocabulary, encode, raw=True)
 
     return loaded(("library", path), make)
