@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,7 +55,30 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = os.path.join(tempfile.gettempdir(), "broadsheet")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    for paths in _RECORDING:
+        paths.append(path)
+    return path
+
+
+_RECORDING: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that `shared_dir` gives out within the block."""
+    paths: list[str] = []
+    _RECORDING.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDING.remove(paths)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
