@@ -6,7 +6,8 @@ and role and of those above it, depth, its place and how it compares with its si
 gradient-boosted tree classifier tells how likely the node belongs to the main text. It is
 trained on a bounded sample of pages whose own markup labels them: what lies in an article or
 main element belongs, what lies in navigation, headers, footers, sidebars, forms, or in blocks
-named as adverts, notices or comments does not.
+named as adverts, notices or comments does not. A name counts by its first or last part, never on
+a paragraph, heading or body, and never on what holds an article or nearly all text of the page.
 
 Choices are then made for the whole tree: a dropped node drops all that is below it, and the
 most likely choice of that kind is found from the leaves up. So no kept paragraph can lie in
@@ -57,6 +58,9 @@ _BAD_TOKENS = set(
     "footer form header login menu modal nav navbar navigation newsletter notice popup promo related "
     "replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+# First parts that tell of a state of the page, such as "has-sidebar".
+_STATES = set("has have is no not with without show hide open closed wp js".split())
+_NEVER_ASIDE = {"#root", "html", "body", "p", "h1", "h2", "h3", "h4", "h5", "h6"}
 _TAGS = ["p", "div", "section", "article", "main", "ul", "ol", "li", "table", "td", "blockquote", "pre", "figure", *sorted(_ASIDE)]
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -69,6 +73,15 @@ _TAG_REST = re.compile(
 )
 
 
+def names_aside(parts: list[str]) -> bool:
+    """Whether a word of a class, id or role, in its parts, names an aside. The first part or
+    the last one does; a state of the page does not, nor the header of an article."""
+    if not parts or parts[0] in _STATES:
+        return False
+    of_article = parts[-1] == "header" and parts[0] in _GOOD_TOKENS
+    return parts[0] in _BAD_TOKENS or parts[-1] in _BAD_TOKENS and not of_article
+
+
 class Page:
     """The block nodes of a page, parents before children, and its text in order."""
 
@@ -76,6 +89,7 @@ class Page:
         self.tags = ["#root"]
         self.parents = [0]
         self.names: list[frozenset[str]] = [frozenset()]
+        self.asides = [0]  # words of class, id and role that name an aside, by node
         self.links = [0]  # characters inside links, by node
         self.own = [0]  # characters of text, by node
         self.marks = [0]  # full stops and commas, by node
@@ -90,6 +104,7 @@ class Page:
 
     def _read(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("#root", 0)]  # open elements with their block node
+        blocks = ["#root"]  # those that are neither inline nor paragraphs
         counts: dict[str, int] = {}
         links, fresh, at, size = 0, True, 0, len(html)
 
@@ -115,6 +130,8 @@ class Page:
                 counts[top] -= 1
                 links -= top == "a"
                 fresh = fresh or top not in _INLINE
+                if top not in _INLINE and top != "p":
+                    blocks.pop()
                 if top == name:
                     return
 
@@ -173,14 +190,16 @@ class Page:
                 close("p")
             for other in _CLOSED_BY.get(tag, ()):
                 # Only within the list or table at hand.
-                top = next((t for t, _ in reversed(stack[-4:]) if t not in _INLINE and t != "p"), "")
-                if top == other:
+                if blocks[-1] == other:
                     close(other)
             attributes = _ATTRIBUTE.findall(html[name.end() : at])
-            tokens = frozenset(t.lower() for a in attributes for v in a[1:] for t in _TOKEN.findall(v))
+            words = [[t.lower() for t in _TOKEN.findall(w)] for a in attributes for v in a[1:] for w in v.split()]
             self.tags.append(tag)
             self.parents.append(stack[-1][1])
-            self.names.append(tokens)
+            self.names.append(frozenset(t for parts in words for t in parts))
+            self.asides.append(0 if tag in _NEVER_ASIDE else sum(map(names_aside, words)))
+            if tag != "p":
+                blocks.append(tag)
             for numbers in (self.links, self.own, self.marks):
                 numbers.append(0)
             stack.append((tag, len(self.tags) - 1))
@@ -198,6 +217,13 @@ class Page:
             for numbers in (text, links, marks, below):
                 numbers[up] += numbers[i]
             largest[up] = max(largest[up], text[i])
+        # What holds an article, or nearly all text, is no aside whatever it is named.
+        asides = self.asides[:]
+        holds = [tag in _MAIN and not bad for tag, bad in zip(self.tags, asides)]
+        for i in range(n - 1, 0, -1):
+            holds[self.parents[i]] = holds[self.parents[i]] or holds[i]
+            if asides[i] and (holds[i] or text[i] > 0.9 * text[0]):
+                asides[i] = 0
         depth, seen = [0] * n, [0] * n
         aside, main, bad_above, good_above = [False] * n, [False] * n, [0] * n, [0] * n
         alike: dict[tuple[int, str], int] = {}
@@ -209,10 +235,10 @@ class Page:
         order = 0
         for i in range(n):
             up, tag, names = self.parents[i], self.tags[i], self.names[i]
-            bad, good = len(names & _BAD_TOKENS), len(names & _GOOD_TOKENS)
+            bad, good = asides[i], len(names & _GOOD_TOKENS)
             if i:
                 depth[i] = depth[up] + 1
-                bad_above[i] = bad_above[up] + len(self.names[up] & _BAD_TOKENS)
+                bad_above[i] = bad_above[up] + asides[up]
                 good_above[i] = good_above[up] + len(self.names[up] & _GOOD_TOKENS)
                 seen[up] += 1
             aside[i] = (i > 0 and aside[up]) or tag in _ASIDE or bad > 0

@@ -44,6 +44,31 @@ def test_pages(page, text):
     assert kept(page) == text
 
 
+SITE = "<nav>menu</nav><div id=page class='{}'><article><h1 class='{}'>T</h1><p class='{}'>a long text</p></article><div class='site-footer'>f</div></div>"
+
+
+@pytest.mark.parametrize("outer", ["single has-sidebar", "menu-closed", "single", "with-ads no-comments", "sidebar"])
+@pytest.mark.parametrize("heading, paragraph", [("", ""), ("article-header", "form"), ("header", "notice")])
+def test_names_around_an_article_do_not_empty_it(outer, heading, paragraph):
+    site = SITE.format(outer, heading, paragraph)
+    assert kept(site) == "T a long text"
+    assert kept(f"<html><body class='{outer}'>{site}</body></html>") == "T a long text"
+
+
+def test_names_without_an_article():
+    long = "x " * 200
+    assert kept(f"<body class='menu-open'><div class='ads'>{long}</div><div class='post-comments'>c</div></body>") == long.strip()
+    assert kept("<div class=post><p>a b c</p></div><div class='widget-area'>w</div><div id=primary-menu>m</div>") == "a b c"
+    # Comments that are articles themselves are comments.
+    assert kept("<article><p>a</p></article><div class=comments><article class=comment-body>c</article></div>") == "a"
+
+
+def test_list_items_close_within_deep_inline_markup():
+    assert kept("<ul><li><b><i><u><s><em>a<li>b</ul>c") == "a b c"
+    deep = html_text.Page("<ul>" + "<li><b><i><u><s><em>a" * 3)
+    assert [deep.parents[i] for i, t in enumerate(deep.tags) if t == "li"] == [1, 1, 1]
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
