@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from broadsheet.operators import runlog as rl
@@ -166,11 +169,16 @@ def _logs(spark, folder) -> str:
     runs = wide_runs(spark, folder)
     last = F.greatest(*[F.when(F.col(f"stage{i}_time").isNotNull(), i + 1).otherwise(0) for i in range(STAGES)])
     runs = stored(runs.withColumn("last", last), "runs")
-    for status, short in _STATUS.items():
-        for stages in range(STAGES + 1):
-            spare = [c for c in runs.columns if c.startswith("stage") and int(c[5]) >= stages]
-            part = runs.where((F.col("status") == status) & (F.col("last") == stages))
-            runlogs.write_runs(part.drop("status", "last", *spare), f"{base}/{short}{stages}.csv")
+
+    def write(log: tuple[str, str, int]) -> None:
+        status, short, stages = log
+        spare = [c for c in runs.columns if c.startswith("stage") and int(c[5]) >= stages]
+        part = runs.where((F.col("status") == status) & (F.col("last") == stages))
+        runlogs.write_runs(part.drop("status", "last", *spare), f"{base}/{short}{stages}.csv")
+
+    logs = [(status, short, stages) for status, short in _STATUS.items() for stages in range(STAGES + 1)]
+    with ThreadPool(8) as pool:
+        pool.map(inheritable_thread_target(spark)(write), logs)
     return base
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,37 +32,35 @@ def _schema(header: str) -> T.StructType:
     return T.StructType([T.StructField(n, kind(n)) for n in header.split(",")])
 
 
-# A comma that an even number of quotes follows: one between fields.
-_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
-
-def _unquoted(field: Column) -> Column:
-    """The value of a CSV field, null if it is empty."""
-    bare = F.regexp_replace(field, r'^"|"$', "")
-    return F.when(bare != "", F.replace(bare, F.lit('""'), F.lit('"')))
+def _as_path(uri: str) -> str:
+    """The path to give to a reader, with what it would take as a pattern escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
 
 
 def read_runs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All runs in one wide table, with their kind and the folder they came from.
 
-    Lines are read as text and parsed by the header of their file; only the different
-    headers, one per number of stages, reach the driver. Columns a run does not have are
-    null. The kind is taken from the start of the name of the file, or of the folder a
+    One pass over the lines finds the header of each file. Files with the same header, which
+    depends on the number of stages, are then one CSV scan with the schema of that header, and the scans are united by
+    name, so nothing is joined and Spark's reader does the parsing. Columns a run does not have
+    are null, and so are values that do not fit their column. The kind is taken from the start of the name of the file, or of the folder a
     Spark job wrote.
     """
     lines = spark.read.text(paths, recursiveFileLookup=True, pathGlobFilter="*.csv")
-    lines = lines.select("value", F.col("_metadata.file_path").alias("_path"))
     is_head = F.col("value").rlike("^(run_id,)?num_workers,")
-    heads = lines.where(is_head).select(F.col("value").alias("_head"), "_path").distinct()
-    different = [row["_head"] for row in heads.select("_head").distinct().collect()]
-    if not different:
+    heads = lines.where(is_head).select("value", F.col("_metadata.file_path").alias("path")).distinct()
+    # One row per different header; the paths are those that Spark's file index holds.
+    by_head = heads.groupBy("value").agg(F.sort_array(F.collect_set("path")).alias("paths")).collect()
+    if not by_head:
         raise ValueError(f"no run log below {paths}")
-    # A file has one header; a field is looked up by the place of its name in it.
-    rows = lines.where(~is_head).join(heads, "_path")
-    fields = F.transform(F.split("value", _COMMA), _unquoted)
-    named = rows.select(F.map_from_arrays(F.split("_head", ","), fields).alias("_run"), "_path")
-    kinds = {f.name: f.dataType for head in sorted(different, key=len) for f in _schema(head)}
-    runs = named.select(*[F.col("_run")[n].try_cast(t).alias(n) for n, t in kinds.items()], "_path")
+
+    def scan(head: str, files: list[str]) -> DataFrame:
+        reader = spark.read.schema(_schema(head)).option("header", True).option("escape", '"')
+        return reader.csv([_as_path(f) for f in files]).withColumn("_path", F.col("_metadata.file_path"))
+
+    # The widest header first: its columns are those of all others, in order.
+    scans = [scan(r["value"], r["paths"]) for r in sorted(by_head, key=lambda r: len(r["value"]), reverse=True)]
+    runs = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
     prefix = F.regexp_extract("_path", r".*/(SS|WS|W-)[^/]*\.csv(?:/[^/]*)?$", 1)
     kind = F
     for short, name in KINDS.items():
