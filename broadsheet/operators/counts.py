@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
+from broadsheet.session import stored
 
 MANY = 1000  # rows that each task may send to the last step of a top k
 
@@ -31,6 +32,32 @@ def most_common(counts: DataFrame, k: int, name: str = "word") -> DataFrame:
     return counts.orderBy(F.desc("n"), name).limit(k)
 
 
+def heavy_hitters(df: DataFrame, items: Column, k: int, name: str = "word", buckets: int = 1 << 20) -> DataFrame:
+    """The k most frequent elements of an array column, as `most_common` of all counts gives them,
+    without a shuffle of all different elements.
+
+    Elements are first counted by hash bucket, so a task sends `buckets` short rows at most. No element
+    occurs more often than its bucket. Elements of the fullest buckets are counted exactly; the
+    k-th of them sets a floor, and only buckets that reach it may hold others, which are then
+    counted as well. Where counts are so even that every bucket reaches the floor, this is the
+    exact count of all, two passes later.
+    """
+    number = F.pmod(F.xxhash64(name), F.lit(buckets))
+    spread = df.select(F.explode(items).alias(name)).withColumn("_bucket", number)
+    sizes = stored(spread.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")), "buckets")
+
+    def counted(some: DataFrame) -> DataFrame:
+        # At most `buckets` rows of one number.
+        kept = spread.join(F.broadcast(some.select("_bucket")), "_bucket", "left_semi")
+        return stored(kept.groupBy(name).agg(F.count(F.lit(1)).alias("n")), "hitters")
+
+    fullest = stored(most_common(sizes, 4 * k, "_bucket"), "fullest")
+    first = counted(fullest)
+    floor = most_common(first, k, name).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("found")).first()
+    reached = sizes.where(F.col("n") >= (floor.n if floor.found == k else 0)).join(fullest.select("_bucket"), "_bucket", "left_anti")
+    return most_common(first.unionByName(counted(reached)), k, name)
+
+
 def _count_of_last(counts: DataFrame, k: int) -> Column:
     """The n of the k-th row, 0 when there are fewer."""
     sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("rows"))

@@ -8,6 +8,8 @@ from broadsheet.operators import features, models
 from broadsheet.plans.base import ARTICLES, labelled_articles, query, sql_clean, sql_join, sql_words, table
 from broadsheet.session import shared_dir, stored
 from broadsheet.sources import articles as files
+from broadsheet.sources.quoted_csv import read_quoted_csv
+from broadsheet.sources.kafka import LABELLED, VERIFY
 from broadsheet.streaming import messages as ms
 
 
@@ -85,6 +87,21 @@ def routed_stream(spark, folder):
     return _drained(spark, routed, by="topic")
 
 
+@query("""
+SELECT event_id, CASE WHEN greatest(p, 1 - p) < 0.8 THEN 'verify-data' ELSE 'labelled-data' END AS topic,
+  CASE WHEN p >= 0.5 THEN 'real' ELSE 'fake' END AS label FROM (SELECT event_id, (value % 1) AS p FROM events)
+""")
+def two_sinks_stream(spark, folder):
+    """Routed in batches, each topic to a sink of its own."""
+    scored = _stream(spark, folder, "events").select("event_id", (F.col("value") % 1).alias("score"))
+    routed = ms.with_topic(ms.with_label(scored)).select("event_id", "label", "topic")
+    base = shared_dir(spark, "sinks")
+    sinks = {t: f"{base}/{t}" for t in (LABELLED, VERIFY)}
+    ms.run_available(ms.write_sinks(routed, sinks, f"{base}/checkpoint"))
+    parts = [ms.read_sink(spark, path).withColumn("topic", F.lit(t)) for t, path in sinks.items()]
+    return parts[0].unionByName(parts[1]).select("event_id", "topic", "label")
+
+
 @query("SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url FROM pages")
 def first_seen_stream(spark, folder):
     bare = F.regexp_replace("url", r"[?#].*$", "").alias("url")
@@ -94,11 +111,25 @@ def first_seen_stream(spark, folder):
 @query(f"SELECT doc_id::VARCHAR AS title, text, 'de' = lang AS german FROM {ARTICLES}")
 def csv_articles(spark, folder):
     """Written as CSV with newlines and quotes in the text, and read back."""
+    return _german(files.read_csv(spark, _articles_as_csv(spark, folder), multi_line=True))
+
+
+@query(f"SELECT doc_id::VARCHAR AS title, text, 'de' = lang AS german FROM {ARTICLES}")
+def csv_in_parallel(spark, folder):
+    """The same, each file read by many tasks."""
+    return _german(read_quoted_csv(spark, _articles_as_csv(spark, folder), files.ARTICLE))
+
+
+def _articles_as_csv(spark, folder) -> str:
     path = shared_dir(spark, "csv")
     docs = table(spark, folder, "documents")
     out = docs.select(
         F.col("doc_id").cast("string").alias("title"), "text", (F.col("lang") == "de").cast("int").alias("label")
     )
     files.write_csv(out, path)
-    back = features.clean_label(files.read_csv(spark, path, multi_line=True))
+    return path
+
+
+def _german(rows):
+    back = features.clean_label(rows)
     return back.select("title", "text", (F.col("label") == 1).alias("german"))

@@ -68,10 +68,12 @@ def top_words_per_class(spark, folder):
     return counts.top_k(per_lang, "lang", 10)
 
 
-def _top_grams(name: str, n: int, k: int) -> None:
+def _top_grams(name: str, n: int, k: int, bounded: bool = False) -> None:
     def run(spark, folder):
         words = F.concat(tx.advanced_words(F.col("text")), tx.advanced_words(F.col("title")))
         df = articles(spark, folder).select(words.alias("words"))
+        if bounded:
+            return counts.heavy_hitters(df, tx.ngrams(F.col("words"), n), k, "gram")
         return counts.top_ngrams(df, F.col("words"), n, k)
 
     words = f"list_concat({sql_advanced('text')}, {sql_advanced('title')})"
@@ -86,6 +88,9 @@ def _top_grams(name: str, n: int, k: int) -> None:
 _top_grams("top_unigrams", 1, 20)
 _top_grams("top_bigrams", 2, 15)
 _top_grams("top_trigrams", 3, 10)
+# The same without a shuffle of all different n-grams.
+_top_grams("heavy_bigrams", 2, 15, bounded=True)
+_top_grams("heavy_trigrams", 3, 10, bounded=True)
 
 
 @query(f"""

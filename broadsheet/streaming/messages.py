@@ -6,7 +6,7 @@ Each step is a DataFrame transformation that works the same on a batch.
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -125,6 +125,31 @@ def write_files(df: DataFrame, path: str, checkpoint: str, by: str | None = None
     return writer.partitionBy(by) if by else writer
 
 
+def write_sinks(df: DataFrame, sinks: dict[str, str], checkpoint: str, by: str = "topic") -> DataStreamWriter:
+    """Each batch to several Parquet sinks, the rows of a topic to the folder of that topic.
+
+    A batch is written below its number and replaces what an earlier try of the same number has
+    left, so a batch that stopped between two sinks and is run again doubles nothing. Rows of
+    topics without a sink are not written. Read with `read_sink`.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()  # scored once for all sinks
+        try:
+            for topic, path in sinks.items():
+                own = batch.where(F.col(by) == topic).drop(by)
+                own.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def read_sink(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a sink of `write_sinks`."""
+    return spark.read.parquet(path).drop("batch")
+
+
 def run_available(writer: DataStreamWriter) -> StreamingQuery:
     """Process what is there and stop."""
     query = writer.trigger(availableNow=True).start()

@@ -10,7 +10,7 @@ import __spark_entry__ as entry_points
 SQL = entry_points.oracle_sql()
 SLOW = {
     "vectorized", "logistic_scores", "boosted_scores", "cross_validation", "cross_validation_summary",
-    "saved_model_scores", "classifier_report", "scored_stream", "fitted_comparison",
+    "saved_model_scores", "classifier_report", "scored_stream", "fitted_comparison", "boosted_cross_validation",
 }
 
 

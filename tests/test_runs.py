@@ -93,3 +93,35 @@ def test_csv_with_newlines_and_quotes(spark, tmp_path):
     inferred = read_csv(spark, str(tmp_path / "csv"), schema=None, multi_line=True)
     assert inferred.columns == ["title", "text", "label"] and inferred.count() == 3
     drain(back)
+
+
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_quoted_newlines_are_read_in_parallel(spark, tmp_path, ends):
+    """Ranges of a few hundred bytes, records of many ranges, as the reader of whole files has it."""
+    import random
+
+    from broadsheet.sources.articles import ARTICLE
+    from broadsheet.sources.quoted_csv import read_quoted_csv, records
+
+    rnd = random.Random(8)
+
+    def field():
+        if rnd.random() < 0.1:
+            return ""
+        text = "".join(rnd.choice(["a", "b ", ",", "\n", '"', "é", "\n\n"]) for _ in range(rnd.choice([3, 30, 900])))
+        return '"' + text.replace('"', '""') + '"' if rnd.random() < 0.9 or set(text) & set(',\n"') else text
+
+    for name in ("x", "y"):
+        body = "".join(",".join(field() for _ in range(3)) + ends for _ in range(120))
+        (tmp_path / f"{name}.csv").write_bytes(("title,text,label" + ends + body + ends).encode())
+    want = read_csv(spark, str(tmp_path), multi_line=True).collect()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        found = read_quoted_csv(spark, str(tmp_path), ARTICLE)
+        assert records(spark, str(tmp_path)).rdd.getNumPartitions() > 8
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == len(want) >= 200
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)

@@ -113,3 +113,27 @@ def test_jobs_between_topics(spark, tmp_path, monkeypatch):
     assert len(rows) == 3 and {r.topic for r in rows} <= {kafka.LABELLED, kafka.VERIFY}
     fields = {"source", "text", "title", "label", "confidence"}
     assert all(set(json.loads(r.value)) <= fields and json.loads(r.value)["label"] in ("real", "fake") for r in rows)
+
+
+def test_a_batch_run_again_doubles_nothing(spark, tmp_path):
+    """The job dies between its two sinks; after a restart every row is there once."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "1.json").write_text("\n".join(json.dumps({"id": i, "topic": "ab"[i % 2]}) for i in range(10)))
+    sinks = {"a": str(tmp_path / "a"), "b": str(tmp_path / "b")}
+
+    def run(blocked):
+        stream = spark.readStream.schema("id int, topic string").json(str(folder))
+        # A sink that cannot be written: its folder lies below a file.
+        paths = {"a": sinks["a"], "b": str(tmp_path / "file" / "b")} if blocked else sinks
+        ms.run_available(ms.write_sinks(stream, paths, str(tmp_path / "check")))
+
+    (tmp_path / "file").write_text("in the way")
+    with pytest.raises(Exception):
+        run(blocked=True)
+    assert ms.read_sink(spark, sinks["a"]).count() == 5  # the first sink was written
+    run(blocked=False)
+    (folder / "2.json").write_text(json.dumps({"id": 10, "topic": "a"}))
+    run(blocked=False)
+    assert sorted(r.id for r in ms.read_sink(spark, sinks["a"]).collect()) == [0, 2, 4, 6, 8, 10]
+    assert sorted(r.id for r in ms.read_sink(spark, sinks["b"]).collect()) == [1, 3, 5, 7, 9]
