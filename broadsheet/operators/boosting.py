@@ -55,6 +55,10 @@ class Settings:
     refresh: int = 25
     seed: int = 42
 
+    def may_split(self, h: int) -> bool:
+        """Whether a node's curvature is enough for two children."""
+        return h >= 2 * self.least_curvature * UNIT
+
 
 @dataclass
 class Tree:
@@ -272,7 +276,7 @@ class Growth:
                     (2 * node + 2, s["g"] - s["gl"], s["h"] - s["hl"], s["n"] - s["nl"]),
                 ):
                     tree.value[child] = self.leaf(g, h)
-                    if 2 * child + 1 < tree.size:
+                    if 2 * child + 1 < tree.size and set_.may_split(h):
                         (small if n <= self.few else large).add((model, child))
         if small:
             self.finish(trees, small, takes, number)
@@ -404,7 +408,8 @@ def _subtree(rows: pa.Table, width: int, takes: np.ndarray, set_: Settings) -> p
             inside = np.flatnonzero(node == at)
             asked = bins[inside, s["feature"]]
             node[inside] = 2 * at + 1 + np.where(asked < 0, not s["absent_left"], asked > s["bin"])
-            own[inside] = True
+            halves = s["hl"], s["h"] - s["hl"]
+            own[inside] = np.array([set_.may_split(h) for h in halves])[node[inside] - 2 * at - 1]
             tree.value[2 * at + 1] = _leaf(s["gl"], s["hl"], set_)
             tree.value[2 * at + 2] = _leaf(s["g"] - s["gl"], s["h"] - s["hl"], set_)
             nodes += [2 * at + 1, 2 * at + 2]
