@@ -24,13 +24,11 @@ rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,18 +132,19 @@ def _shards(distinct: DataFrame, segments: int) -> DataFrame:
 
 def _divide(dealt: DataFrame, most: int) -> DataFrame:
     """Shards of more than `most` rows are divided by distance from one of their fingerprints,
-    and again, for as long as that makes them smaller."""
-    largest = None
+    and again; one that a division has left with nine tenths of its rows is given up."""
+    dealt = dealt.withColumn("was", F.lit(None).cast("bigint"))  # rows of the shard that it was cut from
     while True:
         sizes = dealt.groupBy("shard").agg(
-            F.count(F.lit(1)).alias("n"), F.min_by("fp", F.when(F.col("home"), F.xxhash64("fp"))).alias("vantage")
+            F.count(F.lit(1)).alias("n"),
+            F.first("was").alias("was"),
+            F.min_by("fp", F.when(F.col("home"), F.xxhash64("fp"))).alias("vantage"),
         )
-        heavy = stored(sizes.where((F.col("n") > most) & F.col("vantage").isNotNull()), "heavy")
-        now = heavy.agg(F.max("n")).first()[0]
-        if now is None or now == largest:
-            return dealt
-        largest = now
-        joined = dealt.join(heavy.drop("n"), "shard", "left")
+        shrinks = F.col("was").isNull() | (F.col("n") < 0.9 * F.col("was"))
+        heavy = stored(sizes.where((F.col("n") > most) & F.col("vantage").isNotNull() & shrinks).drop("was"), "heavy")
+        if heavy.isEmpty():
+            return dealt.drop("was")
+        joined = dealt.join(heavy, "shard", "left")
         apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
         # A query looks into every shell that its ball of the radius touches.
         shells = F.when(F.col("home"), F.array(apart)).otherwise(F.sequence(apart - RADIUS, apart + RADIUS))
@@ -155,13 +154,15 @@ def _divide(dealt: DataFrame, most: int) -> DataFrame:
         beyond = joined.where("home and vantage is not null").select(
             "shard",
             "vantage",
+            "n",
+            "was",
             F.lit(False).alias("home"),
             "fp",
             F.explode(F.sequence(apart + 1, apart + RADIUS)).alias("shell"),
         )
-        every = divided.select("shard", "vantage", "home", "fp", "shell").unionByName(beyond)
+        every = divided.select("shard", "vantage", "n", "was", "home", "fp", "shell").unionByName(beyond)
         code = F.when(F.col("vantage").isNull(), F.col("shard")).otherwise(F.xxhash64("shard", "vantage", "shell"))
-        dealt = stored(every.select(code.alias("shard"), "home", "fp"), "shards")
+        dealt = stored(every.select(code.alias("shard"), "home", "fp", F.coalesce("n", "was").alias("was")), "shards")
 
 
 class Forest:
@@ -277,239 +278,3 @@ def _named(rows: DataFrame, least: DataFrame, linked: DataFrame) -> DataFrame:
         "fp", F.col("top")["doc_id"].alias("component_id"), F.col("top")["row"].alias("first_row")
     )
     return rows.join(named, "fp").select("doc_id", "row", "fp", "component_id", "first_row")
-
-
-# ---- near copies by similarity -----------------------------------------------------------
-#
-# Two bits are a similarity of nearly 1. Texts that share 0.8 of their shingles differ in a sixth
-# of all bits, where no bound on distances prunes. So the shards are then texts of which a
-# sample of shingles is the same, taken in several ways. Within a shard fingerprints of 256
-# bits only propose pairs; a pair is linked if the shingles of both, joined back, are as similar
-# as was asked for.
-#
-# A shard of more nodes than a block is dealt into blocks by hash, and each pair of blocks is a
-# shard of its own. So a passage that very many texts share is work for many tasks, each of
-# bounded size, and no pair is left out.
-#
-# Pairs are proposed twice. First each text with one vantage point near it and with its neighbour
-# around that point, which connects a large group with two pairs a text. Then all near pairs
-# that the links found so far leave in different components.
-
-WAYS = 12  # samples of shingles; at a similarity of 0.8 all differ for one pair in 100,000
-SAMPLED = 2  # shingles in a sample
-WORDS = 4  # of 64 bits in a wide fingerprint
-BLOCK = 2048  # nodes of a heavy shard that are compared with as many others in a task
-FEW = 64  # with fewer shingles, bits are too coarse to rule a pair out
-
-
-def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
-    """Another hash of each hash: the finalizer of SplitMix64."""
-    x = hashes + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def radius_for(similarity: float) -> int:
-    """Differing bits, of 256, of two texts with this share of shingles in common, and four
-    standard deviations more: beyond it lies one such pair in 30,000."""
-    part = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * WORDS
-    return math.ceil(bits * part + 4 * math.sqrt(bits * part * (1 - part)))
-
-
-def shingle_set(words: list[bytes], width: int) -> np.ndarray:
-    """The distinct shingles in ascending order, none without words."""
-    return np.unique(shingle_hashes(words, width, 42)) if words else np.zeros(0, np.uint64)
-
-
-def node_of(shingles: np.ndarray) -> bytes:
-    """A SimHash of 256 bits of a set of shingles, then its size and a hash of it."""
-    wide = [majority(_mixed(shingles, i + 1)) for i in range(WORDS)] if len(shingles) else [0] * WORDS
-    digest = xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes())
-    return np.array([*wide, len(shingles), digest], "<u8").tobytes()
-
-
-def sample_keys(shingles: np.ndarray) -> list[int]:
-    """A key for each sample of shingles."""
-    if not len(shingles):
-        return [0] * WAYS
-    keys = []
-    for way in range(WAYS):
-        turned = _mixed(shingles, WORDS + 1 + way)
-        least = np.sort(np.partition(turned, SAMPLED)[:SAMPLED] if len(turned) > SAMPLED else turned)
-        keys.append(xxhash.xxh64_intdigest(least.astype("<u8").tobytes(), way))
-    return keys
-
-
-def apart(fps: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fps ^ one).sum(axis=1, dtype=np.int64)
-
-
-def join_similar(fps: np.ndarray, radius: int, join) -> None:
-    """Joins that connect all fingerprints within the radius, though not each pair by itself.
-
-    Each fingerprint not yet near a vantage point becomes one, and is compared with all.
-    Those near the same vantage point are then connected. Two others can be within the
-    radius only if their vantage points are within three times the radius.
-    """
-    near = np.full(len(fps), -1)
-    forest = Forest()
-    vantages: list[int] = []
-    while (near < 0).any():
-        i = int(np.argmax(near < 0))
-        found = np.flatnonzero(apart(fps, fps[i]) <= radius)
-        for j in found.tolist():
-            forest.join(i, j)
-        near[found[near[found] < 0]] = i
-        vantages.append(i)
-    groups = {v: np.flatnonzero(near == v) for v in vantages}
-    large = [v for v in vantages if len(groups[v]) > 1]
-    for n, v in enumerate(large):
-        others = [w for w in large[n + 1 :] if forest.find(v) != forest.find(w)]
-        if not others:
-            continue
-        far = apart(fps[others], fps[v])
-        for w, d in zip(others, far.tolist()):
-            if d <= 3 * radius and forest.find(v) != forest.find(w):
-                for i in groups[v].tolist():
-                    hit = np.flatnonzero(apart(fps[groups[w]], fps[i]) <= radius)
-                    if len(hit):
-                        forest.join(i, int(groups[w][hit[0]]))
-                        break
-    for a, b in forest.links:
-        join(a, b)
-
-
-def maybe_similar(nodes: np.ndarray, one: np.ndarray, radius: int, similarity: float) -> np.ndarray:
-    """Which nodes can be as similar to one: by size, and by distance unless shingles are few."""
-    sizes, own = nodes[:, WORDS].astype(np.int64), int(one[WORDS])
-    fits = np.minimum(sizes, own) >= similarity * np.maximum(sizes, own) - 1e-9
-    near = (apart(nodes[:, :WORDS], one[:WORDS]) <= radius) | (np.minimum(sizes, own) < FEW)
-    return fits & near
-
-
-def first_pairs(nodes: np.ndarray, radius: int, similarity: float) -> Iterator[np.ndarray]:
-    """Pairs of places: each node with a vantage point near it, and with the next one around it.
-    Every node that is near any other is in one of the pairs."""
-    open_ = np.ones(len(nodes), bool)
-    for i in range(len(nodes)):
-        if not open_[i]:
-            continue
-        near = maybe_similar(nodes, nodes[i], radius, similarity)
-        near[i] = False
-        fresh = np.flatnonzero(near & open_)
-        if not len(fresh):
-            fresh = np.flatnonzero(near)[:1]
-        open_[fresh] = open_[i] = False
-        yield np.column_stack([np.full(len(fresh), i), fresh])
-        yield np.column_stack([fresh[:-1], fresh[1:]])
-
-
-def open_pairs(nodes: np.ndarray, roots: np.ndarray, radius: int, similarity: float) -> Iterator[np.ndarray]:
-    """Pairs of places of all nodes near each other that have different roots."""
-    if (roots == roots[0]).all():
-        return
-    for i in range(len(nodes) - 1):
-        other = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
-        if len(other):
-            near = other[maybe_similar(nodes[other], nodes[i], radius, similarity)]
-            yield np.column_stack([np.full(len(near), i), near])
-
-
-def _blocks(sized: DataFrame, block: int) -> DataFrame:
-    """(shard, fp): shards (shard, fp, n) of at most `block` nodes as they are, of larger ones
-    all pairs of blocks."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    code = F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = sized.withColumns({"blocks": blocks, "own": own})
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select(F.when(F.col("blocks") > 1, code).otherwise(F.col("shard")).alias("shard"), "fp")
-
-
-def similar_documents(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    width: int = 5,
-    similarity: float = 0.8,
-    row: str | None = None,
-    block: int = BLOCK,
-) -> DataFrame:
-    """(doc_id, row, fp, component_id, first_row), as `near_duplicates` gives them, for texts that
-    have at least `similarity` of their distinct shingles in common; fp is `node_of` them."""
-    number = F.col(row).cast("long") if row else F.lit(0).cast("long")
-    radius = radius_for(similarity)
-    texts = text_rows(docs, key, text, number.alias("row"))
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingle_set(t.lower().split(), width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            keys = np.array([sample_keys(s) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array([node_of(s) for s in sets], pa.binary()), pa.array(list(keys))],
-                names=["doc_id", "row", "fp", "keys"],
-            )
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingle_set(t.lower().split(), width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            blobs = [s.astype("<u8").tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(s) for s in sets], pa.binary()), pa.array(blobs, pa.binary())], names=["fp", "shingles"]
-            )
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in whole_shards(batches):
-            blobs = shard.column("fp").to_pylist()
-            nodes = np.frombuffer(b"".join(blobs), "<u8").reshape(len(blobs), -1)
-            if "root" in shard.column_names:
-                found = open_pairs(nodes, shard.column("root").to_numpy(), radius, similarity)
-            else:
-                found = first_pairs(nodes, radius, similarity)
-            for pairs in found:
-                if len(pairs):
-                    ends = [pa.array([blobs[i] for i in pairs[:, side].tolist()], pa.binary()) for side in (0, 1)]
-                    yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
-
-    def proposed(shards: DataFrame) -> DataFrame:
-        ordered = shards.repartition("shard").sortWithinPartitions("shard", "fp")
-        pairs = ordered.mapInArrow(propose, "a binary, b binary").where("a <> b")
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                one, other = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(one, other, assume_unique=True))
-                kept.append(both / max(1, len(one) + len(other) - both) >= similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        one = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
-        other = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
-        return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(checked, "a binary, b binary")
-
-    rows = stored(texts.mapInArrow(sketch, "doc_id bigint, row bigint, fp binary, keys array<bigint>"), "sketches")
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
-    # Equal sets of shingles have equal keys.
-    least = stored(rows.groupBy("fp").agg(F.min(place).alias("first"), F.first("keys").alias("keys")), "distinct")
-    dealt = least.select("fp", F.explode("keys").alias("shard"))
-    sizes = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(_blocks(dealt.join(sizes, "shard"), block), "shards")
-
-    pairs = stored(proposed(shared), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    # The texts of one row each; rows that repeat key and number bring others, which go again.
-    places = least.join(wanted, "fp").select(F.col("first")["doc_id"].alias("d"), F.col("first")["row"].alias("r")).distinct()
-    some = texts.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left_semi")
-    made = some.mapInArrow(sets_of, "fp binary, shingles binary").dropDuplicates(["fp"])
-    sets = stored(made.join(wanted, "fp", "left_semi"), "shingles")
-
-    links = stored(linked(pairs, sets), "links")
-    roots = components(links).select(F.col("node").alias("fp"), "root")
-    rooted = shared.join(roots, "fp", "left").select("shard", "fp", F.xxhash64(F.coalesce("root", "fp")).alias("root"))
-    rest = stored(linked(proposed(rooted), sets), "links")
-    return _named(rows.drop("keys"), least.drop("keys"), links.unionByName(rest))

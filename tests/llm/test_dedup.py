@@ -6,7 +6,6 @@ import hashlib
 import random
 import re
 
-import numpy as np
 import pytest
 import xxhash
 from compare import connect, differences
@@ -166,95 +165,16 @@ def test_links_of_clustered_fingerprints(spark, segments, shard_rows):
     assert plain_components(signed, [(r.a, r.b) for r in found]) == want
 
 
-def test_similar_documents_are_found(spark):
-    rnd = random.Random(4)
-    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
-    rows, group = [], {}
-    for g in range(60):
-        base = [rnd.choice(vocabulary) for _ in range(rnd.randint(80, 300))]
-        for c in range(3):
-            words = list(base)
-            for _ in range(c * len(words) // 100):  # up to two words in a hundred
-                words[rnd.randrange(len(words))] = "changed"
-            rows.append((10 * g + c, " ".join(words)))
-            group[10 * g + c] = 10 * g
-    passage = " ".join(rnd.choice(vocabulary) for _ in range(60))  # shared, but a small part
-    for i in range(30):
-        rows.append((5000 + i, passage + " " + " ".join(rnd.choice(vocabulary) for _ in range(200))))
-        group[5000 + i] = 5000 + i
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
-    assert found == group
-
-
-def test_links_are_of_the_exact_similarity(spark):
-    """Groups of texts around the threshold, short ones and repeats among them."""
-    rnd = random.Random(8)
-    texts = []
-    for g in range(60):
-        n = rnd.choice([6, 8, 12, 40, 150])
-        base = [f"g{g}w{i}" for i in range(n)]
-        for _ in range(6):
-            words = list(base)
-            cut = rnd.randint(0, max(1, n // 4))  # a tail of other words: similarities around 0.8
-            words[n - cut :] = [f"x{rnd.randrange(1 << 40)}" for _ in range(cut)]
-            texts.append(" ".join(words))
-        texts.append(" ".join(base * rnd.randint(2, 5) + [f"y{g}x{i}" for i in range(n // 2)]))  # one passage repeated
-    texts += ["a b c d e f g h", "a b c d e f g h i", "", " ", "one"]
-    rows = list(enumerate(texts))
-
-    def shingles(text):
-        words = text.split()
-        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-    sets = [shingles(t) for t in texts]
-    near = [
-        (a, b) for a in range(len(sets)) for b in range(a) if sets[a] & sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
-    ]
-    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found == plain_components(range(len(sets)), near)
-
-
-def test_heavy_shards_are_divided_without_loss(spark):
-    """All pairs of a shard meet in some block pair, and none holds more than two blocks."""
-    nodes = [(7, bytes([i % 256, i // 256]), 500) for i in range(500)] + [(8, bytes([i]), 20) for i in range(20)]
-    dealt = simhash._blocks(spark.createDataFrame(nodes, "shard long, fp binary, n long"), 50).collect()
-    held: dict[int, list[bytes]] = {}
-    for r in dealt:
-        held.setdefault(r.shard, []).append(bytes(r.fp))
-    assert len(held) == 10 * 11 // 2 + 1 and sorted(held.pop(8)) == [bytes([i]) for i in range(20)]
-    assert max(map(len, held.values())) < 200
-    met = {(a, b) for own in held.values() for a in own for b in own if a < b}
-    assert len(met) == 500 * 499 // 2
-
-
-def test_a_passage_in_many_texts(spark):
-    """A licence in half of each text joins none of them, near copies among them are found."""
-    rnd = random.Random(9)
-    licence = " ".join(f"l{i}" for i in range(80))
-    rows = [(i, licence + " " + " ".join(f"w{rnd.randrange(1 << 40)}" for _ in range(80))) for i in range(300)]
-    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 300, 10)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, block=16).collect()}
-    assert found == {i: i % 1000 for i, _ in rows}
-
-
-def test_joins_connect_what_pairs_would():
-    rnd = np.random.default_rng(5)
-    centres = rnd.integers(0, 1 << 62, (4, 4), dtype=np.uint64)
-    fps = []
-    for c in centres:
-        for _ in range(40):
-            x = c.copy()
-            for b in rnd.integers(0, 256, rnd.integers(0, 40)):
-                x[b // 64] ^= np.uint64(1 << int(b % 64))
-            fps.append(x)
-    fps = np.unique(np.array(fps), axis=0)
-    joins: list[tuple[int, int]] = []
-    simhash.join_similar(fps, 25, lambda a, b: joins.append((a, b)))
-    keys = list(range(len(fps)))
-    near = [(a, b) for a in keys for b in keys[:a] if simhash.apart(fps[a : a + 1], fps[b])[0] <= 25]
-    assert plain_components(keys, joins) == plain_components(keys, near)
+def test_shards_that_do_not_shrink_do_not_stop_the_others(spark):
+    """One shard holds copies of one neighbourhood, the other can be divided."""
+    rnd = random.Random(2)
+    close = [(1, True, 1 << b) for b in range(62)]
+    far = [(2, True, rnd.getrandbits(63)) for _ in range(400)]
+    dealt = spark.createDataFrame(close + far, "shard long, home boolean, fp long")
+    divided = simhash._divide(dealt, 50)
+    sizes = {r.shard: r["count"] for r in divided.where("home").groupBy("shard").count().collect()}
+    assert sum(sizes.values()) == len(close) + len(far)  # every fingerprint has one home
+    assert max(sizes.values()) <= 62 and len(sizes) > 5
 
 
 def test_components_of_chains_and_stars(spark):
@@ -268,7 +188,6 @@ def test_empty_tables(spark):
     docs = edge.empty(spark)
     assert exact_dedup.deduplicate(docs, shared_dir(spark, "index")).count() == 0
     assert simhash.near_duplicates(docs).count() == 0
-    assert simhash.similar_documents(docs).count() == 0
 
 
 def test_hot_text_is_one_row_per_task_before_the_shuffle(spark):
