@@ -25,8 +25,7 @@ from broadsheet.llm.vocabulary import default_path
 from broadsheet.session import collect_garbage, discard_path, recorded, shared_dir, stored
 
 MIN_QUALITY = 0.5
-SHINGLE_WORDS = 5
-SIMILARITY = 0.8
+SHINGLE_WORDS = 3  # of a fingerprint; two bits apart is near
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SEQUENCE = 4096
@@ -101,9 +100,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows, row = _numbered(docs)
     dropped = _dropped(
         spark,
-        lambda: simhash.similar_documents(rows, width=SHINGLE_WORDS, similarity=SIMILARITY, row=row).where(
-            F.col("row") != F.col("first_row")
-        ),
+        lambda: simhash.near_duplicates(rows, width=SHINGLE_WORDS, row=row).where(F.col("row") != F.col("first_row")),
         row,
     )
     return rows.join(dropped, row, "left_anti").select(*docs.columns)
