@@ -107,12 +107,23 @@ def score_and_route(messages: DataFrame, model: PipelineModel, text: str, **opti
     )
 
 
-def first_seen(urls: DataFrame, time: str | None = None, delay: str = "1 hour") -> DataFrame:
+def first_seen(
+    urls: DataFrame, time: str | None = None, delay: str = "1 hour", remember: str | None = None
+) -> DataFrame:
     """Each address once.
 
-    Without a time column an address is never forgotten, so the state grows with the number
-    of addresses; with one it is kept until the watermark passes it.
+    With a time column an address is kept until the watermark, `delay` behind the latest time,
+    passes it. With `remember` addresses have no time of their own: each is kept for at least so long
+    after it arrived, and may then come through again. Either way the state is bounded by the
+    addresses of that span. With neither, an address is never forgotten and the state
+    grows with the number of addresses.
     """
+    if remember is not None:
+        arrived = "_arrived"
+        while arrived in urls.columns:
+            arrived += "_"
+        stamped = urls.withColumn(arrived, F.current_timestamp()).withWatermark(arrived, remember)
+        return stamped.dropDuplicatesWithinWatermark(["url"]).drop(arrived)
     if time is None:
         return urls.dropDuplicates(["url"])
     return urls.withWatermark(time, delay).dropDuplicatesWithinWatermark(["url"])

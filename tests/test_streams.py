@@ -78,6 +78,44 @@ def test_addresses_once(spark, tmp_path):
         assert got == ["a", "b", "c"]
 
 
+def test_state_of_visited_addresses_is_flat(spark, tmp_path):
+    """Many batches of new and old addresses: each comes once within the time promised."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    held = []
+    for hour in range(9):
+        urls = [f"u{hour}-{i}" for i in range(20)] + [f"u{max(0, hour - 1)}-{i}" for i in range(20)]
+        rows = [json.dumps({"url": u, "ts": f"2024-01-01 {hour:02}:30:00"}) for u in urls]
+        (folder / f"{hour}.json").write_text("\n".join(rows))
+        stream = spark.readStream.schema("url string, ts timestamp").json(str(folder))
+        out = ms.first_seen(stream, "ts", delay="2 hours")
+        query = ms.run_available(ms.write_files(out, str(tmp_path / "out"), str(tmp_path / "check")))
+        held += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    # Five hours of addresses at most, however many batches there are.
+    assert max(held[len(held) // 2 :]) <= 100 and max(held[-4:]) == max(held[8:12])
+    seen = [r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(seen) == len(set(seen)) == 9 * 20
+
+
+def test_addresses_are_forgotten_after_a_while(spark, tmp_path):
+    import time
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    held = []
+    for batch in range(5):
+        urls = [f"u{batch}-{i}" for i in range(10)] + ["again"]
+        (folder / f"{batch}.json").write_text("\n".join(json.dumps({"url": u, "_arrived": 1}) for u in urls))
+        stream = spark.readStream.schema("url string, _arrived int").json(str(folder))
+        out = ms.first_seen(stream, remember="1 second")
+        query = ms.run_available(ms.write_files(out, str(tmp_path / "out"), str(tmp_path / "check")))
+        held += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        time.sleep(1.5)
+    seen = [r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert set(seen) == {f"u{b}-{i}" for b in range(5) for i in range(10)} | {"again"}
+    assert held[-1] <= 30 and len(seen) - seen.count("again") == 50
+
+
 def test_kafka_needs_its_package(spark):
     with pytest.raises(Exception, match="(?i)kafka"):
         kafka.read_topic(spark, "localhost:1", kafka.SCRAPED)
