@@ -72,7 +72,7 @@ def recorded() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _RECORDING.remove(paths)
+        _RECORDING[:] = [other for other in _RECORDING if other is not paths]  # not one with equal paths
 
 
 def collect_garbage(spark: SparkSession) -> None:

@@ -34,3 +34,16 @@ def test_addresses_in_a_state_store_on_disk(spark, tmp_path):
         assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
     finally:
         spark.conf.unset(name)
+
+
+def test_tables_are_recorded_and_deleted(spark):
+    from broadsheet.session import discard, path_exists, recorded, stored
+
+    with recorded() as outer:
+        with recorded() as inner:
+            table = stored(spark.range(3).toDF("n"), "kept")
+        assert table.count() == 3 and inner == outer == [table.stored_at]
+        more = stored(spark.range(2).toDF("n"), "more")
+    assert len(outer) == 2 and len(inner) == 1
+    discard(table)
+    assert not path_exists(spark, table.stored_at) and path_exists(spark, more.stored_at)
