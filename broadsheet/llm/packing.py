@@ -88,14 +88,43 @@ def _served(rounds: Column, grain: int) -> Column:
     return F.least(F.col("total"), F.floor(rounds * F.col("quantum")) * grain)
 
 
+def _round_of(number: Column) -> Column:
+    """The round that serves a grain of a queue: the first whose product is beyond its number."""
+    quantum = F.col("quantum")
+    guess = F.greatest(F.lit(1), F.ceil((number + 1) / quantum).cast("long"))
+    # The quotient may be rounded to the next whole number on either side.
+    early = F.when(F.floor((guess - 1) * quantum) > number, guess - 1)
+    return early.when(F.floor(guess * quantum) > number, guess).otherwise(guess + 1)
+
+
+def _rounds(first: Column, last: Column, low: Column, high: Column) -> Column:
+    """The rounds from `first` to `last` that serve the grains from `low` to `high`, no empty ones:
+    a queue with less than a grain a round skips most rounds, so its grains are unfolded."""
+    sparse = F.array_distinct(F.transform(F.sequence(low, high), _round_of))
+    return F.when(F.col("quantum") < 1, sparse).otherwise(F.sequence(first, last))
+
+
 def _runs(queues: DataFrame, grain: int) -> DataFrame:
     """(queue, round, served, base): where in the result each queue's part of a round starts."""
-    last = F.ceil(F.ceil(F.col("total") / grain) / F.col("quantum")).cast("long") + 1
-    queues = queues.withColumn("last", last)
+    queues = queues.withColumn("grains", F.ceil(F.col("total") / grain).cast("long"))
+    queues = queues.withColumn("last", _round_of(F.col("grains") - 1))
     step = max(1, math.isqrt(queues.agg(F.max("last")).first()[0] or 0))
-    blocks = queues.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / step))))
+
+    def block_of(number: Column) -> Column:
+        return F.floor((number - 1) / step)
+
+    every = F.sequence(F.lit(0).cast("long"), block_of(F.col("last")))
+    few = F.array_distinct(
+        F.transform(F.sequence(F.lit(0).cast("long"), F.col("grains") - 1), lambda g: block_of(_round_of(g)))
+    )
+    block = F.when(F.col("grains") <= block_of(F.col("last")), few).otherwise(every)
+    blocks = queues.withColumn("block", F.explode(block))
     blocks = blocks.repartition("block")  # each task then unfolds its own rounds
-    rounds = blocks.withColumn("round", F.explode(F.expr(f"sequence(block * {step} + 1, (block + 1) * {step})")))
+    first, end = F.col("block") * step + 1, F.least(F.col("last"), (F.col("block") + 1) * step)
+    low = F.floor((first - 1) * F.col("quantum"))
+    high = F.least(F.col("grains"), F.floor(end * F.col("quantum"))) - 1
+    blocks = blocks.withColumn("low", low).withColumn("high", high).where("low <= high")
+    rounds = blocks.withColumn("round", F.explode(_rounds(first, end, F.col("low"), F.col("high"))))
     served = rounds.select(
         "queue",
         "block",
@@ -145,12 +174,9 @@ def pack(
         queues = queues.withColumn("quantum", F.col("quantum") / norm)
     runs = _runs(queues, grain)
 
-    # Rounds that a document may be served in, one more at both ends for rounding.
-    first_grain, last_grain = F.floor(F.col("at") / grain), F.floor((F.col("at") + F.col("n") - 1) / grain)
-    first = F.greatest(F.lit(1), F.ceil((first_grain + 1) / F.col("quantum")).cast("long") - 1)
-    last = F.ceil((last_grain + 1) / F.col("quantum")).cast("long") + 1
+    low, high = F.floor(F.col("at") / grain), F.floor((F.col("at") + F.col("n") - 1) / grain)
     parts = (
-        queued.withColumn("round", F.explode(F.sequence(first.cast("long"), last)))
+        queued.withColumn("round", F.explode(_rounds(_round_of(low), _round_of(high), low, high)))
         .withColumn("a", F.greatest(F.col("at"), _served(F.col("round") - 1, grain)))
         .withColumn("b", F.least(F.col("at") + F.col("n"), _served(F.col("round"), grain)))
         .where("a < b")

@@ -217,3 +217,37 @@ def test_queries(spark, small, library):
 def test_nothing_is_shuffled_for_counts(spark):
     plan = token_counts.token_counts(edge.documents(spark).coalesce(2), BYTE)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 1  # the fixture's own repartition
+
+
+def test_packing_of_many_sources_and_one_key(spark, library):
+    """Rows of one key, nearly each with a source of its own beside a hot one: whole, and no empty rounds."""
+    texts = [f"word{i} of text " * (1 + i % 7) for i in range(3000)]
+    rows = [(7, t, "hot" if i % 3 == 0 else f"s{i}", i) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, number int")
+    pieces = packing.pack(docs, WORD, 2, 4096).collect()
+    want = Counter(n for t in texts for n in [len(ids_of(library[WORD], t)) + 1])
+    assert sum(p.length for p in pieces) == sum(n * c for n, c in want.items())
+    assert Counter(p.doc_tokens for p in pieces if p.start == 0) == want
+    by = defaultdict(list)
+    for p in pieces:
+        by[p.sequence_id].append((p.offset, p.length))
+    for own in by.values():
+        own.sort()
+        assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1].tolist()]
+        assert sum(n for _, n in own) <= 4096
+
+
+@pytest.mark.parametrize("quantum", [1 - 2**-53, 0.1, 1 / 3, 1e-3, 1.0, 2.7, 31.9])
+def test_rounds_that_serve_grains(spark, quantum):
+    """The unfolded rounds are those whose running total grows, and no others."""
+    total, grain = 700 * 4 - 1, 4
+    queues = spark.createDataFrame([("q", total, quantum)], "queue string, total long, quantum double")
+    found = [(r.round, r.served, r.base) for r in packing._runs(queues, grain).orderBy("round").collect()]
+    served, want, number = 0, [], 0
+    while served < total:
+        number += 1
+        now = min(total, int(np.floor(number * quantum)) * grain)
+        if now > served:
+            want.append((number, served, served))
+        served = now
+    assert found == want
