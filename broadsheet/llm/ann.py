@@ -12,13 +12,18 @@ Nearness is the inner product. Vectors get one more component that makes their l
 so that the largest product is the smallest distance in the tree; scores come from the vectors
 as they are, in double precision.
 
-A task holds a part of one branch: its rows are dealt by hash into as many parts as its size
-asks for, so a vector that is a third of all rows does not make one task large.
-
-Vectors that are null, zero, of another length than most, or hold nulls, NaN or infinities
-take no part, and neither do rows with a null id. Rows that repeat an id are rows of their
-own, never neighbours of that id; as a query an id counts once. Equal scores are ordered by
-id. Other columns are ignored. An empty table gives no rows.
+A task holds a bin of neighbouring leaves, or a part of a leaf that is larger than a bin: its
+rows are dealt by hash, so a vector that is a third of all rows does not make one task large. A
+query goes to the bins that hold a leaf it visits. A bin that very many queries ask for is held
+several times, each time for some of them.
+
+Vectors are compared with those of their own number of components. Each number that many rows
+have gets a tree of its own; vectors of rarer ones are searched as a single leaf each.
+
+Vectors that are null, zero, or hold nulls, NaN or infinities take no part, and neither do rows
+with a null id. Rows that repeat an id are rows of their own, never neighbours of that id; as a
+query an id counts once for each length of its vectors, and its results are ranked together.
+Equal scores are ordered by id. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +41,9 @@ from broadsheet.session import stored
 
 SAMPLE_ROWS = 20_000
 CALIBRATION_QUERIES = 200
-PART_ROWS = 20_000  # rows of a branch that a task holds
+PART_ROWS = 20_000  # rows that a task holds
+ASKED_ROWS = 50_000  # queries that a task holds
+LEAF_CELLS = 2_000_000  # components of all vectors of one length that are searched as a single leaf
 QUERY_BLOCK = 256
 RESULT = "query_id bigint, vec_id bigint, score double"
 
@@ -45,10 +52,7 @@ def valid_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding")
     """(vec_id, vec) of the rows that take part; vec is an array of doubles."""
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"))
     odd = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where("vec_id is not null and vec is not null").where(~odd & F.exists("vec", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("vec").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.orderBy(F.desc("n"), F.desc("size")).first()
-    return rows.where(F.size("vec") == (most.size if most else 0))
+    return rows.where("vec_id is not null and vec is not null").where(~odd & F.exists("vec", lambda x: x != 0))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -255,6 +259,22 @@ def calibrated_visits(
     return visits
 
 
+def bins_of(leaf_sizes: dict[int, int], part_rows: int) -> dict[int, tuple[int, int]]:
+    """Each leaf's first bin and how many bins its rows are dealt into: neighbouring leaves share
+    a bin while they have at most `part_rows` rows together."""
+    out: dict[int, tuple[int, int]] = {}
+    number, held = 0, 0
+    for leaf, n in sorted(leaf_sizes.items()):
+        if held and held + n > part_rows:
+            number, held = number + 1, 0
+        parts = max(1, -(-n // part_rows))
+        out[leaf] = (number, parts)
+        held += n
+        if parts > 1:
+            number, held = number + parts, 0
+    return out
+
+
 def search(
     df: DataFrame,
     is_query: Column,
@@ -265,48 +285,101 @@ def search(
     sample_rows: int = SAMPLE_ROWS,
     part_rows: int = PART_ROWS,
     leaves: int | None = None,
+    asked_rows: int = ASKED_ROWS,
+    leaf_cells: int = LEAF_CELLS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row where `is_query` (a
     condition on vec_id) holds. `recall` is what the calibration queries must reach."""
     spark = df.sparkSession
     rows = stored(valid_vectors(df, key, vector), "vectors")
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"), F.count(F.lit(1)).alias("own"))
-    if rows.isEmpty():
+    lengths = rows.groupBy(F.size("vec").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    most = lengths.orderBy(F.desc("n"), F.desc("size")).first()
+    if most is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    # One row for each length with at least `leaf_cells` components in all.
+    large = [r.size for r in lengths.where(F.col("size") * F.col("n") > leaf_cells).collect()]
+    found = None
+    for size in dict.fromkeys([most.size, *large]):
+        own = rows.where(F.size("vec") == size)
+        result = _search_length(own, is_query, k, recall, sample_rows, part_rows, leaves, asked_rows)
+        found = result if found is None else found.unionByName(result)
+    rest = rows.where(~F.size("vec").isin(most.size, *large))
+    if not rest.isEmpty():
+        found = found.unionByName(_single_leaves(rest, is_query, k))
+    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _asked(rows: DataFrame, is_query: Column, *by: Column) -> DataFrame:
+    """One row for each id that is a query, with the number of rows of that id."""
+    return rows.where(is_query).groupBy("vec_id", *by).agg(F.min("vec").alias("vec"), F.count(F.lit(1)).alias("own"))
+
+
+_NONE = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+
+def _single_leaves(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """Results of vectors that few others share their length with: a leaf for each length, small by `leaf_cells`."""
+    rows = rows.withColumn("size", F.size("vec"))
+
+    def score(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return _NONE
+        asked, held = asked.combine_chunks(), held.combine_chunks()
+        vectors, points = matrix(asked.column("vec").chunk(0)), matrix(held.column("vec").chunk(0))
+        ids = held.column("vec_id").to_numpy()
+        found = []
+        for query, vec in zip(asked.column("vec_id").to_pylist(), vectors):
+            found.append((query, *best(vec, points, ids, points @ vec, np.flatnonzero(ids != query), k)))
+        return pa.Table.from_batches([_results(found)])
+
+    queries = _asked(rows, is_query, F.col("size"))
+    return queries.groupBy("size").cogroup(rows.groupBy("size")).applyInArrow(score, RESULT)
+
+
+def _search_length(
+    rows: DataFrame, is_query: Column, k: int, recall: float, sample_rows: int, part_rows: int, leaves: int | None, asked_rows: int
+) -> DataFrame:
+    """(query_id, vec_id, score) of vectors with equally many components, up to k for each bin and query."""
+    queries = _asked(rows, is_query)
     tree = build_tree(rows, sample_rows, leaves)
     indexed = stored(index(rows, tree), "vector-index")
     visits = calibrated_visits(indexed, tree, queries, k, recall)
     # One row per leaf of the tree, whose number is bounded by the sample.
-    leaf_sizes: dict[int, int] = {}
-    sizes: dict[int, int] = {}
-    for r in indexed.groupBy("branch", "leaf").count().collect():
-        leaf_sizes[r.leaf] = r["count"]
-        sizes[r.branch] = sizes.get(r.branch, 0) + r["count"]
-    parts = {branch: -(-n // part_rows) for branch, n in sizes.items()}
-    count = F.lit(1)
-    for branch, n in parts.items():
-        if n > 1:
-            count = F.when(F.col("branch") == branch, F.lit(n)).otherwise(count)
-    dealt = indexed.withColumn("part", F.pmod(F.xxhash64("vec_id"), count).cast("long"))
+    leaf_sizes = {r.leaf: r["count"] for r in indexed.groupBy("leaf").count().collect()}
+    bins = bins_of(leaf_sizes, part_rows)
+
+    def of_leaf(which: int) -> Column:
+        values = [bins.get(leaf, (0, 1))[which] for leaf in range(tree.leaves)]
+        return F.element_at(F.expr(f"array({', '.join(map(str, values))})"), F.col("leaf").cast("int") + 1)
+
+    part = F.pmod(F.xxhash64("vec_id"), of_leaf(1))
+    dealt = indexed.select("leaf", "vec_id", "vec", (of_leaf(0) + part).cast("long").alias("bin"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"branch": [], "part": [], "query_id": [], "leaves": [], "vec": []}
+            out: dict[str, list] = {"bin": [], "query_id": [], "leaves": [], "vec": []}
             for query, vec, own in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "vec", "own"))):
                 by: dict[int, list[int]] = {}
                 # Rows of the query's own id may be among those held, and do not count.
-                for branch, leaf in tree.visits(np.array(vec), visits, k + own, leaf_sizes):
-                    by.setdefault(branch, []).append(leaf)
-                for branch, found in by.items():
-                    for part in range(parts.get(branch, 0)):
-                        for name, value in zip(out, (branch, part, query, found, vec)):
-                            out[name].append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+                for _, leaf in tree.visits(np.array(vec), visits, k + own, leaf_sizes):
+                    first, parts = bins.get(leaf, (0, 0))
+                    for number in range(first, first + parts):
+                        by.setdefault(number, []).append(leaf)
+                for number, found in by.items():
+                    for name, value in zip(out, (number, query, found, vec)):
+                        out[name].append(value)
+            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
-    routed = queries.mapInArrow(
-        route, "branch bigint, part bigint, query_id bigint, leaves array<bigint>, vec array<double>"
-    )
+    schema = "bin bigint, query_id bigint, leaves array<bigint>, vec array<double>"
+    routed = stored(queries.mapInArrow(route, schema), "routed")
+    # Bins that more queries ask for than one task holds.
+    blocks = F.ceil(F.col("asked") / asked_rows).cast("long")
+    busy = routed.groupBy("bin").agg(F.count(F.lit(1)).alias("asked")).where(F.col("asked") > asked_rows)
+    busy = busy.select("bin", blocks.alias("blocks"))
+    count = F.coalesce("blocks", F.lit(1).cast("long"))
+    asking = routed.join(busy, "bin", "left").withColumn("block", F.pmod(F.xxhash64("query_id"), count)).drop("blocks")
+    holding = dealt.join(busy, "bin", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
 
     def score(asked: pa.Table, held: pa.Table) -> pa.Table:
         found = []
@@ -323,12 +396,10 @@ def search(
                     rough = vectors[i : i + QUERY_BLOCK] @ points.T
                 visited = [np.arange(*spans[n]) for n in wanted[i] if n in spans]
                 if visited:
-                    rows = np.concatenate(visited)
-                    rows = rows[ids[rows] != query]
-                    found.append((query, *best(vectors[i], points, ids, rough[i % QUERY_BLOCK], rows, k)))
-        if not found:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        return pa.Table.from_batches([_results(found)])
+                    near = np.concatenate(visited)
+                    near = near[ids[near] != query]
+                    found.append((query, *best(vectors[i], points, ids, rough[i % QUERY_BLOCK], near, k)))
+        return pa.Table.from_batches([_results(found)]) if found else _NONE
 
-    both = routed.groupBy("branch", "part").cogroup(dealt.groupBy("branch", "part"))
-    return _ranked(both.applyInArrow(score, RESULT), k).select("query_id", "rank", "vec_id", "score")
+    both = asking.groupBy("bin", "block").cogroup(holding.drop("blocks").groupBy("bin", "block"))
+    return both.applyInArrow(score, RESULT)

@@ -112,15 +112,15 @@ def test_recall_of_the_query(spark):
     assert recall_of(queries.op7_ann(spark, folder).collect(), ids, vectors) >= 0.9
 
 
-@pytest.mark.parametrize("part_rows", [50, 100_000])
-def test_copies_of_one_vector(spark, part_rows):
+@pytest.mark.parametrize("part_rows, asked_rows", [(50, 10), (50, 1000), (100_000, 10)])
+def test_copies_of_one_vector(spark, part_rows, asked_rows):
     """A third of all rows is one vector: ties go to the smaller id, parts stay small."""
     rnd = np.random.default_rng(3)
     vectors = rnd.normal(size=(900, 8))  # of any length
     vectors[::3] = vectors[0]
     rows = [(int(i), v.tolist()) for i, v in enumerate(vectors)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = ann.search(frame, F.col("vec_id") % 20 == 0, recall=1.0, part_rows=part_rows, sample_rows=500)
+    found = ann.search(frame, F.col("vec_id") % 20 == 0, recall=1.0, part_rows=part_rows, asked_rows=asked_rows, sample_rows=500)
     assert recall_of(found.collect(), np.arange(900), vectors) >= 0.97
 
 
@@ -146,6 +146,7 @@ def test_vectors_that_take_no_part(spark):
     rows = ann.search(frame, F.col("vec_id") % 20 == 0, k=3, recall=1.0).collect()
     assert {r.query_id for r in rows} == {0, 20}
     assert {r.vec_id for r in rows} <= set(range(30))
+    assert not [r for r in rows if r.vec_id == r.query_id]
     # The repeated id is a row of its own, but no neighbour of itself.
     assert [r.vec_id for r in sorted(rows, key=lambda r: r.rank) if r.query_id == 20] == [29, 28, 27]
     few = ann.search(frame.where("vec_id < 3"), F.col("vec_id") % 20 == 0, k=20, recall=1.0).collect()
@@ -154,6 +155,33 @@ def test_vectors_that_take_no_part(spark):
     assert ann.search(frame.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_vectors_of_several_lengths(spark):
+    """Each is compared with those of its own length, with a tree or as a leaf."""
+    rnd = np.random.default_rng(8)
+    kinds = {4: np.arange(0, 600), 3: np.arange(600, 1000), 2: np.arange(1000, 1030), 7: np.array([1040]), 5: np.array([1060, 1061])}
+    vectors = {int(i): rnd.normal(size=n) for n, own in kinds.items() for i in own}
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    found = ann.search(frame, F.col("vec_id") % 20 == 0, k=5, recall=1.0, leaf_cells=1000, part_rows=100, asked_rows=7)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.rank))
+    hits = total = 0
+    for own in kinds.values():
+        for q in own[own % 20 == 0].tolist():
+            others = [i for i in own.tolist() if i != q]
+            want = sorted(others, key=lambda i: (-(vectors[i] * vectors[q]).sum(), i))[:5]
+            assert [rank for _, rank in got.get(q, [])] == list(range(1, len(want) + 1))
+            hits += len({i for i, _ in got.get(q, [])} & set(want))
+            total += len(want)
+            assert len(own) > 100 or [i for i, _ in got.get(q, [])] == want
+    assert hits >= 0.97 * total
+
+
+def test_bins_of_leaves():
+    bins = ann.bins_of({0: 5, 1: 4, 2: 3, 4: 25, 5: 1, 6: 10}, 10)
+    assert bins == {0: (0, 1), 1: (0, 1), 2: (1, 1), 4: (2, 3), 5: (5, 1), 6: (6, 1)}
+
+
 def test_leaves_are_visited_best_first():
     rnd = np.random.default_rng(4)
     vectors = rnd.normal(size=(500, 6))
