@@ -48,11 +48,10 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, key: str, text: str, s
         kind = _id_type(chunks.vocabulary.size, end_id)
         for batch in slices(batches):
             ids, ends = laid_out(*chunks.of(batch.column("text")))
-            bounds = [0, *ends.tolist()]
-            blobs = [np.append(ids[a:b], end_id).astype(kind).tobytes() for a, b in zip(bounds, bounds[1:])]
-            sizes = np.diff(bounds) + 1
+            sizes = np.diff(ends, prepend=0) + 1
+            ended = np.insert(ids.astype(kind), ends, end_id)  # behind each document's last id
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("queue"), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())],
+                [batch.column("doc_id"), batch.column("queue"), pa.array(sizes, pa.int64()), _blobs(ended, sizes)],
                 names=["doc_id", "queue", "n", "ids"],
             )
 
@@ -66,6 +65,14 @@ def _id_type(size: int, end_id: int) -> str:
     return "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
 
 
+def _blobs(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of so many ids, laid end to end, as binary values."""
+    ends = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes * ids.itemsize, out=ends[1:])
+    buffers = [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), buffers).cast(pa.binary())
+
+
 def _queued(lengths: DataFrame, shares: Column, grains: int) -> DataFrame:
     """Each row with `at`, its place in its queue, the queue's length `total` and `quantum`."""
     buckets = max(1, math.isqrt(lengths.count()))
@@ -222,17 +229,21 @@ def pack(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = _id_type(library_chunks(tokenizer).vocabulary.size, end_id)
         for batch in slices(batches, "ids"):
-            out: dict[str, list] = {name: [] for name in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")}
-            for doc, n, blob, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids", "pieces"))):
-                ids = np.frombuffer(blob, kind).astype("<u4")
-                for piece in sorted(found, key=lambda p: p["start"]):
-                    out["doc_id"].append(doc)
-                    out["doc_tokens"].append(n)
-                    for name in ("start", "length", "sequence_id", "offset"):
-                        out[name].append(piece[name])
-                    out["ids"].append(ids[piece["start"] : piece["start"] + piece["length"]].tobytes())
-            kinds = {"ids": pa.binary()}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+            found = batch.column("pieces")
+            counts = found.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(counts)), counts)
+            places = found.flatten()
+            piece = {name: places.field(name).to_numpy(zero_copy_only=False) for name in ("start", "length", "sequence_id", "offset")}
+            order = np.lexsort((piece["start"], row))
+            piece = {name: values[order] for name, values in piece.items()}
+            # In this order the pieces of a batch are all its ids, end to end.
+            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind).astype("<u4")
+            whole = {name: batch.column(name).take(pa.array(row)) for name in ("doc_id", "n")}
+            columns = [whole["doc_id"], piece["start"], piece["length"], whole["n"], piece["sequence_id"], piece["offset"]]
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, columns), _blobs(ids, piece["length"])],
+                names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
+            )
 
     return store.select("row", "doc_id", "n", "ids").join(pieces, "row").drop("row").mapInArrow(cut, _COLUMNS)
 
