@@ -31,9 +31,9 @@ ROWS_AT_A_TIME = 1024  # rows that a task holds as a matrix of bins
 PARTS = 16  # groups of features whose splits are looked for side by side
 UNIT = 1 << 30  # sums of gradients are kept in these parts of one
 COMPACT_AT = 2_000_000  # sums a task holds before it adds equal ones
-TASK_CELLS = 4_000_000  # present values, and places of a matrix, that one task may hold
-KEYS = ["model", "node", "feature", "bin"]
-SUMS = "part int, model int, node int, feature int, bin int, g bigint, h bigint, n bigint"
+TASK_CELLS = 4_000_000  # present values, and rows with them, that one task may hold
+BINS = 1 << 15  # bins are short integers
+SUMS = "part int, sums binary"
 SPLITS = (
     "model int, node int, feature int, bin int, absent_left boolean, gain double, "
     "gl bigint, hl bigint, nl bigint, g bigint, h bigint, n bigint"
@@ -185,38 +185,49 @@ def _batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa
             yield part, _Batch(part, width)
 
 
-def _cells(of, places, bins, model: int, node, own, takes, g, h) -> np.ndarray:
-    """Sums of single rows: model, node, feature, bin, gradient, curvature, rows. Feature -1
-    stands for the whole row."""
+def _keys(owner, feature, bin_, width: int) -> np.ndarray:
+    """Node, feature and bin as one number, whose order is that of the three. Feature -1 stands for the whole row."""
+    return (owner * (width + 1) + feature + 1) * BINS + bin_
+
+
+def _keyed(keys: np.ndarray, width: int, size: int) -> np.ndarray:
+    """Model, node, feature and bin of each key; `size` is the number of nodes that a model may have."""
+    owner, feature = np.divmod(keys // BINS, width + 1)
+    return np.stack([owner // size, owner % size, feature - 1, keys % BINS])
+
+
+def _cells(of, places, bins, owner, own, takes, g, h, width: int) -> np.ndarray:
+    """Sums of single rows: key, gradient, curvature, rows."""
     inside = np.flatnonzero(own)
     cells = np.flatnonzero(own[of] & takes[places])
     of = of[cells]
-    one = np.ones(len(cells) + len(inside), np.int64)
-    return np.stack(
-        [
-            one * model,
-            np.r_[node[of], node[inside]],
-            np.r_[places[cells], np.full(len(inside), -1)],
-            np.r_[bins[cells], np.zeros(len(inside), int)],
-            np.r_[g[of], g[inside]],
-            np.r_[h[of], h[inside]],
-            one,
-        ]
-    )
+    keys = np.r_[_keys(owner[of], places[cells].astype(np.int64), bins[cells], width), _keys(owner[inside], -1, 0, width)]
+    return np.stack([keys, np.r_[g[of], g[inside]], np.r_[h[of], h[inside]], np.ones(len(keys), np.int64)])
 
 
 def _added(parts: list[np.ndarray]) -> np.ndarray:
     """Sums with equal keys made one, in the order of the keys."""
     every = np.concatenate(parts, axis=1)
-    return _merged(every[:, np.lexsort(every[3::-1])])
+    return _merged(every[:, np.argsort(every[0])])
 
 
 def _merged(every: np.ndarray) -> np.ndarray:
     """The same for sums that are in order."""
     if not every.shape[1]:
         return every
-    first = np.flatnonzero(np.r_[True, (np.diff(every[:4], axis=1) != 0).any(axis=0)])
-    return np.concatenate([every[:4, first], np.add.reduceat(every[4:], first, axis=1)])
+    first = np.flatnonzero(np.r_[True, np.diff(every[0]) != 0])
+    return np.concatenate([every[:1, first], np.add.reduceat(every[1:], first, axis=1)])
+
+
+def surely_fit(sizes: list[tuple[int, int]], room: int) -> int:
+    """The most rows of which any choice fits: a row takes its size and one more; `sizes` has (size, rows)."""
+    fit = 0
+    for size, rows in sorted(sizes, reverse=True):
+        now = min(rows, room // (size + 1))
+        fit, room = fit + now, room - now * (size + 1)
+        if now < rows:
+            break
+    return fit
 
 
 class Growth:
@@ -226,9 +237,10 @@ class Growth:
         self.table, self.width, self.models, self.settings = table, width, models, settings
         self.trees: list[list[Tree]] = [[] for _ in range(models)]
         self.kept = 0  # trees whose values the table's margins hold
-        about = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("places")).alias("most")).first()
-        self.rows = about.n
-        self.few = TASK_CELLS // max(about.most or 1, width // 4, 1)
+        # One row for each number of present values, of which there are `width` at most.
+        sizes = table.groupBy(F.size("places").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()
+        self.rows = sum(r.n for r in sizes)
+        self.few = surely_fit([(r["size"], r.n) for r in sizes], TASK_CELLS)
 
     def refresh(self) -> None:
         """Write the table anew with the margins of all trees, and delete the old one."""
@@ -310,32 +322,46 @@ class Growth:
         """The best split of each open node, with feature -1 where none gains."""
         set_, width, open_rows = self.settings, self.width, self._open_rows(trees, nodes, number)
 
+        size = 2 ** (set_.depth + 1)
+
+        def dealt(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            done = _added(held)
+            feature = done[0] // BINS % (width + 1) - 1
+            # Every group of features needs the sums of whole nodes.
+            parts = [np.flatnonzero((feature < 0) | (feature % PARTS == part)) for part in range(PARTS)]
+            packed = pa.array([np.ascontiguousarray(done[:, part]).tobytes() for part in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), packed], names=["part", "sums"])
+
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[np.ndarray] = []
             for _, rows in _batches(batches, width):
                 for model, node, own, g, h in open_rows(rows):
-                    held.append(_cells(rows.of, rows.places, rows.cell_bins, model, node, own, takes, g, h))
+                    held.append(_cells(rows.of, rows.places, rows.cell_bins, model * size + node, own, takes, g, h, width))
                 if sum(part.shape[1] for part in held) > COMPACT_AT:
                     held = [_added(held)]
+                    if held[0].shape[1] > COMPACT_AT // 2:
+                        yield from dealt(held)
+                        held = []
             if held:
-                done = _added(held)
-                whole = done[2] < 0
-                # Every group of features needs the sums of whole nodes.
-                part = np.r_[done[2, ~whole] % PARTS, np.tile(np.arange(PARTS), whole.sum())]
-                columns = [part, *np.concatenate([done[:, ~whole], np.repeat(done[:, whole], PARTS, axis=1)], axis=1)]
-                types = [pa.int32()] * 5 + [pa.int64()] * 3
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c).cast(t) for c, t in zip(columns, types)], names=["part", *KEYS, "g", "h", "n"]
-                )
-
-        def best(rows: pa.Table) -> pa.Table:
-            sums = np.stack([rows.column(c).to_numpy() for c in [*KEYS, "g", "h", "n"]])
-            return _best(sums[:, np.lexsort(sums[3::-1])], set_)
-
-        dealt = self.table.mapInArrow(sums, SUMS).repartition(PARTS, "part")
-        added = dealt.groupBy("part", *KEYS).agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
+                yield from dealt(held)
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[np.ndarray]] = {}
+            for batch in batches:
+                for part, packed in zip(batch.column("part").to_pylist(), batch.column("sums")):
+                    own = held.setdefault(part, [])
+                    own.append(np.frombuffer(packed.as_buffer(), np.int64).reshape(4, -1))
+                    # Those added last are added up once they are as many as the first.
+                    if len(own) > 2 and sum(p.shape[1] for p in own[1:]) > max(own[0].shape[1], COMPACT_AT // PARTS):
+                        held[part] = [_added(own)]
+            for own in held.values():
+                done = _added(own)
+                yield from _best(np.concatenate([_keyed(done[0], width, size), done[1:]]), set_).to_batches()
+
+        # The sums travel packed: a task sends a few rows for each group of features.
+        added = self.table.mapInArrow(sums, SUMS).repartition(PARTS, "part")
         # At most PARTS rows for each open node.
-        found = added.groupBy("part").applyInArrow(best, SPLITS).collect()
+        found = added.mapInArrow(best, SPLITS).collect()
         out: dict[tuple[int, int], dict] = {}
         for r in found:
             old, key = out.get((r.model, r.node)), (-r.gain, r.feature, r.bin, not r.absent_left)
@@ -384,35 +410,55 @@ def _subtree(rows: pa.Table, width: int, takes: np.ndarray, set_: Settings) -> p
     of, places = _lists(rows.column("places").chunk(0))
     cell_bins = _lists(rows.column("bins").chunk(0))[1]
     g, h = rows.column("g").to_numpy(), rows.column("h").to_numpy()
-    bins = np.full((len(g), width), -1, np.int16)
-    bins[of, places] = cell_bins
-    # In order of feature and bin once; each level deals them to its nodes, keeping that order.
-    cells = _cells(of, places, cell_bins, model, np.arange(len(g)), np.ones(len(g), bool), takes, g, h)
-    cells = cells[:, np.lexsort(cells[3:1:-1])]
-    of = cells[1].copy()
+    # In order of feature and bin once; what is chosen of them keeps that order.
+    cells = _cells(of, places, cell_bins, np.zeros(len(g), np.int64), np.ones(len(g), bool), takes, g, h, width)
+    of = np.r_[of[takes[places]], np.arange(len(g))]
+    order = np.argsort(cells[0], kind="stable")
+    cells, of = cells[:, order], of[order]
     tree = Tree(2 ** (set_.depth + 1) - 1)
     tree.value[top] = _leaf(g.sum(), h.sum(), set_)
     node = np.full(len(g), top, np.int64)
-    nodes, own = [top], np.ones(len(g), bool)
-    while own.any() and 2 * int(node[own].min()) + 1 < tree.size:
-        cells[1] = node[of]
-        inside = np.flatnonzero(own[of])
-        inside = inside[np.argsort(cells[1, inside].astype(np.int16), kind="stable")]
-        found = _best(_merged(cells[:, inside]), set_).to_pylist()
-        own = np.zeros(len(g), bool)
-        for s in found:
+    nodes, sums = [top], {top: _merged(cells)} if 2 * top + 1 < tree.size else {}
+    while sums:
+        keyed = [_keyed(_keys(model * 2 ** (set_.depth + 1) + at, -1, sums[at][0], width), width, 2 ** (set_.depth + 1)) for at in sorted(sums)]
+        found = _best(np.concatenate([np.concatenate(keyed, axis=1), np.concatenate([sums[at][1:] for at in sorted(sums)], axis=1)]), set_)
+        pairs = []  # parent, child with fewer rows and its sibling, where one of the two may be split
+        for s in found.to_pylist():
             at = s["node"]
             if s["feature"] < 0:
                 continue
             tree.feature[at], tree.bin[at], tree.absent_left[at] = s["feature"], s["bin"], s["absent_left"]
+            asked = np.full(len(g), -1, np.int64)
+            there = slice(*np.searchsorted(cells[0], [_keys(0, s["feature"], 0, width), _keys(0, s["feature"] + 1, 0, width)]))
+            asked[of[there]] = cells[0, there] % BINS
             inside = np.flatnonzero(node == at)
-            asked = bins[inside, s["feature"]]
+            asked = asked[inside]
             node[inside] = 2 * at + 1 + np.where(asked < 0, not s["absent_left"], asked > s["bin"])
-            halves = s["hl"], s["h"] - s["hl"]
-            own[inside] = np.array([set_.may_split(h) for h in halves])[node[inside] - 2 * at - 1]
             tree.value[2 * at + 1] = _leaf(s["gl"], s["hl"], set_)
             tree.value[2 * at + 2] = _leaf(s["g"] - s["gl"], s["h"] - s["hl"], set_)
             nodes += [2 * at + 1, 2 * at + 2]
+            halves = s["hl"], s["h"] - s["hl"]
+            may = {2 * at + 1 + i for i in range(2) if set_.may_split(halves[i])}
+            if may and 2 * (2 * at + 1) + 1 < tree.size:
+                left_is_less = 2 * s["nl"] <= s["n"]
+                pairs.append((at, 2 * at + 2 - left_is_less, 2 * at + 1 + left_is_less, may))
+        # Only the smaller of two children is summed; the sums of the other are what is left of the parent's.
+        chosen = np.zeros(tree.size, bool)
+        chosen[[less for _, less, _, _ in pairs]] = True
+        inside = np.flatnonzero(chosen[node][of])
+        owner = node[of[inside]].astype(np.int16)
+        order = np.argsort(owner, kind="stable")
+        inside, owner = inside[order], owner[order]
+        below = {}
+        for at, less, more, may in pairs:
+            own = _merged(cells[:, inside[slice(*np.searchsorted(owner, [less, less + 1]))]])
+            if less in may:
+                below[less] = own
+            if more in may:
+                rest = sums[at].copy()
+                rest[1:, np.searchsorted(rest[0], own[0])] -= own[1:]
+                below[more] = rest[:, rest[3] > 0]
+        sums = below
     at = np.array(nodes)
     return pa.table(
         {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import functions as F
@@ -151,3 +152,50 @@ def test_one_class_and_no_rows(spark, labels):
     model = bo.fit(spark.createDataFrame(rows, SCHEMA), bo.Settings(rounds=2, depth=2))
     scored = model.score(spark.createDataFrame([(9, 0, Vectors.dense([1.0, 0.0, 0.0, 2.0]))], SCHEMA)).first()
     assert scored.score > 0.5 if labels else scored.score == 0.5
+
+
+def test_rows_that_surely_fit():
+    assert bo.surely_fit([(3, 10)], 40) == 10
+    assert bo.surely_fit([(1, 100), (9, 2)], 30) == 2 + 5  # the largest first
+    assert bo.surely_fit([(99, 1)], 50) == 0
+    # Two rows with many values among many short ones do not send all rows level by level.
+    assert bo.surely_fit([(2000, 2), (160, 16_000)], bo.TASK_CELLS) == 16_002
+
+
+def test_a_tree_within_a_task_sums_the_smaller_child_only(monkeypatch):
+    """The larger child has what is left, and trees are those of whole sums."""
+    random = np.random.default_rng(5)
+    rows, width, set_ = 600, 12, bo.Settings(least_curvature=0.5)
+    given = random.random((rows, width)) < 0.4
+    bins = random.integers(0, 6, (rows, width))
+    label = (bins[:, 0] * given[:, 0] + random.random(rows) * 2 > 2).astype(float)
+    g, h = bo.gradients(random.normal(0, 0.3, rows), label)
+    table = pa.table({
+        "model": pa.array([2] * rows, pa.int32()), "node": pa.array([0] * rows, pa.int32()),
+        "places": pa.array([np.flatnonzero(r).tolist() for r in given], pa.list_(pa.int32())),
+        "bins": pa.array([b[r].tolist() for b, r in zip(bins, given)], pa.list_(pa.int16())), "g": g, "h": h,
+    })
+    takes, seen, best = np.arange(width) != 3, [], bo._best
+    monkeypatch.setattr(bo, "_best", lambda sums, s: (seen.append(sums), best(sums, s))[1])
+    summed, merged = [], bo._merged
+    monkeypatch.setattr(bo, "_merged", lambda c: (summed.append(c.shape[1]), merged(c))[1])
+    grown = {r["node"]: r for r in bo._subtree(table, width, takes, set_).to_pylist()}
+    cells = (given[:, takes].sum() + rows)
+    assert summed[0] == cells and summed[1] < 0.6 * cells
+    # Every sum that a split was chosen from, again from the rows of its node.
+    dense, node = np.where(given, bins, -1), np.zeros(rows, int)
+    for level in seen:
+        for at in np.unique(level[1]):
+            inside = node == at
+            for feature in np.flatnonzero(takes):
+                for b in range(6):
+                    cell = inside & (dense[:, feature] == b)
+                    told = level[4:, (level[1] == at) & (level[2] == feature) & (level[3] == b)]
+                    assert told.sum(axis=1).tolist() == [g[cell].sum(), h[cell].sum(), cell.sum()]
+        for at in np.unique(node):
+            r = grown[at]
+            if r["feature"] >= 0:
+                inside, asked = node == at, dense[:, r["feature"]]
+                right = np.where(asked < 0, not r["absent_left"], asked > r["bin"])
+                node[inside] = 2 * at + 1 + right[inside]
+    assert len(seen) > 2
