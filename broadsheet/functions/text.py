@@ -128,13 +128,22 @@ def clean_basic(c: Column, stopwords: list[str] = STOPWORDS) -> Column:
     return remove_stopwords(clean(c), stopwords, min_length=3)
 
 
+def _where_found(c: Column, marks: list[str], changed: Column) -> Column:
+    """`changed` for texts that hold one of the marks, without which a pattern cannot match: most texts
+    hold none, and a search for a plain string is far cheaper than one for a pattern."""
+    found = F.contains(c, F.lit(marks[0]))
+    for mark in marks[1:]:
+        found = found | F.contains(c, F.lit(mark))
+    return F.when(found, changed).otherwise(c)
+
+
 def strip_urls(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?:http|www)[^{SPACE}]+", "")
+    return _where_found(c, ["http", "www"], F.regexp_replace(c, rf"(?:http|www)[^{SPACE}]+", ""))
 
 
 def strip_emails(c: Column) -> Column:
     # The match always covers a whole run of non-space, so it may only begin at one.
-    return F.regexp_replace(c, rf"(?<![^{SPACE}])[^{SPACE}]+@[^{SPACE}]+", "")
+    return _where_found(c, ["@"], F.regexp_replace(c, rf"(?<![^{SPACE}])[^{SPACE}]+@[^{SPACE}]+", ""))
 
 
 def squeeze(c: Column) -> Column:
@@ -151,7 +160,8 @@ def advanced_words(c: Column, stopwords: list[str] = STOPWORDS) -> Column:
 def normalize(c: Column) -> Column:
     """Text for TF-IDF: lower case, no URLs, every non-word character a space, squeezed."""
     lowered = F.lower(F.coalesce(c, F.lit("")))
-    no_urls = F.regexp_replace(lowered, rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+", "")
+    bare = F.regexp_replace(lowered, rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+", "")
+    no_urls = _where_found(lowered, ["http", "www."], bare)
     return F.trim(F.regexp_replace(no_urls, r"[^\p{L}\p{N}_]+", " "))
 
 

@@ -189,3 +189,20 @@ def test_special_chars_of_every_plane(spark):
     got = values(df, tx.special_char_count(F.col("t")))
     white = set("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
     assert got == [int(not in_class(c, "LNZ") and c not in white) for c in known]
+
+
+def test_patterns_are_not_searched_in_texts_without_their_marks(spark):
+    texts = ["a b", "http", "http://x.y z", "httpwww. q", "www", "www. a", "www.a b", "@", "a@ b", " @b", "x a@b c", "é\u00a0a@b\x1fc", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = {
+        "urls": (tx.strip_urls, rf"(?:http|www)[^{tx.SPACE}]+"),
+        "emails": (tx.strip_emails, rf"(?<![^{tx.SPACE}])[^{tx.SPACE}]+@[^{tx.SPACE}]+"),
+    }
+    for strip, pattern in plain.values():
+        found = rows.select(strip(F.col("t")).alias("got"), F.regexp_replace("t", pattern, "").alias("want")).collect()
+        assert [r.got for r in found] == [r.want for r in found]
+        assert "contains(" in str(strip(F.col("t")))
+    bare = F.regexp_replace(F.coalesce("t", F.lit("")), rf"https?://[^{tx.SPACE}]+|www\.[^{tx.SPACE}]+", "")
+    want = F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}_]+", " "))
+    found = rows.select(tx.normalize(F.col("t")).alias("got"), want.alias("want")).collect()
+    assert [r.got for r in found] == [r.want for r in found]
