@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 MAX_BROADCAST_ROWS = 200_000
 MAX_ROWS_IN_ROW = 20_000
+FILTER_BITS = 1 << 22
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
@@ -62,3 +63,27 @@ def in_row(table: DataFrame, on: str, max_rows: int = MAX_ROWS_IN_ROW) -> Callab
         return F.get(F.filter(bucket, lambda row: row[on] == word), 0)
 
     return find
+
+
+def may_hold(table: DataFrame, on: str, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """A test, within the row, that is true of every word of the table and of few others.
+
+    One bit for each hash of a word, `bits` in all whatever the size of the table: half a MB. A
+    table of many more words than bits lets all pass, and the join that follows decides.
+    """
+    slot = F.pmod(F.xxhash64(on), F.lit(bits))
+    bit = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
+    set_bits = table.where(F.col(on).isNotNull()).select(slot.alias("_slot"))
+    places = set_bits.groupBy(F.expr("_slot div 64").cast("int").alias("place")).agg(F.bit_or(bit).alias("bits"))
+    held = [0] * -(-bits // 64)
+    for row in places.collect():  # a number for each 64 bits
+        held[row.place] = row.bits
+    literal = F.from_json(F.lit(json.dumps(held)), T.ArrayType(T.LongType()))
+
+    def test(word: Column) -> Column:
+        slot = F.pmod(F.xxhash64(word), F.lit(bits))
+        found = F.get(literal, F.floor(slot / 64).cast("int"))
+        # A null word has a hash as well.
+        return word.isNotNull() & (F.getbit(found, (slot % 64).cast("int")) == 1)
+
+    return test

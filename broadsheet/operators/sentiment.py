@@ -6,30 +6,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
-from broadsheet.operators.lookup import in_row, lookup
+from broadsheet.operators.lookup import in_row, lookup, may_hold
+from broadsheet.session import stored
 
 
 def lemmatize(df: DataFrame, key: str, words: str, lemmas: DataFrame) -> DataFrame:
     """The word array with every word replaced by its lemma, order kept.
 
     `lemmas` has rows (word, lemma). A word with several lemmas has the smallest one, a word
-    with none keeps its form. Lemmas that are few are looked up within the row; with many, the
-    key and the words travel, and `key` must identify a row.
+    with none keeps its form. Lemmas that are few are looked up within the row. With many, only
+    words that may have one travel, with the key and their place, and what is found is put into the
+    array, which travels once by the key; `key` must identify a row.
     """
-    one = lemmas.groupBy("word").agg(F.min("lemma").alias("lemma"))
+    one = lemmas.where("lemma is not null").groupBy("word").agg(F.min("lemma").alias("lemma"))
     found = in_row(one, "word")
     if found:
         return df.withColumn(words, F.transform(words, lambda w: F.coalesce(found(w)["lemma"], w)))
-    spread = df.select(key, F.posexplode(words).alias("pos", "word"))
-    joined = lookup(spread, one, "word")
-    word = F.struct("pos", F.when(F.col("word").isNotNull(), F.coalesce("lemma", "word")).alias("w"))
-    again = joined.groupBy(key).agg(F.array_sort(F.collect_list(word)).alias("_found"))
-    # The words stay behind: of the array only whether there is one is needed.
-    left = df.withColumn("_given", F.col(words).isNotNull())
-    empty = F.array().cast("array<string>")
-    replaced = F.when(F.col("_given"), F.coalesce(F.col("_found.w"), empty))
-    order = [replaced.alias(c) if c == words else F.col(c) for c in df.columns]
-    return left.drop(words).join(again, key, "left").select(*order)
+    known = stored(one, "lemmas")
+    test = may_hold(known, "word")
+    placed = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
+    spread = df.select(F.col(key).alias("_key"), F.inline(F.filter(placed, lambda x: test(x["word"]))))
+    joined = lookup(spread, known, "word", how="inner")
+    again = joined.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("_found"))
+    put = F.when(F.col("_found").isNull(), F.col(words)).otherwise(_put_in(F.col(words), F.col("_found")))
+    order = [put.alias(c) if c == words else F.col(c) for c in df.columns]
+    return df.join(again, F.col(key).eqNullSafe(F.col("_key")), "left").select(*order)
+
+
+def _put_in(words: Column, found: Column) -> Column:
+    """The words with those at the places of `found` (pos, lemma), in order, replaced."""
+
+    def from_here(x: Column, i: Column) -> Column:
+        following = F.coalesce(F.get(found, i + 1)["pos"], F.size(words))
+        return F.concat(F.array(x["lemma"]), F.slice(words, x["pos"] + 2, following - x["pos"] - 1))
+
+    return F.concat(F.slice(words, F.lit(1), F.get(found, F.lit(0))["pos"]), F.flatten(F.transform(found, from_here)))
 
 
 # Endings of English plural nouns and what stands in their place, in the order of

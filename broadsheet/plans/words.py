@@ -163,7 +163,7 @@ def lemmatized(spark, folder):
 @query(_lemma_sql("conversations"))
 def lemmatized_by_join(spark, folder):
     df = table(spark, folder, "documents").select("doc_id", "text")
-    lemmas = _lemmas(spark, folder, "conversations")
+    lemmas = stored(_lemmas(spark, folder, "conversations"), "lemmas")
     # Each word twice and once without a lemma: the smallest lemma counts.
     more = lemmas.select("word", F.concat("lemma", F.lit("z"))).union(lemmas.select("word", F.lit(None)))
     return st.advanced_text(df, "doc_id", "text", lemmas.union(more)).drop("text")

@@ -102,6 +102,21 @@ def test_lemmas_in_row_and_joined(spark, monkeypatch, most):
     assert {r.id: r.w for r in out.collect()} == {1: ["dog", None, "x", "dog"], 2: [], 3: None, 4: ["cat"]}
 
 
+def test_only_words_with_lemmas_travel(spark, monkeypatch):
+    monkeypatch.setattr(st, "in_row", lambda table, on: None)
+    rows = [(1, ["dogs", "a", "cats", "cats"]), (None, ["a", "dogs", None]), (3, ["a", "b"]), (4, [None])]
+    df = spark.createDataFrame(rows, "id int, w array<string>")
+    lemmas = spark.createDataFrame([("dogs", "dog"), ("cats", "cat"), ("a", None)], "word string, lemma string")
+    out = st.lemmatize(df, "id", "w", lemmas)
+    wanted = {1: ["dog", "a", "cat", "cat"], None: ["a", "dog", None], 3: ["a", "b"], 4: [None]}
+    assert {r.id: r.w for r in out.collect()} == wanted
+    table = spark.createDataFrame([(f"w{i}",) for i in range(500)] + [(None,)], "k string")
+    test = lookup.may_hold(table, "k")
+    told = spark.range(2000).select(F.concat(F.lit("w"), "id").alias("k")).union(spark.sql("SELECT CAST(NULL AS STRING)"))
+    passed = {r.k for r in told.where(test(F.col("k"))).collect()}
+    assert {f"w{i}" for i in range(500)} <= passed and len(passed) < 510 and None not in passed
+
+
 def test_text_stays_behind_when_lemmas_are_many(spark, monkeypatch):
     monkeypatch.setattr(st, "in_row", lambda table, on: None)
     df = spark.createDataFrame([(1, "Dogs and cats")], "id int, text string")
