@@ -151,6 +151,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
 
 
+def has_more_than_space(c: Column) -> Column:
+    """Whether anything is left of the text by `squeeze`; the search ends at the first such character."""
+    return c.rlike(f"[^{SPACE}]")
+
+
 def advanced_words(c: Column, stopwords: list[str] = STOPWORDS) -> Column:
     """Words of three letters or more after URL, e-mail and symbol removal, no stop words."""
     bare = squeeze(strip_emails(strip_urls(F.lower(c))))
@@ -169,7 +174,8 @@ def repair_mojibake(c: Column) -> Column:
     """UTF-8 that was read as Latin-1 is read again; odd spaces become plain ones."""
     raw = F.try_validate_utf8(F.encode(c, "ISO-8859-1"))
     fixed = F.when(~c.rlike(r"[^\x00-\xFF]"), raw)
-    return F.translate(F.coalesce(fixed, c), "\u00a0\u200b", "  ")
+    again = F.coalesce(fixed, c)
+    return _where_found(again, ["\u00a0", "\u200b"], F.translate(again, "\u00a0\u200b", "  "))
 
 
 def join_text(title: Column, text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
-from broadsheet.session import stored
+from broadsheet.session import discard, stored
 
 MANY = 1000  # rows that each task may send to the last step of a top k
 
@@ -58,6 +58,31 @@ def heavy_hitters(df: DataFrame, items: Column, k: int, name: str = "word", buck
     return most_common(first.unionByName(counted(reached)), k, name)
 
 
+def frequent(
+    df: DataFrame, items: Column, least: int, name: str = "word", by: list[str] | None = None, buckets: int = 1 << 20
+) -> DataFrame:
+    """(by..., name, n) of the elements of an array column that may occur `least` times in all; none
+    that does is left out, others may be among them.
+
+    Counted by hash bucket first, as in `heavy_hitters`: only elements whose bucket holds as many
+    are counted one by one, so rare ones, which are most, are not shuffled.
+    """
+    number = F.pmod(F.xxhash64(name), F.lit(buckets))
+    spread = df.select(*(by or []), F.explode(items).alias(name))
+    one = F.count(F.lit(1)).alias("n")
+    full = stored(spread.groupBy(number.alias("_bucket")).agg(one).where(F.col("n") >= least).select("_bucket"), "buckets")
+    # At most `buckets` rows of one number.
+    kept = spread.withColumn("_bucket", number).join(F.broadcast(full), "_bucket", "left_semi")
+    found = stored(kept.groupBy(*(by or []), name).agg(one), "frequent")
+    discard(full)
+    return found
+
+
+def count_of_last(counts: DataFrame, k: int) -> int:
+    """The n of the k-th row, 0 when there are fewer."""
+    return counts.sparkSession.range(1).select(_count_of_last(counts, k).alias("n")).first().n
+
+
 def _count_of_last(counts: DataFrame, k: int) -> Column:
     """The n of the k-th row, 0 when there are fewer."""
     sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("rows"))

@@ -54,6 +54,30 @@ def test_boosted_trees_are_saved(rows, tmp_path):
     assert {r.doc_id: r.score for r in again} == scored and len(set(scored.values())) > 2
 
 
+def test_vocabularies_of_all_folds_are_those_of_each(spark):
+    """One count for all folds, most pairs left out by their bucket, gives what counting every term gives."""
+    from collections import Counter
+
+    texts = [(i % 3, [f"w{(i * j) % 11}" for j in range(1, 9)]) for i in range(60)] + [(0, []), (1, ["w1"])]
+    words = spark.createDataFrame(texts, "fold int, _words array<string>")
+
+    def wanted(kept, k):
+        n = Counter(t for _, w in kept for t in [*w, *map(" ".join, zip(w, w[1:]))])
+        return [t for t, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))][:k]
+
+    for k in (5, 15, 500):  # 15 and 500 are more than there are words
+        assert models._vocabularies(words, k, 3) == [wanted([t for t in texts if t[0] != i], k) for i in range(3)]
+        assert models._vocabularies(words, k)[0] == wanted(texts, k)
+
+
+def test_folds_take_the_words_from_the_texts_once(spark, rows):
+    from broadsheet.session import recorded
+
+    with recorded() as paths:
+        models.cross_validate(rows, "doc_id", folds=2, max_iter=5)
+    assert sum("/words-" in p for p in paths) == 1
+
+
 def test_boosted_folds(rows):
     got = models.cross_validate(rows, "doc_id", folds=3, kind="gbt", rounds=5).collect()
     assert {r.fold for r in got} == {0, 1, 2} and all(r.accuracy > 0.6 and r.auc > 0.6 for r in got)

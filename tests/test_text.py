@@ -206,3 +206,11 @@ def test_patterns_are_not_searched_in_texts_without_their_marks(spark):
     want = F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}_]+", " "))
     found = rows.select(tx.normalize(F.col("t")).alias("got"), want.alias("want")).collect()
     assert [r.got for r in found] == [r.want for r in found]
+
+
+def test_blank_training_texts_are_left_out(spark):
+    from broadsheet.operators.features import training_text
+
+    rows = [(1, "", " \u00a0\u200b\t"), (2, None, "\u00e9"), (3, "a", None), (4, "", "\u00c2\u00a0"), (5, "\u00c3\u00a9", "b\u00c2\u00a0c")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "id int, title string, text string, label int")
+    assert {r.id: r.title_text for r in training_text(df).collect()} == {2: " \u00e9", 3: "a ", 5: "\u00e9 b c"}
