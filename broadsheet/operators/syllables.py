@@ -10,13 +10,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.operators.lookup import in_row, lookup
 
 MAX_PATTERNS = 200_000  # pattern files of all languages are far smaller
+KEPT_WORDS = 500_000  # different words a task remembers beyond those of its last batch
 _END = ""  # the key of a pattern's ratings in its last node; letters are never empty
 
 
@@ -64,12 +67,16 @@ def spoken_words(text: Column) -> Column:
     return F.filter(F.split(bare, r"\s+"), lambda w: w != "")
 
 
-def hyphenated(words: DataFrame, patterns: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
-    """(word, syllables) of each different word: one more than its places for a hyphen."""
+def _listed(patterns: DataFrame) -> list[str]:
     rows = patterns.select("pattern").where("pattern is not null").distinct().limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} patterns")
-    listed = [r.pattern for r in rows]
+    return [r.pattern for r in rows]
+
+
+def hyphenated(words: DataFrame, patterns: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
+    """(word, syllables) of each different word: one more than its places for a hyphen."""
+    listed = _listed(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(listed)
@@ -81,6 +88,36 @@ def hyphenated(words: DataFrame, patterns: DataFrame, left: int = 2, right: int
     return different.mapInArrow(run, "word string, syllables int")
 
 
+def with_hyphenation(
+    df: DataFrame, text: str, patterns: DataFrame, left: int = 2, right: int = 2, name: str = "syllables"
+) -> DataFrame:
+    """The rows with the sum of syllables over the words of each text, 0 for null or empty texts, as
+    `with_syllables` gives it with the table of `hyphenated`.
+
+    Nothing is shuffled: a task hyphenates the different words of its texts and remembers at most
+    `KEPT_WORDS` of them.
+    """
+    listed = _listed(patterns)
+
+    @F.arrow_udf("long")
+    def total(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        trie, known = Trie(listed), {}
+        for lists in batches:
+            coded = lists.flatten().dictionary_encode()
+            different = coded.dictionary.to_pylist()
+            if len(known) > KEPT_WORDS:
+                known.clear()
+            for word in different:
+                if word not in known:
+                    known[word] = 1 + trie.hyphens(word, left, right)
+            each = np.array([known[w] for w in different], np.int64)[coded.indices.to_numpy()]
+            upto = np.concatenate([[0], np.cumsum(each)])
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            yield pa.array(np.diff(upto[ends], prepend=0), pa.int64())
+
+    return df.withColumn(name, total(spoken_words(F.col(text))))
+
+
 def with_syllables(df: DataFrame, key: str, text: str, syllables: DataFrame, name: str = "syllables") -> DataFrame:
     """The rows with the sum of syllables over the words of each text, 0 for null or empty texts.
 

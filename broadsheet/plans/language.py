@@ -174,11 +174,9 @@ SELECT doc_id, CASE WHEN n > 0 THEN syllable_count ELSE 0 END AS syllable_count,
 FROM c
 """)
 def hyphenated_readability(spark, folder):
-    """Readability from hyphenated syllables; each different word is hyphenated once."""
+    """Readability from hyphenated syllables; each task hyphenates a word once."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    words = docs.select(F.explode(sy.spoken_words(F.col("text"))).alias("word"))
-    counts = stored(sy.hyphenated(words, stored(_patterns(spark, folder), "patterns")), "syllables")
-    counted = sy.with_syllables(docs, "doc_id", "text", counts)
+    counted = sy.with_hyphenation(docs, "text", _patterns(spark, folder))
     out = st.with_complexity(counted, "text", syllables="syllables")
     scores = rounded("readability_score", "flesch_kincaid_grade")
     return out.select("doc_id", F.col("syllable_count").cast("long").alias("syllable_count"), *scores)

@@ -183,3 +183,17 @@ def test_syllables_of_texts(spark, monkeypatch, tmp_path, most):
     assert {r.id: r.syllables for r in out.collect()} == {1: one + two, 2: 0, 3: 0, 4: 0, 5: 2 * one + 1}
     ease = st.with_complexity(out, syllables="syllables").where("id = 1").first()
     assert ease.syllable_count == one + two and ease.readability_score == pytest.approx(206.835 - 1.015 * 2 - 84.6 * (one + two) / 2)
+
+
+def test_hyphenation_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(sy, "KEPT_WORDS", 1)
+    texts = ["Tables and tables, table!", None, "", "...", "cable ünïcode tables 12", "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    patterns = spark.createDataFrame([("1b2l",), (".ta2b",), ("n1d",), (None,), ("1c",)], "pattern string")
+    out = sy.with_hyphenation(df, "text", patterns)
+    words = df.select(F.explode(sy.spoken_words(F.col("text"))).alias("word"))
+    joined = sy.with_syllables(df, "id", "text", sy.hyphenated(words, patterns))
+    got = {r.id: r.syllables for r in out.collect()}
+    assert got == {r.id: r.syllables for r in joined.collect()} and got[1] == got[2] == got[3] == 0 and got[4] > 4
+    plan = sy.with_hyphenation(spark.range(3).selectExpr("'ab' AS text"), "text", patterns)
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
