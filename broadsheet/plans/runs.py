@@ -47,9 +47,17 @@ _RUN_COLUMNS = {
 
 def wide_runs(spark, folder):
     """One row per order, with seven columns for each of its line numbers."""
-    lines = table(spark, folder, "lineitem")
-    aggs = [F.expr(f"{measure} AS {name}") for name, measure in _STAGE_COLUMNS.items()]
-    stages = lines.groupBy("l_orderkey").agg(F.count_distinct("l_linenumber").alias("n"), *aggs)
+    # Seven sums for each line number, then one row per order: the rows that are shuffled are those of
+    # the table, and not rows of all columns for each line.
+    lines = table(spark, folder, "lineitem").repartition("l_orderkey")
+    measures = [F.expr(f"{measure} AS {m}") for m, measure in _MEASURES.items()]
+    numbered = lines.groupBy("l_orderkey", "l_linenumber").agg(*measures)
+    aggs = [
+        F.max(F.when(F.col("l_linenumber") == i + 1, F.col(m))).alias(f"stage{i}_{m}")
+        for i in range(STAGES)
+        for m in _MEASURES
+    ]
+    stages = numbered.groupBy("l_orderkey").agg(F.count("l_linenumber").alias("n"), *aggs)
     orders = table(spark, folder, "orders")
     joined = orders.join(stages, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.selectExpr(

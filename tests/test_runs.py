@@ -125,3 +125,11 @@ def test_quoted_newlines_are_read_in_parallel(spark, tmp_path, ends):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert len(got) == len(want) >= 200
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
+def test_order_lines_are_shuffled_once_and_narrow(spark, small):
+    from broadsheet.plans.runs import wide_runs
+
+    plan = wide_runs(spark, small)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange" in line and "l_orderkey" in line]
+    assert len(dealt) == 1 and "l_linenumber" not in dealt[0].split("ENSURE")[0].split("hashpartitioning")[1]
