@@ -41,6 +41,7 @@ BLOCK_DDL = (
     "shard int, block int, first_id bigint, n_ids bigint, bits int, "
     "doc_ids array<bigint>, lengths array<bigint>, data binary"
 )
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}  # ids of whole bytes are laid out as they are in memory
 
 
 def bits_for(size: int) -> int:
@@ -51,6 +52,10 @@ def bits_for(size: int) -> int:
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
     """Ids at `bits` bits each, lowest bit first. Eight ids fill exactly `bits` bytes."""
     rows = -(-len(ids) // 8)
+    if bits in WHOLE:
+        whole = np.zeros(8 * rows, WHOLE[bits])
+        whole[: len(ids)] = ids
+        return whole.tobytes()
     lanes = np.zeros((rows, 8), np.uint64)
     lanes.reshape(-1)[: len(ids)] = ids
     out = np.zeros((rows, bits + 8), np.uint8)
@@ -63,6 +68,8 @@ def pack_bits(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack_bits(data: bytes, bits: int, first: int, count: int) -> np.ndarray:
     """`count` ids from place `first` on, reading only the bytes that hold them."""
+    if bits in WHOLE:
+        return np.frombuffer(data, WHOLE[bits], count, first * bits // 8).astype(np.uint32)
     start, end = first // 8, -(-(first + count) // 8)
     rows = end - start
     packed = np.zeros((rows, bits + 8), np.uint8)

@@ -12,6 +12,8 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable
+from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,10 @@ _MARKS = "!#$%&*,.:;?|"  # marks that end a word and take no part in any special
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 _LATIN = re.compile(f"[{_LETTERS}]+")
 # A chunk of one Latin word and marks after it, for Arrow's regular expressions.
-_SIMPLE = f"^\x02?[{_LETTERS}]+[{_MARKS}]*$"
+_SIMPLE = f"(?P<word>[{_LETTERS}]+)(?P<marks>[{_MARKS}]*)$"
 KEPT_CHUNKS = 700_000  # chunks a worker remembers, some 150 MB
-WORDS_A_CALL = 5_000
+KEPT_WORDS = 600_000  # words a worker remembers, some 100 MB, and those of one batch
+WORDS_A_CALL = 500
 
 
 def default_path(name: str) -> str:
@@ -120,24 +123,6 @@ class Vocabulary:
     def in_letters(self, word: str) -> str:
         return word.encode().decode("latin-1").translate(self._letters)
 
-    def cut_simple(self, chunks: pa.Array) -> pa.Array:
-        """For chunks of one Latin word and marks, their words in byte letters with a blank between."""
-        if self.drops_space:
-            chunks = pc.utf8_lower(chunks)
-        odd = pc.invert(pc.string_is_ascii(chunks))
-        if pc.any(odd).as_py():
-            # All at once: a newline stands between, and stays one.
-            letters = {**self._letters, 10: "\n", 2: _HEAD}
-            lines = "\n".join(chunks.filter(odd).to_pylist()).encode().decode("latin-1").translate(letters)
-            chunks = pc.replace_with_mask(chunks, odd, pa.array(lines.split("\n"), chunks.type))
-        if not self.drops_space:
-            # The blank before a word is a letter of it; the first word of a text has none.
-            head = pc.starts_with(chunks, _HEAD)
-            bare = pc.replace_substring(chunks, _HEAD, "")
-            blank = pa.scalar("\u0120", chunks.type)
-            chunks = pc.if_else(head, bare, pc.binary_join_element_wise(blank, chunks, pa.scalar("", chunks.type)))
-        return pc.replace_substring_regex(chunks, f"([{_MARKS}]+)$", r" \1")
-
     def symbols(self, word: str) -> list[str]:
         """The letters that merging starts from; the last one carries the word end."""
         letters = list(word)
@@ -179,17 +164,15 @@ class Vocabulary:
 
 
 class Chunks:
-    """A bounded table from chunk to what `encode` makes of a list of their spellings, or with
-    `raw` of the chunks themselves."""
+    """A bounded table from chunk to what `encode` makes of a list of their spellings."""
 
     def __init__(
         self,
         vocabulary: Vocabulary,
         encode: Callable[[list[str]], Iterable],
         limit: int = KEPT_CHUNKS,
-        raw: bool = False,
     ):
-        self.vocabulary, self.encode, self.limit, self.raw = vocabulary, encode, limit, raw
+        self.vocabulary, self.encode, self.limit = vocabulary, encode, limit
         self.known: dict[str, object] = {}
 
     def of(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
@@ -203,28 +186,170 @@ class Chunks:
             self.known.clear()
             new = distinct
         spelled = self.vocabulary.spelled
-        self.known.update(zip(new, self.encode(new if self.raw else [spelled(c) for c in new])))
+        self.known.update(zip(new, self.encode([spelled(c) for c in new])))
         items = list(map(self.known.__getitem__, distinct))
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         return items, coded.indices.to_numpy(), ends
 
 
-def laid_out(items: list[bytes], places: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a batch in order, from the ids of its chunks as bytes, and each text's end."""
-    sizes = np.fromiter(map(len, items), np.int64, len(items)) // 4
-    total = int(sizes[places].sum()) + int(sizes.sum())
-    kind = np.int32 if total < 1 << 31 else np.int64  # places of this batch: half the memory
-    lengths = sizes.astype(kind)
-    flat = np.frombuffer(b"".join(items), "<u4")
-    starts = np.cumsum(lengths, dtype=kind) - lengths
-    each = lengths[places]
-    upto = np.cumsum(each, dtype=kind)
-    take = np.repeat(starts[places] - (upto - each), each)
-    take += np.arange(len(take), dtype=kind)
-    ids = flat[take]
+class Runs(NamedTuple):
+    """Runs of ids, end to end."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+
+    def at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the runs at these places, and the number of ids up to the end of each."""
+        total = int(self.sizes[places].sum()) + len(self.ids)
+        kind = np.int32 if total < 1 << 31 else np.int64  # places of this batch: half the memory
+        sizes = self.sizes.astype(kind)
+        starts = np.cumsum(sizes, dtype=kind) - sizes
+        each = sizes[places]
+        upto = np.cumsum(each, dtype=kind)
+        take = np.repeat(starts[places] - (upto - each), each)
+        take += np.arange(len(take), dtype=kind)
+        return self.ids[take], upto
+
+
+def laid_out(items: Runs | list[bytes], places: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch in order, from the ids of its chunks, as runs or bytes, and each text's end."""
+    if not isinstance(items, Runs):
+        sizes = np.fromiter(map(len, items), np.int64, len(items)) // 4
+        items = Runs(np.frombuffer(b"".join(items), "<u4"), sizes)
+    ids, upto = items.at(places)
     return ids, np.concatenate([[0], upto])[ends]
 
 
+class Words:
+    """A bounded table from word to its ids, which the library merges.
+
+    A chunk of one Latin word is looked up without the marks after it and the newline before
+    it, so that a word is merged once whatever stands around it; any other chunk is looked up
+    as it is. A full table keeps the half of its words that were in the most batches.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, limit: int = KEPT_WORDS):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.vocabulary, self.limit = vocabulary, limit
+        # Words in byte letters hold no blank: joined by blanks, hundreds are one call.
+        self.merger = Tokenizer(vocabulary.library.model)
+        self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.letters = np.zeros(vocabulary.size, np.int64)  # letters that each id stands for
+        for token, i in vocabulary.ids.items():
+            self.letters[i] = len(token.removesuffix(vocabulary.suffix))
+        # The blank before a word is a letter of it; words after a head have none.
+        self.head, self.blank = ("", "") if vocabulary.drops_space else (_HEAD, "\u0120")
+        self.simple = f"^(?P<before>{'' if vocabulary.drops_space else f'[{_HEAD}\n]?'}){_SIMPLE}"
+        if not vocabulary.plain:
+            self.simple = r"(?P<before>)(?P<word>)(?P<marks>)[^\x00-\x{10ffff}]"  # matches nothing
+        self.spelling = {**dict(enumerate(byte_letters())), ord(" "): " ", ord(_HEAD): _HEAD}
+        self.known: dict[str | None, int] = {None: 0}  # None, without ids, is what is not there
+        self.runs = Runs(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self.batches = np.zeros(1, np.int64)  # that each word was in
+
+    def of(self, texts: pa.Array) -> tuple[Runs, np.ndarray, np.ndarray]:
+        """(runs, places, ends): the ids of the distinct chunks, the place among them of
+        each chunk of the texts in order, and the number of chunks up to each text's end."""
+        lists = self.vocabulary.chunks(texts)
+        coded = lists.flatten().dictionary_encode()
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        return self._encoded(coded.dictionary), coded.indices.to_numpy(), ends
+
+    def _encoded(self, chunks: pa.Array) -> Runs:
+        if len(self.known) > self.limit:
+            self._forget()
+        parts = pc.extract_regex(chunks, self.simple)
+        simple = parts.is_valid()
+        before, word, marks = parts.filter(simple).flatten()
+        simple = simple.to_numpy(zero_copy_only=False)
+        if self.vocabulary.drops_space:
+            words = pc.utf8_lower(word).dictionary_encode()
+        else:
+            heads = pc.replace_substring(before, "\n", _HEAD)
+            words = pc.binary_join_element_wise(heads, word, pa.scalar("", word.type)).dictionary_encode()
+        marks = marks.dictionary_encode()
+        ends = [self.head + m if m else None for m in marks.dictionary.to_pylist()]
+        places = np.zeros((len(chunks), 3), np.int64)
+        newline = self._places(["\n"], self._others)
+        places[simple, 0] = np.where(pc.equal(before, "\n").to_numpy(zero_copy_only=False), newline, 0)
+        places[simple, 1] = self._places(_as_list(words.dictionary), self._merged)[words.indices.to_numpy()]
+        places[simple, 2] = self._places(ends, self._merged)[marks.indices.to_numpy()]
+        others = chunks.filter(pa.array(~simple)).to_pylist()
+        places[~simple, 1] = self._places(others, self._others)
+        ids, _ = self.runs.at(places.reshape(-1))
+        return Runs(ids, self.runs.sizes[places].sum(axis=1))
+
+    def _places(self, keys: list, encode: Callable[[list[str]], Runs]) -> np.ndarray:
+        """The places of distinct keys in the table, where those not known are put first."""
+        found = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            fresh = [keys[i] for i in new.tolist()]
+            made = encode(fresh)
+            places = range(len(self.known), len(self.known) + len(fresh))
+            self.known.update(zip(fresh, places))
+            found[new] = places
+            self.runs = Runs(*map(np.concatenate, zip(self.runs, made)))
+            self.batches = np.append(self.batches, np.zeros(len(fresh), np.int64))
+        self.batches[found] += 1
+        return found
+
+    def _forget(self) -> None:
+        self.batches[0] = np.iinfo(np.int64).max  # what is not there stays
+        kept = np.sort(np.argsort(-self.batches, kind="stable")[: max(1, self.limit // 2)])
+        keys = list(self.known)
+        self.known = {keys[i]: place for place, i in enumerate(kept.tolist())}
+        self.runs = Runs(self.runs.at(kept)[0], self.runs.sizes[kept])
+        self.batches = self.batches[kept] // 2  # later batches count more
+
+    def _merged(self, keys: list[str]) -> Runs:
+        """The ids of Latin words and marks."""
+        text = " ".join(keys)
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.spelling)
+        if self.blank:
+            text = (self.blank + text.replace(" ", " " + self.blank)).replace(self.blank + _HEAD, "")
+        return self._of_letters(text.split(" "))
+
+    def _of_letters(self, words: list[str]) -> Runs:
+        """The ids of words in byte letters."""
+        calls = [" ".join(words[i : i + WORDS_A_CALL]) for i in range(0, len(words), WORDS_A_CALL)]
+        ids = array("I")
+        for line in self.merger.encode_batch_fast(calls, add_special_tokens=False):
+            ids.extend(line.ids)
+        flat = np.frombuffer(ids, np.uint32)
+        upto = np.concatenate([[0], np.cumsum(self.letters[flat])])
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        return Runs(flat, np.diff(np.searchsorted(upto, np.cumsum(lengths)), prepend=0))
+
+    def _others(self, chunks: list[str]) -> Runs:
+        """The ids of chunks of any kind."""
+        vocabulary = self.vocabulary
+        words, counts, special = [], [], {}
+        for i, text in enumerate(map(vocabulary.spelled, chunks)):
+            found = vocabulary.words(text)
+            if any(w in vocabulary.added for w in found):
+                special[i], found = vocabulary.library.encode(text, add_special_tokens=False).ids, []
+            words += found
+            counts.append(len(found))
+        runs = self._of_letters(words)
+        sizes = np.bincount(np.repeat(np.arange(len(counts)), counts), runs.sizes, len(counts)).astype(np.int64)
+        if not special:
+            return Runs(runs.ids, sizes)
+        ends = np.cumsum(sizes)
+        ids = [np.array(special[i], np.uint32) if i in special else runs.ids[e - n : e] for i, (e, n) in enumerate(zip(ends, sizes))]
+        return Runs(np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
+
+
+def _as_list(words: pa.Array) -> list[str]:
+    """Words without blanks; much faster than `to_pylist`."""
+    if not len(words):
+        return []
+    line = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(" ", words.type))
+    return line[0].as_py().split(" ")
+
+
 _LOADED: dict[tuple, object] = {}
 
 
@@ -236,59 +361,12 @@ def loaded(key: tuple, make: Callable[[], object]):
     return _LOADED[key]
 
 
-def library_chunks(path: str) -> Chunks:
-    """Chunks encoded by the library, as bytes of little-endian unsigned 32-bit ids."""
-    from tokenizers import Tokenizer, pre_tokenizers
+def library_chunks(path: str) -> Words:
+    """Chunks encoded by the library, as runs of unsigned 32-bit ids."""
 
-    def make() -> Chunks:
+    def make() -> Words:
         vocabulary = Vocabulary(path)
         vocabulary.ranks = {}  # the library merges
-        # Words in byte letters hold no blank: joined by blanks, thousands are one call.
-        merger = Tokenizer(vocabulary.library.model)
-        merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-        letters = np.zeros(vocabulary.size, np.int64)  # letters that each id stands for
-        for token, i in vocabulary.ids.items():
-            letters[i] = len(token.removesuffix(vocabulary.suffix))
-
-        def merged(lines: list[str], sizes: np.ndarray) -> list[bytes]:
-            """The ids of each item, from lines of items and the letters of each item."""
-            filled = [line for line in lines if line]
-            calls = [" ".join(filled[i : i + WORDS_A_CALL]) for i in range(0, len(filled), WORDS_A_CALL)]
-            ids = array("I")
-            for line in merger.encode_batch_fast(calls, add_special_tokens=False):
-                ids.extend(line.ids)
-            flat = np.frombuffer(ids, np.uint32)
-            upto = np.concatenate([[0], np.cumsum(letters[flat])])
-            ends = (4 * np.searchsorted(upto, np.cumsum(np.concatenate([[0], sizes])))).tolist()
-            data = ids.tobytes()
-            return [data[a:b] for a, b in zip(ends, ends[1:])]
-
-        def encode_other(spellings: list[str]) -> list[bytes]:
-            lines, sizes, special = [], [], {}
-            for i, text in enumerate(spellings):
-                found = vocabulary.words(text)
-                if any(w in vocabulary.added for w in found):
-                    ids = vocabulary.library.encode(text, add_special_tokens=False).ids
-                    special[i], found = array("I", ids).tobytes(), []
-                lines.append(" ".join(found))
-                sizes.append(sum(map(len, found)))
-            out = merged(lines, np.array(sizes, np.int64))
-            for i, blob in special.items():
-                out[i] = blob
-            return out
-
-        def encode(chunks: list[str]) -> list[bytes]:
-            given = pa.array(chunks, pa.large_string())
-            if not vocabulary.plain:
-                return encode_other([vocabulary.spelled(c) for c in chunks])
-            simple = pc.match_substring_regex(given, _SIMPLE.replace("\x02?", "") if vocabulary.drops_space else _SIMPLE)
-            cut = vocabulary.cut_simple(given.filter(simple))
-            sizes = pc.subtract(pc.utf8_length(cut), pc.count_substring(cut, " "))
-            others = given.filter(pc.invert(simple)).to_pylist()
-            found = iter(merged(cut.to_pylist(), sizes.to_numpy()))
-            rest = iter(encode_other([vocabulary.spelled(c) for c in others]))
-            return [next(found) if s else next(rest) for s in simple.to_pylist()]
-
-        return Chunks(vocabulary, encode, raw=True)
+        return Words(vocabulary)
 
     return loaded(("library", path), make)

@@ -14,7 +14,7 @@ from llm import edge
 from tokenizers import Tokenizer
 
 from broadsheet.llm import bpe, packing, queries, token_counts, token_files
-from broadsheet.llm.vocabulary import Vocabulary, default_path, laid_out, library_chunks
+from broadsheet.llm.vocabulary import Vocabulary, Words, default_path, laid_out, library_chunks
 
 BYTE, WORD = (default_path(n) for n in (queries.BYTE_BPE, queries.WORD_BPE))
 
@@ -47,6 +47,37 @@ def test_chunks_give_the_library_ids(library, path):
         assert ids[a:b].tolist() == ids_of(library[path], text), text[:80]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_a_word_is_merged_once_whatever_stands_around_it(library, path):
+    words = Words(Vocabulary(path))
+    merge, merged = words._of_letters, []
+    words._of_letters = lambda letters: merged.extend(letters) or merge(letters)
+    texts = ["alpha Alpha, alpha. alpha; émile\nalpha?! émile: alpha", "alpha,\nalpha. alpha!!", "\nalpha", "alpha\n"]
+    ids, ends = laid_out(*words.of(pa.array(texts)))
+    for text, a, b in zip(texts, [0, *ends], ends):
+        assert ids[a:b].tolist() == ids_of(library[path], text)
+    # Vocabularies with blanks in words have one form after a blank and one without.
+    assert sorted(w.strip("\u0120") for w in merged).count("alpha") <= (1 if path == WORD else 3)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_a_full_table_of_words_forgets(library, path):
+    words, rnd = Words(Vocabulary(path), limit=40), random.Random(4)
+    for _ in range(30):
+        texts = [" ".join(rnd.choice(["the", "of,", "né", "a-b", "\n", "x" * rnd.randint(1, 30), f"{rnd.random()}"]) for _ in range(12)) for _ in range(5)]
+        ids, ends = laid_out(*words.of(pa.array(texts)))
+        for text, a, b in zip(texts, [0, *ends], ends):
+            assert ids[a:b].tolist() == ids_of(library[path], text)
+        assert len(words.known) == len(words.runs.sizes) == len(words.batches) <= 140
+    assert "the" in words.known
+
+
+def test_ids_of_whole_bytes_are_packed_lowest_bit_first():
+    ids = np.random.default_rng(5).integers(0, 50_257, 1003).astype(np.uint32)
+    bits = sum(int(x) << (16 * i) for i, x in enumerate(ids))
+    assert token_files.pack_bits(ids, 16) == bits.to_bytes(16 * 126, "little")
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_own_merging_gives_the_library_ids(library, path):
     vocabulary = Vocabulary(path)
