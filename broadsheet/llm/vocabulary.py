@@ -31,7 +31,7 @@ _LATIN = re.compile(f"[{_LETTERS}]+")
 # A chunk of one Latin word and marks after it, for Arrow's regular expressions.
 _SIMPLE = f"(?P<word>[{_LETTERS}]+)(?P<marks>[{_MARKS}]*)$"
 KEPT_CHUNKS = 700_000  # chunks a worker remembers, some 150 MB
-KEPT_WORDS = 600_000  # words a worker remembers, some 100 MB, and those of one batch
+KEPT_WORDS = 200_000  # words a worker remembers, some 35 MB, and those of one batch
 WORDS_A_CALL = 500
 
 
@@ -254,6 +254,7 @@ class Words:
         lists = self.vocabulary.chunks(texts)
         coded = lists.flatten().dictionary_encode()
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        del lists  # of all memory here the most
         return self._encoded(coded.dictionary), coded.indices.to_numpy(), ends
 
     def _encoded(self, chunks: pa.Array) -> Runs:
