@@ -233,8 +233,13 @@ def cross_validate(
 def _cross_validate_boosted(
     df: DataFrame, key: str, folds: int, max_features: int, settings: boosting.Settings
 ) -> DataFrame:
-    vectors = fit_tfidf(df, max_features=max_features)
-    rows = stored(vectors.transform(df).select(key, "label", "features"), "vectors")
+    # The vectors are made from the words that the vocabulary was counted in.
+    words = _listed(df, "title_text", None, key, "label")
+    vectors, counted = _fit_tfidf(words, _vocabularies(words, max_features)[0], "title_text", None, key, "label")
+    discard(words)
+    scale, norm = vectors.stages[_TIDY - 2 : _TIDY]
+    rows = stored(norm.transform(scale.transform(counted)).select(key, "label", "features"), "vectors")
+    discard(counted)
     told = boosting.cross_margins(rows, key, folds, settings)
     discard(rows)
     return _fold_metrics(told.select("fold", "label", (1 / (1 + F.exp(-F.col("margin")))).alias("score")))

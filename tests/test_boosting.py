@@ -199,3 +199,71 @@ def test_a_tree_within_a_task_sums_the_smaller_child_only(monkeypatch):
                 right = np.where(asked < 0, not r["absent_left"], asked > r["bin"])
                 node[inside] = 2 * at + 1 + right[inside]
     assert len(seen) > 2
+
+
+@pytest.mark.parametrize("few", [0, 150, 1000])
+def test_rows_that_one_task_may_not_hold(spark, monkeypatch, few):
+    """Without a task that holds all rows, trees grow in jobs and are the same."""
+    whole = bo.Growth.grow_whole
+    monkeypatch.setattr(bo.Growth, "grow_whole", lambda self: pytest.fail("a task held all rows"))
+    monkeypatch.setattr(bo, "WHOLE_CELLS", 0)
+    test_equals_plain_version(spark, monkeypatch, few)
+    monkeypatch.setattr(bo.Growth, "grow_whole", whole)
+
+
+def test_jobs_do_not_grow_with_rounds(spark):
+    """All trees of a model are one job: before, each took one or more."""
+    x, y = make(300, 6, seed=3)
+    df, tracker = table(spark, x, y).cache(), spark.sparkContext.statusTracker()
+    df.count()
+    jobs = {}
+    for rounds in (2, 40):
+        spark.sparkContext.setJobGroup(f"rounds {rounds}", "")
+        growth, _ = bo._grown(df, "features", "label", F.pmod(F.xxhash64("id"), F.lit(2)), 2, bo.Settings(rounds=rounds, depth=2))
+        jobs[rounds] = len(tracker.getJobIdsForGroup(f"rounds {rounds}"))
+        assert [len(trees) for trees in growth.trees] == [rounds] * 2
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[40] == jobs[2] < 20
+
+
+def test_sums_of_all_paths_are_equal(monkeypatch):
+    """Sums by row, by feature and over all features, in pieces of any size; bins without curvature keep their rows."""
+    random = np.random.default_rng(8)
+    given, bins = random.random((200, 9)) < 0.5, random.integers(0, 5, (200, 9))
+    rows = pa.record_batch({
+        "row": pa.array(random.integers(-(2**62), 2**62, 200)), "label": random.integers(0, 2, 200).astype(float),
+        "fold": pa.array(random.integers(0, 3, 200), pa.int32()),
+        "places": pa.array([np.flatnonzero(r).tolist() for r in given], pa.list_(pa.int32())),
+        "bins": pa.array([b[r].tolist() for b, r in zip(bins, given)], pa.list_(pa.int16())),
+    })
+    for room in (1, 50, 1 << 16):
+        monkeypatch.setattr(bo, "CELLS_AT_A_TIME", room)
+        monkeypatch.setattr(bo, "CODES_AT_A_TIME", room)
+        held = bo._Whole(iter([rows.slice(0, 90), rows.slice(90)]), 1, (200, int(given.sum())), 9, 5, bo.Settings())
+        kept = np.flatnonzero(rows.column("fold").to_numpy() != 1)
+        assert held.n == len(kept) and held.row.tolist() == rows.column("row").to_numpy()[kept].tolist()
+        weights = [random.integers(-50, 50, held.n) / 4, np.ones(held.n)]
+        features = np.array([0, 2, 3, 7])
+        for some in (np.arange(3), np.arange(0, held.n, 9), np.arange(held.n // 3), np.arange(held.n)):
+            want = np.zeros((2, 4, 5))
+            for i in some:
+                for at, feature in enumerate(features):
+                    if given[kept[i], feature]:
+                        want[:, at, bins[kept[i], feature]] += weights[0][i], 1
+            assert (held.sums_of(some, features, weights) == want).all()
+        want = held.sums_of(np.arange(held.n), np.arange(9), weights)
+        assert (held.by_feature(features, weights) == want[:, features]).all()
+    # A row that is surely told has no curvature, and its bin still has a row.
+    held.fresh[:] = np.where(held.label > 0, 99.0, -99.0)
+    tree, nodes = held.tree(0)
+    assert nodes == [0] and tree.feature[0] == -1
+
+
+def test_bins_of_values():
+    """The edges below a value, as a search in the edges of its feature finds them."""
+    edges = {0: np.array([0.5]), 2: np.array([-1.0, 0.25, 0.5, 2.0]), 3: np.arange(32.0)}
+    random = np.random.default_rng(3)
+    places, values = random.choice([0, 1, 2, 3], 500), random.choice([-2.0, -1, 0.25, 0.3, 0.5, 2, 3, 30.5, 31, 99, np.inf], 500)
+    want = [int(np.searchsorted(edges[p], v)) if p in edges else 0 for p, v in zip(places, values)]
+    assert bo._found(places, values, bo._edge_table(edges)).tolist() == want
+    assert bo._edge_table({}).shape == (1, 1)
