@@ -685,14 +685,14 @@ class _Whole:
     def split(self, features: np.ndarray, sums: np.ndarray, total: list[int]) -> tuple[int, int, bool, list[int]] | None:
         """Feature, bin, side of absent values and sums of the left side of the best split, if one gains."""
         set_, (tg, th), best = self.set_, (x / UNIT for x in total), None
-        whole = tg**2 / (th + set_.ridge) if th + set_.ridge else 0.0
+        whole = tg * tg / (th + set_.ridge) if th + set_.ridge else 0.0
         for first in range(0, len(features), FEATURES_AT_A_TIME):
             part = sums[:, first : first + FEATURES_AT_A_TIME]
             upto, some = np.cumsum(part[:2], axis=2), part[-1] > 0
             for absent_left in (True, False):
                 # The side without the absent values, and the other one.
                 g, h = upto[:, :, -1:] - upto if absent_left else upto
-                fits = np.flatnonzero(some & (h >= set_.least_curvature) & (h <= th - set_.least_curvature))
+                fits = np.flatnonzero(some & (h >= set_.least_curvature) & (th - h >= set_.least_curvature))
                 g, h = g.take(fits), h.take(fits)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     gain = 0.5 * (g**2 / (h + set_.ridge) + (tg - g) ** 2 / (th - h + set_.ridge) - whole)
